@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from askloom.functions.text import contains_any, let, lines_of, squash, strip
+from askloom.functions.text import bound, contains_any, let, lines_of, squash, strip
 
 # Marker words of the page templates ------------------------------
 ANSWER_WORD = "جواب"
@@ -30,6 +30,7 @@ def qa(question: Column, answer: Column) -> Column:
     return F.struct(question.alias("question"), answer.alias("answer"))
 
 
+@bound
 def split_qa_marker(c: Column, marker: str = ANSWER_WORD) -> Column:
     """At the answer marker; without one the first line is the question."""
 
@@ -44,12 +45,14 @@ def split_qa_marker(c: Column, marker: str = ANSWER_WORD) -> Column:
     return let(F.instr(c, marker), parts)
 
 
+@bound
 def split_qa_priority(c: Column, markers=PRIORITY_MARKERS, head: int = 500) -> Column:
     """At the first marker of the list that occurs; the answer keeps the marker."""
     at = F.coalesce(*[F.nullif(F.instr(c, m), F.lit(0)) for m in markers], F.lit(head + 1))
     return let(at, lambda p: qa(squash(F.left(c, p - 1)), squash(F.substring(c, p, F.length(c)))))
 
 
+@bound
 def split_qa_earliest(c: Column, markers=EARLIEST_MARKERS, after: int = 20, min_tail: int = 25, min_q: int = 10, min_a: int = 30) -> Column:
     """At the earliest marker beyond ``after`` characters; empty strings when a part is too short."""
     hits = F.filter(F.array(*[F.instr(c, m) - 1 for m in markers]), lambda p: p > after)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import unicodedata
 from functools import reduce
@@ -52,8 +53,11 @@ def _unescape_nfc(s: pd.Series) -> pd.Series:
 
 def unescape_nfc(c: Column) -> Column:
     """HTML entities decoded, then NFC. Only values that can change travel to Python; others go as NULL."""
-    needs = ~c.rlike(r"\A" + _PLAIN + r"*+\z")
-    return F.coalesce(_unescape_nfc(F.when(needs, c)), c)
+
+    def only_if_needed(x: Column) -> Column:
+        return F.when(~x.rlike(r"\A" + _PLAIN + r"*+\z"), x)
+
+    return F.coalesce(_unescape_nfc(let(c, only_if_needed)), c)
 
 
 def let(c: Column, body) -> Column:
@@ -61,6 +65,23 @@ def let(c: Column, body) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+def bound(f):
+    """Decorator: the first argument of ``f`` is evaluated once.
+
+    Filters are pushed through projections by substitution, so an argument that is mentioned many times would
+    be computed many times, however it was named before.
+    """
+
+    @functools.wraps(f)
+    def wrapper(c: Column, *args, **kwargs) -> Column:
+        def body(x):
+            return f(x, *args, **kwargs)
+
+        return let(c, body)
+
+    return wrapper
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
 
@@ -110,6 +131,7 @@ def contains_any(c: Column, needles) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(n)) for n in needles])
 
 
+@bound
 def preview(c: Column, n: int = 200) -> Column:
     return F.concat(F.substring(c, 1, n), F.when(F.length(c) > n, F.lit("...")).otherwise(F.lit("")))
 
@@ -158,6 +180,7 @@ def strip_prefix_label(c: Column, label: str = QUESTION_LABEL, marks: str = ":
     return F.regexp_replace(c, rf"\A{WS}*{label}{WS}*[{marks}]?{WS}*", "")
 
 
+@bound
 def trim_signature(c: Column, phrases=CLOSING_PHRASES) -> Column:
     """Text before the first closing phrase (phrases in list order) and whether one was found."""
     where = F.coalesce(*[F.nullif(F.instr(c, p), F.lit(0)) for p in phrases])
@@ -174,6 +197,7 @@ def record_number(c: Column, label: str) -> Column:
     return F.regexp_extract(c, rf"{label}[:\s]+([0-9/]+)", 1)
 
 
+@bound
 def title_trim(c: Column, seps=(" | ", " - "), first_only: bool = False) -> Column:
     """Title without its site suffix. ``first_only`` stops after the first separator that occurs."""
     if first_only:
@@ -223,17 +247,14 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(f"({TOKEN})"), F.lit(1))
 
 
-# Block removal works per tag on the raw string; the optional attribute part keeps <header> apart from <head>.
 DROPPED_BLOCKS = ("script", "style", "noscript", "iframe", "svg", "nav", "footer", "header")
+# The optional attribute part keeps <header> apart from <head>; one pass removes comments and all blocks.
+_NOISE = rf"(?is)<!--.*?-->|<({'|'.join(DROPPED_BLOCKS)})(?:\s[^>]*)?>.*?</\1\s*>"
 
 
 def html_to_text(c: Column) -> Column:
-    """Visible text of a page by tag-level removal. Class and id rules need the element table."""
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    for tag in DROPPED_BLOCKS:
-        c = F.regexp_replace(c, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "")
-    c = F.regexp_replace(c, r"(?s)<[^>]*>", "\n\n")
-    return normalize_text(c)
+    """Visible text of a page by tag-level removal. Class and id rules need the element array."""
+    return normalize_text(F.regexp_replace(F.regexp_replace(c, _NOISE, ""), r"(?s)<[^>]*>", "\n\n"))
 
 
 def date_in_text(c: Column) -> Column:

@@ -1 +1,42 @@
-"""Queries."""
+"""Corpus statistics queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from askloom.operators import corpus as O
+from askloom.plans.registry import query
+
+
+@query(
+    "browse_page",
+    "records",
+    "SELECT id, source, category, (SELECT count(*) FROM records) AS total FROM records ORDER BY id DESC LIMIT 20 OFFSET 40",
+)
+def _(t):
+    top = O.page(t.records.select("id", "source", "category"), [F.desc("id")], 3, 20)
+    return O.with_total(top, t.records)
+
+
+@query(
+    "corpus_stats",
+    "records",
+    "SELECT count(*) AS total_records, count(DISTINCT source) AS total_sources, count(DISTINCT nullif(category, '')) AS total_categories FROM records",
+)
+def _(t):
+    return O.corpus_stats(t.records)
+
+
+@query("source_counts", "records", "SELECT source, count(*) AS n FROM records GROUP BY source ORDER BY n DESC, source")
+def _(t):
+    return O.source_counts(t.records)
+
+
+@query("category_top", "records", "SELECT category, count(*) AS n FROM records WHERE category <> '' GROUP BY category ORDER BY n DESC, category LIMIT 3")
+def _(t):
+    return O.category_top(t.records, 3)
+
+
+@query("category_list", "records", "SELECT DISTINCT category FROM records WHERE category <> '' ORDER BY category")
+def _(t):
+    return O.category_list(t.records)

@@ -287,12 +287,12 @@ D_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
     oracle=f"""
     SELECT page_id, {D.strip("split_part(" + D.strip("split_part(x, ' | ', 1)") + ", ' - ', 1)")} AS title,
            {D.strip("CASE WHEN contains(x, ' - ') THEN split_part(x, ' - ', 1) WHEN contains(x, ' | ') THEN split_part(x, ' | ', 1) ELSE split_part(x, ' :: ', 1) END")} AS first_cut
-    FROM (SELECT page_id, {D_TITLE} || CASE page_id % 4 WHEN 0 THEN ' | Site - Home' WHEN 1 THEN ' - Home' WHEN 2 THEN ' :: Site' ELSE '' END AS x FROM pages)""",
+    FROM (SELECT page_id, title || CASE page_id % 4 WHEN 0 THEN ' | Site - Home' WHEN 1 THEN ' - Home' WHEN 2 THEN ' :: Site' ELSE '' END AS x FROM (SELECT page_id, {D.squash(D_TITLE)} AS title FROM pages))""",
 )
 def _(t):
     r = C("page_id") % 4
     suffix = F.when(r == 0, F.lit(" | Site - Home")).when(r == 1, F.lit(" - Home")).when(r == 2, F.lit(" :: Site")).otherwise(F.lit(""))
-    titles = t.pages.select("page_id", F.concat(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), suffix).alias("x"))
+    titles = t.pages.select("page_id", F.concat(T.squash(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), suffix).alias("x"))
     return titles.select(
         "page_id", T.title_trim(C("x")).alias("title"), T.title_trim(C("x"), (" - ", " | ", " :: "), first_only=True).alias("first_cut")
     )
