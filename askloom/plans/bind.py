@@ -151,8 +151,10 @@ def with_tables(names: list[str], body: str) -> str:
     for n in _order(names, []):
         sql = DERIVED[n].format(**{d: d for d in _deps(DERIVED[n])})
         ctes.append(f"{n} AS ({sql})".replace("TIMESTAMP_NTZ '", "TIMESTAMP '"))
-    body = body.strip()
+    body, head = body.strip(), "WITH "
+    if body.upper().startswith("WITH RECURSIVE "):
+        body, head = "WITH " + body[15:], "WITH RECURSIVE "
     if not ctes:
-        return body
+        return head + body[5:] if head != "WITH " else body
     joint = ",\n" if body.upper().startswith("WITH ") else "\n"
-    return "WITH " + ",\n".join(ctes) + joint + (body[5:] if joint == ",\n" else body)
+    return head + ",\n".join(ctes) + joint + (body[5:] if joint == ",\n" else body)

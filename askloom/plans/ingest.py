@@ -22,7 +22,11 @@ PAGE_KEY = "concat('HTTPS://', regexp_extract(url, '//([^/?#]*)', 1), '/', regex
 
 def staged_pages(t):
     """Parsed pages with their error, before the append."""
-    pages = t.pages.select("page_id", "html", F.expr(PAGE_KEY).alias("url"), U.host(C("url")).alias("source"))
+    return parse_pages(t.pages)
+
+
+def parse_pages(raw):
+    pages = raw.select("page_id", "html", F.expr(PAGE_KEY).alias("url"), U.host(C("url")).alias("source"))
     text = pages.select(
         "page_id", "source", U.canonical_url(C("url")).alias("url"), T.blocked_page(C("html"), BLOCKERS).alias("blocked"), T.html_to_text(C("html")).alias("body")
     )
