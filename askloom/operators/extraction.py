@@ -58,20 +58,21 @@ def _inside(n: Column, e: Column) -> Column:
 
 def select(nodes: Column, sels: Sequence[Sel], scope: Column | None = None) -> Column:
     """Nodes that match any selector, in document order, below ``scope`` if given."""
+    # A node's position is its index, so a scope is a slice: nothing outside it is looked at.
+    domain = nodes if scope is None else F.slice(nodes, scope["idx"] + 1, scope["last"] - scope["idx"])
     plain = [s for s in sels if s.within is None]
-    hits: list[Callable[[Column], Column]] = [s.own for s in plain]
+    parts = []
+    if plain:
+        parts.append(F.filter(domain, lambda n: reduce(lambda a, b: a | b, [s.own(n) for s in plain])))
 
     def nested(s: Sel) -> Column:
-        roots = select(nodes, [s.within])
-        return let(roots, lambda r: F.filter(nodes, lambda n: s.own(n) & F.exists(r, lambda e: _inside(n, e))))
+        return let(select(nodes, [s.within]), lambda r: F.filter(domain, lambda n: s.own(n) & F.exists(r, lambda e: _inside(n, e))))
 
-    base = F.filter(nodes, lambda n: reduce(lambda a, b: a | b, [h(n) for h in hits])) if hits else None
-    parts = ([base] if base is not None else []) + [nested(s) for s in sels if s.within is not None]
-    found = parts[0]
-    if len(parts) > 1:
-        union = reduce(F.array_union, [F.transform(p, lambda n: n["idx"]) for p in parts])
-        found = F.transform(F.array_sort(union), lambda i: F.get(nodes, i - 1))
-    return found if scope is None else F.filter(found, lambda n: _inside(n, scope))
+    parts += [nested(s) for s in sels if s.within is not None]
+    if len(parts) == 1:
+        return parts[0]
+    union = reduce(F.array_union, [F.transform(p, lambda n: n["idx"]) for p in parts])
+    return F.transform(F.array_sort(union), lambda i: F.get(nodes, i - 1))
 
 
 def select_one(nodes: Column, sels: Sequence[Sel], scope: Column | None = None) -> Column:
@@ -194,7 +195,8 @@ HEADING_CLASS = "Fatwa-peshaniE"
 
 
 def siblings_after(nodes: Column, e: Column, tags: Sequence[str]) -> Column:
-    rest = F.slice(nodes, e["last"] + 1, F.size(nodes))
+    end = F.coalesce(F.get(nodes, e["parent"] - 1)["last"], F.size(nodes))
+    rest = F.slice(nodes, e["last"] + 1, F.greatest(end - e["last"], F.lit(0)))
     return F.filter(rest, lambda n: (n["parent"] == e["parent"]) & n["tag"].isin(*tags))
 
 
@@ -282,7 +284,7 @@ def question_rules(nodes: Column, c: Column) -> Column:
         return F.get(F.filter(F.transform(hs, value), lambda v: v.isNotNull()), F.lit(0))
 
     def heads(tag: str, keep: Callable[[Column], Column]) -> Column:
-        return F.filter(select(nodes, [_tags(tag)], c), lambda h: keep(text_of(nodes, h)))
+        return F.filter(select(nodes, [_tags(tag)], c), lambda h: let(text_of(nodes, h), keep))
 
     block = let(
         select_one(nodes, [Sel(tag=("div",), cls=("question",)), Sel(tag=("div",), cls=("fatwa_question",)), Sel(cls=("question-text",))], c),
@@ -624,14 +626,16 @@ def multi_pass_choice(nodes: Column, url: Column, fallback: Column, containers=C
             seg = U.url_segments(url)
             from_url = let(seg, lambda s: F.when(F.size(s) >= 2, F.get(s, F.size(s) - 2)))
             category = category_chain(label, from_url)
-            pairs = F.array(
-                F.struct(T.dedupe_lines(q).alias("question"), T.dedupe_lines(answer_rules(n, c)).alias("answer")),
-                let(coarse, lambda s: F.struct(T.dedupe_lines(s["question"]).alias("question"), T.dedupe_lines(s["answer"]).alias("answer"))),
+            if_fits = lambda p: F.when(fits(p), p)
+            by_rule = let(_dedupe_pair(q, answer_rules(n, c)), if_fits)
+            by_cut = let(let(coarse, lambda s: _dedupe_pair(s["question"], s["answer"])), if_fits)
+            return let(
+                F.coalesce(by_rule, by_cut), lambda b: F.when(b.isNotNull(), F.struct(b.alias("qa"), category.alias("category")))
             )
-            best = F.get(F.filter(pairs, fits), F.lit(0))
-            return let(best, lambda b: F.when(b.isNotNull(), F.struct(b.alias("qa"), category.alias("category"))))
 
-        return F.get(F.filter(F.transform(found, candidates), lambda x: x.isNotNull()), F.lit(0))
+        # Later containers are not looked at once one has given a pair.
+        none = F.lit(None).cast("struct<qa:struct<question:string,answer:string>,category:string>")
+        return F.aggregate(found, none, lambda best, c: F.coalesce(best, candidates(c)))
 
     both = F.coalesce(let(strip_noise(nodes, light), attempt), let(strip_noise(nodes, strict), attempt))
     return let(both, lambda b: F.struct(b["qa"].alias("qa"), b["category"].alias("category"), F.lit(None).cast("string").alias("date")))

@@ -10,10 +10,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from askloom.session import spread
+
 RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+TEXTS = ("documents", "pages")  # parsing these is CPU-bound
+
 AS_OF = "2024-01-25 00:00:00"  # evaluation time for tables derived from events and documents
 AS_OF_ORDERS = "2001-07-15 00:00:00"  # evaluation time for tables derived from orders
 
@@ -128,6 +132,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in RAW:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = spread(df) if name in TEXTS else df
         elif name in DERIVED:
             sql = DERIVED[name]
             df = self.spark.sql(sql, **{d: getattr(self, d) for d in dict.fromkeys(_deps(sql))})

@@ -264,7 +264,12 @@ def _(t):
     return I.conform_schema(t.questions.select("id", "user_id", "status", "payment_status"), target)
 
 
-@query("verify_schema")
+@query(
+    "verify_schema",
+    "users questions",
+    """SELECT 'users' AS table_name, 'dashboard_access' AS column_name, (SELECT count(*) FROM users) AS affected_rows
+       UNION ALL SELECT 'questions', 'payment_amount', (SELECT count(*) FROM questions) UNION ALL SELECT 'reviewer_payments', NULL, 0""",
+)
 def _(t):
     expected = {
         "users": ("role", "dashboard_access"),
@@ -272,7 +277,11 @@ def _(t):
         "reviewers": (),
         "reviewer_payments": ("month",),
     }
-    return I.verify_schema({"users": t.users, "questions": t.questions, "reviewers": t.reviewers}, expected)
+    tables = {"users": t.users, "questions": t.questions, "reviewers": t.reviewers}
+    sizes = [df.agg(F.lit(n).alias("table_name"), F.count("*").alias("n")) for n, df in tables.items()]
+    counts = sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
+    # How many rows the default of a missing column would fill.
+    return I.verify_schema(tables, expected).join(counts, "table_name", "left").select("table_name", "column_name", F.coalesce("n", F.lit(0)).alias("affected_rows"))
 
 
 # Files derived from the tables --------------------------------------------------------------------------------

@@ -72,3 +72,13 @@ def is_small(df, limit_bytes: int = 64 << 20) -> bool:
     """
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes())) <= limit_bytes
+
+
+def spread(df: DataFrame, per_core: int = 16 << 20) -> DataFrame:
+    """``df`` over all cores when the scan is too small to fill them.
+
+    A small file is one scan task however many cores there are, which leaves text parsing single-threaded. Large
+    inputs have splits enough and are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if is_small(df, cores * per_core) else df
