@@ -637,7 +637,9 @@ def multi_pass_choice(nodes: Column, url: Column, fallback: Column, containers=C
         none = F.lit(None).cast("struct<qa:struct<question:string,answer:string>,category:string>")
         return F.aggregate(found, none, lambda best, c: F.coalesce(best, candidates(c)))
 
-    both = F.coalesce(let(strip_noise(nodes, light), attempt), let(strip_noise(nodes, strict), attempt))
+    none = F.lit(None).cast("struct<qa:struct<question:string,answer:string>,category:string>")
+    passes = F.array(strip_noise(nodes, light), strip_noise(nodes, strict))
+    both = F.aggregate(passes, none, lambda best, n: F.coalesce(best, attempt(n)))
     return let(both, lambda b: F.struct(b["qa"].alias("qa"), b["category"].alias("category"), F.lit(None).cast("string").alias("date")))
 
 

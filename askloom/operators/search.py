@@ -70,36 +70,38 @@ def _grams(c: Column, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
 
 
-def anchor_pairs(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """``qid, id`` of entries that hold the rarest key of a query ``qid, qkeys``.
+def anchor_pairs(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``qid, id`` of entries that hold the rarest key of a query ``qid, qkeys``, and the postings of all query keys.
 
     What holds all keys holds the rarest one, so the pairs are a superset of the hits. Meeting on that key only keeps
     very common keys, which may sit in a third of all entries, out of the join unless a query has nothing else. A
-    query with a key that occurs nowhere has no pairs. Frequencies are map-side combined counts.
+    query with a key that occurs nowhere has no pairs. Frequencies are map-side combined counts. The index is read
+    once; what is kept are the postings of the queries' own keys, and the anchors, whose true size decides the join.
     """
     asked = queries.select("qid", F.explode("qkeys").alias("key"))
     wanted = asked.select("key").distinct()
-    freq = index.join(_side(wanted), "key", "left_semi").groupBy("key").agg(F.count("*").alias("df"))
+    postings = staged(index.join(_side(wanted), "key", "left_semi").select("id", "key"), "postings")
+    freq = postings.groupBy("key").agg(F.count("*").alias("df"))
     best = (
-        asked.join(_side(freq), "key", "left")
+        asked.join(freq, "key", "left")
         .groupBy("qid")
         .agg(F.min(F.struct("df", "key")).alias("m"), F.count_if(F.col("df").isNull()).alias("absent"))
     )
-    anchors = best.filter(F.col("absent") == 0).select("qid", F.col("m.key").alias("key"))
-    return index.join(_side(anchors), "key").select("qid", "id")
+    anchors = staged(best.filter(F.col("absent") == 0).select("qid", F.col("m.key").alias("key")), "anchors")
+    return postings.join(_side(anchors), "key").select("qid", "id"), postings
 
 
 def token_hits(index: DataFrame, queries: DataFrame) -> DataFrame:
     """``qid, id`` of every record that holds all tokens of a query.
 
-    Pairs from the rarest token are checked against the index on ``(id, key)``; that key spreads evenly.
+    Pairs from the rarest token are checked against the postings on ``(id, key)``; that key spreads evenly.
     """
     qs = queries.select("qid", F.array_distinct(T.tokens(F.col("query"))).alias("qkeys")).filter(F.size("qkeys") > 0)
-    pairs = anchor_pairs(index, qs)
+    pairs, postings = anchor_pairs(index, qs)
     single = qs.filter(F.size("qkeys") == 1).select("qid")
     several = qs.filter(F.size("qkeys") > 1)
     needed = pairs.join(_side(several), "qid").select("qid", "id", F.size("qkeys").alias("n"), F.explode("qkeys").alias("key"))
-    found = needed.join(index, ["id", "key"], "left_semi")
+    found = needed.join(postings, ["id", "key"], "left_semi")
     full = found.groupBy("qid", "id", "n").agg(F.count("*").alias("k")).filter(F.col("k") == F.col("n"))
     return pairs.join(_side(single), "qid", "left_semi").unionByName(full.select("qid", "id"))
 
@@ -113,8 +115,9 @@ def chunks_containing(index: DataFrame, needles: DataFrame) -> DataFrame:
     vocabulary = index.select("key").distinct()
     gram_index = vocabulary.select(F.col("key").alias("id"), F.explode(_grams(F.col("key"), (1, 2, 3))).alias("key"))
     by_length = F.when(F.length("needle") >= 3, _grams(F.col("needle"), (3,))).otherwise(F.array("needle"))
-    pairs = anchor_pairs(gram_index, needles.select(F.col("needle").alias("qid"), by_length.alias("qkeys")))
-    return pairs.filter(F.contains("id", "qid")).select(F.col("qid").alias("needle"), F.col("id").alias("key"))
+    pairs, _ = anchor_pairs(gram_index, needles.select(F.col("needle").alias("qid"), by_length.alias("qkeys")))
+    routes = pairs.filter(F.contains("id", "qid")).select(F.col("qid").alias("needle"), F.col("id").alias("key"))
+    return staged(routes, "routes")
 
 
 def substring_hits(df: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def substring_hits(df: DataFrame, index: DataFrame, queries: DataFrame) -> DataF
     longest = F.aggregate(pieces, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
     asked = folded.select("qid", "literal", longest.alias("needle"), (F.size(pieces) > 1).alias("open"))
     chunks = chunks_containing(index, asked.select("needle").distinct())
-    routes = asked.join(_side(chunks), "needle").select("qid", "literal", "open", "key")
+    routes = staged(asked.join(_side(chunks), "needle").select("qid", "literal", "open", "key"), "query-routes")
     pairs = index.join(_side(routes), "key").select("qid", "id", "literal", "open").distinct()
     texts = df.select("id", T.fold_ascii(F.col("question")).alias("q"), T.fold_ascii(F.col("answer")).alias("a"))
     tested = pairs.filter("open").join(texts, "id").filter(F.contains("q", "literal") | F.contains("a", "literal"))

@@ -38,7 +38,7 @@ def _(t):
 def _(t):
     pages = O.read_table_stream(t.spark, t.sf_dir, "pages.parquet")
     # All pages of a host arrive within the delay, so the host stands for a repeated URL.
-    timed = pages.select(U.host(C("url")).alias("host"), F.timestamp_seconds(C("page_id") % 3600).alias("seen_at"))
+    timed = pages.select(U.host(C("url")).alias("host"), F.timestamp_seconds(1704067200 + C("page_id") % 3600).alias("seen_at"))
     return O.run_to_table(O.ingest_recent(timed, "seen_at", "1 day", "host"), _folder(t, "recent")).select("host")
 
 

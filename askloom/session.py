@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs about a millisecond per column operation while a plan is built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
