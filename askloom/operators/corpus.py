@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_PAGE = 100  # fixed value: largest page of a listing
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20) -> DataFrame:
     """One page of a sorted result. Executes as a top-k over partitions, not as a global sort."""
+    if number < 1 or not 1 <= size <= MAX_PAGE:
+        raise ValueError(f"page must be at least 1 and size between 1 and {MAX_PAGE}")
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 

@@ -60,9 +60,9 @@ def token_index(df: DataFrame) -> DataFrame:
 
 def chunk_index(df: DataFrame) -> DataFrame:
     """Distinct white-space separated chunks of question and answer per record, ASCII case folded."""
-    body = T.fold_ascii(F.concat_ws("\n", "question", "answer"))
-    chunks = F.array_distinct(F.split(body, f"{T.WS}+"))
-    return df.select("id", F.explode(F.filter(chunks, lambda x: x != "")).alias("key"))
+    chunks = F.array_distinct(F.split(F.concat_ws("\n", "question", "answer"), f"{T.WS}+"))
+    folded = F.transform(chunks, lambda x: F.when(x.rlike("[A-Z]"), T.fold_ascii(x)).otherwise(x))
+    return df.select("id", F.explode(F.filter(F.array_distinct(folded), lambda x: x != "")).alias("key"))
 
 
 def _grams(c: Column, sizes: Sequence[int]) -> Column:
@@ -133,8 +133,8 @@ def substring_hits(df: DataFrame, index: DataFrame, queries: DataFrame) -> DataF
     chunks = chunks_containing(index, asked.select("needle").distinct())
     routes = staged(asked.join(_side(chunks), "needle").select("qid", "literal", "open", "key"), "query-routes")
     pairs = index.join(_side(routes), "key").select("qid", "id", "literal", "open").distinct()
-    texts = df.select("id", T.fold_ascii(F.col("question")).alias("q"), T.fold_ascii(F.col("answer")).alias("a"))
-    tested = pairs.filter("open").join(texts, "id").filter(F.contains("q", "literal") | F.contains("a", "literal"))
+    inside = [F.contains(T.fold_ascii(F.col(c)), "literal") for c in ("question", "answer")]
+    tested = pairs.filter("open").join(df.select("id", "question", "answer"), "id").filter(inside[0] | inside[1])
     return pairs.filter(~F.col("open")).select("qid", "id").unionByName(tested.select("qid", "id"))
 
 

@@ -10,6 +10,7 @@ from askloom.operators import crawlset as X
 from askloom.plans import duck as D
 from askloom.plans.ingest import D_STAGED, D_UPSERTED, staged_pages, upserted
 from askloom.plans.registry import query
+from askloom.session import staged
 
 C = F.col
 
@@ -270,7 +271,7 @@ def _(t):
 
 @query("error_summary", oracle=f"WITH {D_STAGED} SELECT source, split_part(error, ':', 1) AS kind, count(*) AS n FROM staged WHERE status IS NOT NULL GROUP BY ALL")
 def _(t):
-    return X.error_summary(staged_pages(t).filter(C("status").isNotNull()))
+    return X.error_summary(staged(staged_pages(t), "parsed").filter(C("status").isNotNull()))
 
 
 @query("host_frequency", oracle="SELECT lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")

@@ -106,7 +106,8 @@ D_UPSERTED = f"""
 
 @query("dead_letter", oracle=f"WITH {D_STAGED} SELECT url, source, substr(error, 1, 8000) AS error FROM staged WHERE status IS NOT NULL")
 def _(t):
-    return I.dead_letter(staged_pages(t))
+    # A filter on the status would be pushed into the parse and repeat it; the parsed table is written first.
+    return I.dead_letter(staged(staged_pages(t), "parsed"))
 
 
 @query("dry_run", "incoming stored", f"WITH {D_UPSERTED} SELECT status, count(*) AS n FROM ups GROUP BY status")

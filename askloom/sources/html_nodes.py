@@ -96,24 +96,32 @@ _STRUCT = [
 ]
 
 
+PAGES_PER_BATCH = 64  # bounds what a task holds as nodes at one time
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("html")
-        columns: list[list] = [[] for _ in _STRUCT]
-        offsets = [0]
-        for page in batch.column(at).to_pylist():
-            parser = _Nodes()
-            parser.feed(page or "")
-            for row in parser.finish():
-                for values, value in zip(columns, row):
-                    values.append(value)
-            offsets.append(len(columns[0]))
-        arrays = [pa.array(values, type=f.type) for values, f in zip(columns, _STRUCT)]
-        nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=_STRUCT))
-        kept = [i for i in range(batch.num_columns) if i != at]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in kept), nodes], names=[*(batch.schema.field(i).name for i in kept), "nodes"]
-        )
+    for whole in batches:
+        for start in range(0, whole.num_rows, PAGES_PER_BATCH):
+            yield _parse_slice(whole.slice(start, PAGES_PER_BATCH))
+
+
+def _parse_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
+    at = batch.schema.get_field_index("html")
+    columns: list[list] = [[] for _ in _STRUCT]
+    offsets = [0]
+    for page in batch.column(at).to_pylist():
+        parser = _Nodes()
+        parser.feed(page or "")
+        for row in parser.finish():
+            for values, value in zip(columns, row):
+                values.append(value)
+        offsets.append(len(columns[0]))
+    arrays = [pa.array(values, type=f.type) for values, f in zip(columns, _STRUCT)]
+    nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=_STRUCT))
+    kept = [i for i in range(batch.num_columns) if i != at]
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(i) for i in kept), nodes], names=[*(batch.schema.field(i).name for i in kept), "nodes"]
+    )
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
