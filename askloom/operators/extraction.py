@@ -391,17 +391,47 @@ def category_chain(*fields: Column, width: int = 512) -> Column:
 # Page templates -----------------------------------------------------------------------------------------------
 
 
+# Parts of each page template that carry no text, and where the heading template keeps its text.
+DIVS_NOISE = (
+    Sel(tag=("div",), cls=("sidebar",)),
+    Sel(tag=("div",), cls=("social-icons",)),
+    Sel(tag=("div",), cls=("share-buttons",)),
+    Sel(tag=("div",), cls=("related-questions",)),
+    Sel(tag=("aside", "header", "footer", "nav", "script", "style", "noscript", "iframe")),
+)
+POSTS_NOISE = (
+    Sel(tag=("header", "footer", "nav", "script", "style", "noscript")),
+    Sel(id="sidebar"),
+    *(Sel(cls=(c,)) for c in ("sidebar", "social-share", "share-buttons", "post-navigation", "related-posts", "comments-area")),
+)
+BOLD_NOISE = (Sel(cls=("hidden-print",)), Sel(tag=("footer", "header", "nav", "script", "style", "noscript")))
+LINKED_NOISE = (
+    Sel(tag=("header", "footer", "nav", "script", "style", "noscript")),
+    Sel(cls=("_m_widget",)),
+    Sel(tag=("div",), cls=("grid", "grid-cols-1", "md:grid-cols-2")),
+)
+WALK_NOISE_LIGHT = (Sel(tag=("header", "footer", "nav", "script", "style", "noscript", "aside", "iframe", "svg")),)
+WALK_NOISE_STRICT = (*WALK_NOISE_LIGHT, Sel(cls=("sidebar",)), Sel(cls=("social-share",)))
+CONTAINERS = (
+    (Sel(tag=("li",), within=Sel(tag=("ul",), cls=("answer_detail",))),),
+    (Sel(cls=("answer_detail",)),),
+    (Sel(cls=("fata_detail",)),),
+    (_tags("article"),),
+    (Sel(cls=("main_content",)),),
+    (_tags("main"),),
+    (Sel(id="content"),),
+    (Sel(cls=("content",)),),
+    (Sel(cls=("row",), within=Sel(cls=("container",))),),
+    (_tags("body"),),
+)
+
+
 def _dedupe_pair(q: Column, a: Column) -> Column:
     return Q.qa(T.dedupe_lines(q), T.dedupe_lines(a))
 
 
 def labelled_divs(nodes: Column, url: Column) -> Column:
     """Template with question and answer blocks; line markers, title and longest paragraph fill gaps."""
-    noise = (
-        Sel(tag=("div",), cls=("sidebar",)), Sel(tag=("div",), cls=("social-icons",)), Sel(tag=("div",), cls=("share-buttons",)),
-        Sel(tag=("div",), cls=("related-questions",)), Sel(tag=("aside", "header", "footer", "nav", "script", "style", "noscript", "iframe")),
-    )
-
     def fields(n: Column) -> Column:
         whole = F.struct(F.lit(0).alias("idx"), F.size(n).alias("last"))
         box = select_one(n, [Sel(tag=("div",), cls=("question-details",))])
@@ -442,16 +472,11 @@ def labelled_divs(nodes: Column, url: Column) -> Column:
 
         return let(scope, in_scope)
 
-    return let(strip_noise(nodes, noise), fields)
+    return let(strip_noise(nodes, DIVS_NOISE), fields)
 
 
 def marker_posts(nodes: Column, url: Column) -> Column:
     """Blog template: one content block, split at an answer marker, else walked block by block."""
-    noise = (
-        Sel(tag=("header", "footer", "nav", "script", "style", "noscript")), Sel(id="sidebar"),
-        *(Sel(cls=(c,)) for c in ("sidebar", "social-share", "share-buttons", "post-navigation", "related-posts", "comments-area")),
-    )
-
     def fields(n: Column) -> Column:
         entry = Sel(cls=("entry-content",))
         boxes = select(n, [entry])
@@ -489,12 +514,11 @@ def marker_posts(nodes: Column, url: Column) -> Column:
         day = lambda v: let(v, lambda x: F.when(F.length(x) >= 10, F.substring(x, 1, 10)))
         return F.struct(let(content, parsed).alias("qa"), category.alias("category"), F.coalesce(day(meta), day(stamp), U.date_from_url(url)).alias("date"))
 
-    return let(strip_noise(nodes, noise), fields)
+    return let(strip_noise(nodes, POSTS_NOISE), fields)
 
 
 def bold_labels(nodes: Column, url: Column) -> Column:
     """Template with bold question and answer labels; generic selectors and headings fill gaps."""
-    noise = (Sel(cls=("hidden-print",)), Sel(tag=("footer", "header", "nav", "script", "style", "noscript")))
     crumbs = select(nodes, [Sel(tag=("a",), within=Sel(cls=("breadcrumb",)))])
     last_crumb = let(crumbs, lambda cs: F.get(cs, F.size(cs) - 1))
     breadcrumb = let(last_crumb, lambda e: F.when(e.isNotNull(), text_of(nodes, e)))
@@ -528,15 +552,13 @@ def bold_labels(nodes: Column, url: Column) -> Column:
 
         return F.struct(let(box, in_scope).alias("qa"))
 
-    pair = let(strip_noise(nodes, noise), fields)
+    pair = let(strip_noise(nodes, BOLD_NOISE), fields)
     category = let(breadcrumb, lambda b: F.when(T.meaningful_category(b), F.substring(b, 1, 512)))
     return F.struct(pair["qa"].alias("qa"), category.alias("category"), F.lit(None).cast("string").alias("date"))
 
 
 def linked_documents(nodes: Column, url: Column) -> Column:
     """Template whose answer is a linked document: question, category, date and the document's address."""
-    noise = (Sel(tag=("header", "footer", "nav", "script", "style", "noscript")), Sel(cls=("_m_widget",)))
-
     def fields(n: Column) -> Column:
         main = _tags("main")
         q = first_match_field(
@@ -572,7 +594,7 @@ def linked_documents(nodes: Column, url: Column) -> Column:
             doc.alias("doc_url"),
         )
 
-    return let(strip_noise(nodes, noise), fields)
+    return let(strip_noise(nodes, LINKED_NOISE), fields)
 
 
 def linked_records(pages: DataFrame, documents: DataFrame, label: str, script: str = T.ARABIC_SCRIPT, min_share: float = 0.45) -> DataFrame:
@@ -585,27 +607,11 @@ def linked_records(pages: DataFrame, documents: DataFrame, label: str, script: s
     return gated.withColumn("reason", F.when(unreadable, F.lit("answer not readable")).otherwise(F.col("reason"))).withColumn("source", F.lit(label))
 
 
-CONTAINERS = (
-    (Sel(tag=("li",), within=Sel(tag=("ul",), cls=("answer_detail",))),),
-    (Sel(cls=("answer_detail",)),),
-    (Sel(cls=("fata_detail",)),),
-    (_tags("article"),),
-    (Sel(cls=("main_content",)),),
-    (_tags("main"),),
-    (Sel(id="content"),),
-    (Sel(cls=("content",)),),
-    (Sel(cls=("row",), within=Sel(cls=("container",))),),
-    (_tags("body"),),
-)
-
-
 def multi_pass_choice(nodes: Column, url: Column, fallback: Column, containers=CONTAINERS) -> Column:
     """Heading template: light, then strict noise removal; containers in order; rules, then a coarse split.
 
     The first pair with a question of 10 and an answer of 30 characters wins; the result is NULL when none does.
     """
-    light = (Sel(tag=("header", "footer", "nav", "script", "style", "noscript", "aside", "iframe", "svg")),)
-    strict = light + (Sel(cls=("sidebar",)), Sel(cls=("social-share",)))
 
     def fits(x: Column) -> Column:
         return (F.length(x["question"]) >= 10) & (F.length(x["answer"]) >= 30)
@@ -638,7 +644,7 @@ def multi_pass_choice(nodes: Column, url: Column, fallback: Column, containers=C
         return F.aggregate(found, none, lambda best, c: F.coalesce(best, candidates(c)))
 
     none = F.lit(None).cast("struct<qa:struct<question:string,answer:string>,category:string>")
-    passes = F.array(strip_noise(nodes, light), strip_noise(nodes, strict))
+    passes = F.array(strip_noise(nodes, WALK_NOISE_LIGHT), strip_noise(nodes, WALK_NOISE_STRICT))
     both = F.aggregate(passes, none, lambda best, n: F.coalesce(best, attempt(n)))
     return let(both, lambda b: F.struct(b["qa"].alias("qa"), b["category"].alias("category"), F.lit(None).cast("string").alias("date")))
 

@@ -160,14 +160,16 @@ def _(t):
     return X.frontier_first_seen(links(t))
 
 
-@query("frontier_new", oracle=f"WITH {D.LINKS} SELECT DISTINCT l.url FROM links l WHERE url NOT IN (SELECT {D.canonical('url')} FROM pages) AND lower(url) NOT IN (SELECT 'https://' || lower(regexp_extract(url, '//([^/?#]*)', 1)) || '/the' FROM pages)")
+@query(
+    "frontier_new",
+    oracle=f"""WITH {D.LINKS} SELECT DISTINCT url FROM links WHERE url NOT IN (SELECT {D.canonical('url')} FROM pages)
+        AND url NOT IN (SELECT url FROM links WHERE page_url LIKE 'http://%')""",
+)
 def _(t):
-    seen = t.pages.select(U.canonical_url(C("url")).alias("url")).unionByName(
-        t.pages.select(F.concat(F.lit("https://"), U.host(C("url")), F.lit("/the")).alias("url"))
-    )
-    urls = X.frontier_first_seen(links(t)).filter(~F.lower("url").isin("") ).select("url")
-    lower_seen = seen.select(F.lower("url").alias("url"))
-    return X.frontier_new(urls.withColumn("orig", C("url")).withColumn("url", F.lower("url")), lower_seen).select(C("orig").alias("url"))
+    # Stored are the pages themselves, seen are the links of the pages without encryption.
+    plain = X.extract_links(t.pages.filter(F.startswith("url", F.lit("http://"))))
+    seen = t.pages.select(U.canonical_url(C("url")).alias("url")).unionByName(plain.select("url"))
+    return X.frontier_new(X.frontier_first_seen(links(t)).select("url"), seen)
 
 
 LISTING = """SELECT concat('/path/', CAST(doc_id % 5 AS STRING)) AS path, CAST(floor(doc_id / 5) AS BIGINT) + 1 AS page,

@@ -192,7 +192,6 @@ def _(t):
     FROM manual m LEFT JOIN users u ON u.id = m.actor_id LEFT JOIN reviewers r ON r.user_id = u.id""",
 )
 def _(t):
-    # Reviewer profiles of every third supplier are closed, so that the role alone does not suffice.
     return I.role_gate(manual(t), t.users, t.reviewers).select("id", "actor_id", "claimed_role", "reason")
 
 
