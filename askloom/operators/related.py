@@ -42,13 +42,14 @@ def keyword_matches(df: DataFrame, words: DataFrame, n: int) -> DataFrame:
     """``keyword, cards``: the first ``n`` records by id whose question or answer contains the keyword.
 
     Keywords hold no white space, so a text contains one exactly when one of its chunks does. The vocabulary maps
-    keywords to chunks and the index maps chunks to records. The first ``n`` are taken on the map side first.
+    keywords to chunks and the index maps chunks to records. Ranking by ``dense_rank`` lets a record that holds the
+    keyword in several chunks count once, so the first ``n`` are taken on the map side before anything is shuffled.
     """
     index = staged(chunk_index(df), "chunks")
     routes = chunks_containing(index, words.select(F.col("keyword").alias("needle")))
-    hits = index.join(_side(routes), "key").select(F.col("needle").alias("keyword"), "id").distinct()
+    hits = index.join(_side(routes), "key").select(F.col("needle").alias("keyword"), "id")
     w = W.partitionBy("keyword").orderBy("id")
-    first = hits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
+    first = hits.withColumn("rn", F.dense_rank().over(w)).filter(F.col("rn") <= n).select("keyword", "id").distinct()
     shown = first.join(df.select("id", _card().alias("card")), "id")
     return shown.groupBy("keyword").agg(F.array_sort(F.collect_list("card")).alias("cards"))
 
