@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.iinfo(np.int64).max
+LEAF_NONE = np.iinfo(np.int32).max
 TREE_WIDTH = 64  # longest match, in bytes, that is merged together with others
 KEPT_MATCHES = 400_000
 LONGEST_KEPT = 48
@@ -85,54 +86,57 @@ def load(content: bytes) -> Ranks:
 
 
 def merge_many(matches: list[bytes], width: int, ranks: Ranks) -> list[np.ndarray]:
-    """Ids of matches of 2 to ``width`` bytes, a power of two: one tree per match, all advanced one merge at a time."""
-    n, lengths = len(matches), np.array([len(m) for m in matches])
+    """Ids of matches of 2 to ``width`` bytes, a power of two: one tree per match, all advanced one merge at a time.
+
+    Tables are flat, one run of cells per match; position ``width`` stands for the end on either side.
+    """
+    n, cells = len(matches), width + 1
+    lengths = np.fromiter(map(len, matches), np.int32, n)
+    inside = np.arange(width, dtype=np.int32) < lengths[:, None]
     held = np.zeros((n, width), np.uint8)
-    held[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(matches), np.uint8)
-    ids = np.full((n, width + 1), -1, np.int64)
-    ids[:, :width] = np.where(np.arange(width) < lengths[:, None], ranks.byte[held], -1)
-    after = np.minimum(np.arange(1, width + 2), width) + np.zeros((n, 1), np.int64)
-    after = np.where(after < lengths[:, None], after, width)
-    before = np.arange(-1, width) + np.zeros((n, 1), np.int64)
-    tree = np.full((n, 2 * width), NONE, np.int64)
+    held[inside] = np.frombuffer(b"".join(matches), np.uint8)
+    ids = np.full((n, cells), -1, np.int64)
+    ids[:, :width] = np.where(inside, ranks.byte[held], -1)
+    after = np.full((n, cells), width, np.int32)
+    after[:, : width - 1] = np.where(inside[:, 1:], np.arange(1, width, dtype=np.int32), width)
+    before = np.full((n, cells), width, np.int32)
+    before[:, 1:width] = np.arange(width - 1, dtype=np.int32)
+    tree = np.full((n, 2 * width), LEAF_NONE, np.int32)
 
     def value(left: np.ndarray, right: np.ndarray, position: np.ndarray) -> np.ndarray:
         """Leaf of the pair: rank, then position."""
-        out = np.full(len(left), NONE, np.int64)
-        both = np.flatnonzero((left >= 0) & (right >= 0))
-        rank = ranks.of_pairs(left[both], right[both])
-        out[both] = np.where(rank < NONE, rank * width + position[both], NONE)
-        return out
+        rank = ranks.of_pairs(left, right)  # a pair with an id of -1 is in no vocabulary
+        return np.where(rank < NONE, rank * width + position, LEAF_NONE)
 
-    rows = np.repeat(np.arange(n), width - 1)
-    places = np.tile(np.arange(width - 1), n)
-    tree[:, width : 2 * width - 1] = value(ids[rows, places], ids[rows, places + 1], places).reshape(n, width - 1)
+    rows, places = np.nonzero(inside[:, 1:])
+    tree[rows, width + places] = value(ids[rows, places], ids[rows, places + 1], places)
     level = width
     while level > 1:
         tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
         level //= 2
-    live = np.flatnonzero(tree[:, 1] < NONE)
+    ids, after, before, tree = ids.ravel(), after.ravel(), before.ravel(), tree.ravel()
+    live = np.flatnonzero(tree[1 :: 2 * width] < LEAF_NONE)
     while len(live):
-        rank, p = tree[live, 1] // width, tree[live, 1] % width
-        gone = after[live, p]
-        right = after[live, gone]
-        left = before[live, p]
-        ids[live, p], ids[live, gone] = rank, -1
-        after[live, p] = right
-        before[live, right] = p
-        tree[live, width + gone] = NONE
-        tree[live, width + p] = value(rank, ids[live, right], p)
-        has = left >= 0
-        lefts = np.where(has, left, p)
-        tree[live[has], width + left[has]] = value(ids[live[has], left[has]], rank[has], left[has])
-        up = [width + gone, width + p, width + lefts]
-        while up[0][0] > 1:
+        at, top = live * cells, live * (2 * width)
+        rank, p = np.divmod(tree[top + 1], width)
+        gone = after[at + p]
+        right, left = after[at + gone], before[at + p]
+        ids[at + p], ids[at + gone] = rank, -1
+        after[at + p], before[at + right] = right, p
+        tree[top + width + gone] = LEAF_NONE
+        tree[top + width + p] = value(rank.astype(np.int64), ids[at + right], p)
+        has = np.flatnonzero(left < width)
+        tree[top[has] + width + left[has]] = value(ids[at[has] + left[has]], rank[has].astype(np.int64), left[has])
+        up = [width + gone, width + p, width + np.where(left < width, left, p)]
+        for _ in range(width.bit_length() - 1):
             up = [u >> 1 for u in up]
             for u in up:
-                tree[live, u] = np.minimum(tree[live, 2 * u], tree[live, 2 * u + 1])
-        live = live[tree[live, 1] < NONE]
-    kept = ids[:, :width] >= 0
-    return np.split(ids[:, :width][kept], np.cumsum(kept.sum(1))[:-1])
+                below = top + 2 * u
+                tree[top + u] = np.minimum(tree[below], tree[below + 1])
+        live = live[tree[top + 1] < LEAF_NONE]
+    ids = ids.reshape(n, cells)[:, :width]
+    kept = ids >= 0
+    return np.split(ids[kept], np.cumsum(kept.sum(1))[:-1])
 
 
 def merge_one(match: bytes, ranks: Ranks) -> list[int]:
