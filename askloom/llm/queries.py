@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import byte_bpe, line_dedup, token_counts, topk, toxicity
+from askloom.llm import byte_bpe, chat_rotation, line_dedup, token_counts, topk, toxicity
 from askloom.llm.tables import read
 
 TOKEN_LIMIT = 4096
@@ -39,6 +39,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.segments(read(spark, sf_dir, "conversations"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,10 +54,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_topk": op7_topk,
+    "op8_chat_rotation": op8_chat_rotation,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op7_topk": topk.ORACLE,
+    "op8_chat_rotation": chat_rotation.ORACLE,
 }
