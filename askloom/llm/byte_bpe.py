@@ -21,22 +21,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askloom.llm.words import slices
+
 NONE = np.iinfo(np.int64).max
 LEAF_NONE = np.iinfo(np.int32).max
 TREE_WIDTH = 64  # longest match, in bytes, that is merged together with others
-KEPT_MATCHES = 400_000
+KEPT_MATCHES = 300_000
+GROUP_BYTES = 1 << 20
 LONGEST_KEPT = 48
 
 # Encoded ids of matches met before, as little-endian bytes; shared by the tasks of a worker.
 _known: dict[str, bytes] = {}
 
 
+def vocabulary(content: bytes) -> dict[bytes, int]:
+    """Ranks of the tokens of a tiktoken file."""
+    return {base64.b64decode(t): int(r) for t, r in (line.split() for line in content.splitlines() if line)}
+
+
 class Ranks:
     """Vocabulary of a tiktoken file, with the rank of every pair of tokens that is a token together."""
 
     def __init__(self, content: bytes):
-        self.rank = {base64.b64decode(t): int(r) for t, r in (line.split() for line in content.splitlines() if line)}
-        self.token = dict(zip(self.rank.values(), self.rank.keys(), strict=True))
+        self.rank = vocabulary(content)
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         self.pair: dict[int, int] = {}
         for token, r in self.rank.items():
@@ -48,7 +55,7 @@ class Ranks:
 
     def _table(self) -> None:
         """Open addressing over the pairs, for lookups of many pairs at once."""
-        self.bits = max(4, (4 * len(self.pair)).bit_length())
+        self.bits = max(4, (2 * len(self.pair)).bit_length())
         keys = np.fromiter(self.pair.keys(), np.int64, len(self.pair))
         values = np.fromiter(self.pair.values(), np.int64, len(self.pair))
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int64)
@@ -85,6 +92,11 @@ def load(content: bytes) -> Ranks:
     return Ranks(content)
 
 
+@lru_cache(maxsize=2)
+def tokens(content: bytes) -> dict[int, bytes]:
+    return {r: t for t, r in vocabulary(content).items()}
+
+
 def merge_many(matches: list[bytes], width: int, ranks: Ranks) -> list[np.ndarray]:
     """Ids of matches of 2 to ``width`` bytes, a power of two: one tree per match, all advanced one merge at a time.
 
@@ -195,7 +207,7 @@ def encode_matches(matches: list[str], ranks: Ranks) -> dict[str, bytes]:
     return out
 
 
-def encode_texts(texts: list[str], ranks: Ranks, pattern: str, group_bytes: int = 4 << 20) -> Iterator[bytes]:
+def encode_texts(texts: list[str], ranks: Ranks, pattern: str, group_bytes: int = GROUP_BYTES) -> Iterator[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit integers."""
     import regex
 
@@ -229,10 +241,10 @@ def encode(docs: DataFrame, content: bytes, pattern: str, id_column: str = "doc_
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        for part in (p for batch in batches for p in slices(batch, most=GROUP_BYTES)):
+            texts = [t or "" for t in part.column("text").to_pylist()]
             ids = list(encode_texts(texts, load(content), pattern))
-            yield pa.record_batch([batch.column("id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+            yield pa.record_batch([part.column("id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
     return source.mapInArrow(run, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_column)
 
@@ -242,7 +254,7 @@ def decode(encoded: DataFrame, content: bytes) -> DataFrame:
     kind = f"{encoded.schema.simpleString()[7:-1]},decoded:binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = load(content).token
+        token = tokens(content)
         for batch in batches:
             raw = batch.column("ids").to_pylist()
             texts = [None if i is None else b"".join(map(token.__getitem__, np.frombuffer(i, "<u4").tolist())) for i in raw]

@@ -41,7 +41,9 @@ WINDOWS = (4, 8, 16, 32, 64, 128)
 LEAST_WORDS = 8
 SHIFT = 2
 DENSITY = 3
+LEAST_NEAR = 0.2
 INDEX_ITEMS = 5_000
+SLICE = 2 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -55,15 +57,15 @@ def bare(batch: pa.RecordBatch, column: str = "text") -> words.Words:
 
 def simhash(hashes: np.ndarray, windows: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
     """Fingerprints of the windows ``hashes[s : s + size]`` for each (starts, size): bit b is set where more than half of the words' hashes have it."""
-    out = [np.zeros(len(starts), np.uint64) for starts, _ in windows]
-    if not any(map(len, out)):
-        return out
-    sums = np.zeros(len(hashes) + 1, np.int32)
-    for b in range(64):
-        bit = np.uint64(b)
-        np.cumsum((hashes >> bit) & np.uint64(1), out=sums[1:])
-        for prints, (starts, size) in zip(out, windows, strict=True):
-            prints |= (2 * (sums[starts + size] - sums[starts]) > size).astype(np.uint64) << bit
+    # Sums over windows of doubling length; sizes are powers of two below 256, so a byte holds each count.
+    sums = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8), bitorder="little").reshape(-1, 64)
+    wanted = {size: k for k, (_, size) in enumerate(windows)}
+    out, length = [np.zeros(0, np.uint64)] * len(windows), 1
+    while length <= min(max(wanted, default=0), len(hashes)):
+        if length in wanted:
+            over = sums[windows[wanted[length]][0]] > length // 2
+            out[wanted[length]] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
+        sums, length = sums[:-length] + sums[length:], 2 * length
     return out
 
 
@@ -173,12 +175,17 @@ def match_texts(w: words.Words, index: Index) -> list[tuple[int, int, float, int
         candidates.update(zip(text[left].tolist(), owner[right].tolist(), (place[left] - offset[right]).tolist(), strict=True))
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for t, k, place in sorted(candidates):
+        if best.get((t, k), (0.0, 0))[0] == 1.0:
+            continue
         hashes, m = w.hashes[w.at[t] : w.at[t + 1]], len(index.items[k])
-        for start in sorted({min(max(place + d, 0), max(len(hashes) - m, 0)) for d in range(-SHIFT, SHIFT + 1)}, key=lambda s: (abs(s - place), s)):
+        last = max(len(hashes) - m, 0)
+        for d in sorted(range(-SHIFT, SHIFT + 1), key=abs):
+            start = min(max(place + d, 0), last)
             got = weighted_jaccard(shingle_hashes(hashes[start : start + m]), index.shingles[k], index.weight)
             if got >= THRESHOLD and (got, -start) > best.get((t, k), (0.0, 1)):
                 best[t, k] = (got, -start)
-            if got == 1.0:
+            # Moving by d words changes at most d shingles at either end: nothing near, nothing to gain.
+            if got == 1.0 or (d == 0 and got < LEAST_NEAR):
                 break
     return [(t, k, s, -start, len(index.items[k])) for (t, k), (s, start) in sorted(best.items())]
 
@@ -209,7 +216,7 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
         def run(batches: Iterator[pa.RecordBatch], held=(part.item_ids, part.items)) -> Iterator[pa.RecordBatch]:
             index = Index(*held)
             for batch in batches:
-                for some in words.slices(batch):
+                for some in words.slices(batch, most=SLICE):
                     w, (raw, _) = bare(some), words.buffers(some.column("text"))
                     rows = match_texts(w, index)
                     spans = [raw[w.starts[w.at[t] + s] : w.ends[w.at[t] + s + min(m, w.at[t + 1] - w.at[t]) - 1]].tobytes().decode() for t, _, _, s, m in rows]
@@ -230,7 +237,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, text_column: str = "text"
         def keep(batches: Iterator[pa.RecordBatch], held=(part.item_ids, part.items)) -> Iterator[pa.RecordBatch]:
             index = Index(*held)
             for batch in batches:
-                for some in words.slices(batch, text_column):
+                for some in words.slices(batch, text_column, SLICE):
                     hit = {r[0] for r in match_texts(bare(some, text_column), index)}
                     yield some.take(pa.array([i for i in range(some.num_rows) if i not in hit], pa.int64()))
 
