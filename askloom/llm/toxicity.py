@@ -226,6 +226,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: in
     if n > FIT_ROWS:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
     known = staged(known.withColumn("label", (F.col("label") > 0).cast("double")), "toxic-labels")
+    # At most about FIT_ROWS rows of two numbers: small enough to send, so texts and features need no shuffle.
+    known = F.broadcast(known)
     marked = texts.join(known, "id").select("text", "label")
     learned = learn_words(marked)
     rows = staged(featurize(texts, learned), "toxic-features")
