@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import byte_bpe, chat_rotation, decontamination, line_dedup, ngram_join, token_counts, topk, toxicity
+from askloom.llm import byte_bpe, chat_rotation, decontamination, line_dedup, maxent_lm, ngram_join, token_counts, topk, toxicity
 from askloom.llm.tables import read
 
 TOKEN_LIMIT = 4096
@@ -57,6 +57,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_topk": op7_topk,
     "op8_chat_rotation": op8_chat_rotation,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLE: dict[str, str] = {
