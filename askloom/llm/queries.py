@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import byte_bpe, chat_rotation, decontamination, line_dedup, maxent_lm, ngram_join, token_counts, topk, toxicity
+from askloom.llm import byte_bpe, chat_rotation, decontamination, line_dedup, maxent_lm, ngram_join, ordinal_quality, token_counts, topk, toxicity
 from askloom.llm.tables import read
 
 TOKEN_LIMIT = 4096
@@ -29,6 +29,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.score(read(spark, sf_dir, "documents"), ordinal_quality.graded(read(spark, sf_dir, "labels")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
@@ -64,6 +68,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
+    "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
