@@ -55,18 +55,20 @@ def covered(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, size: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with later occurrences removed from the text, and two columns at the end: _n_lines, _n_removed."""
-    whole = docs.select(F.struct("*").alias("row"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    whole = whole.withColumn("key", F.xxhash64("text"))
-    hits = covered(whole.select("id", "key", "text").where(F.col("text").contains("\n")), size)
+    text = F.col(f"`{text_column}`")
+    keyed = F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("key")
+    hits = covered(docs.select(*keyed, text.alias("text")).where(text.contains("\n")), size)
+    whole = docs.select(F.struct("*").alias("row"), *keyed)
     hits = hits.select(F.col("id").alias("hit_id"), F.col("key").alias("hit_key"), "starts")
     joined = whole.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.lit(size - 1)))))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - F.lit(1)), "gone")
     kept = F.array_join(F.transform(left, lambda p: F.element_at("lines", p + F.lit(1))), "\n")
-    joined = joined.withColumn("lines", _lines(F.col("text"))).withColumn("gone", gone)
-    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(kept).alias(text_column)
+    old = F.col("row").getField(text_column)
+    joined = joined.withColumn("lines", _lines(old)).withColumn("gone", gone)
+    text = F.when(F.col("starts").isNull(), old).otherwise(kept).alias(text_column)
     columns = [text if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).alias("_n_lines")
+    n_lines = F.when(old.isNull(), 0).otherwise(F.size("lines")).alias("_n_lines")
     return joined.select(*columns, n_lines, F.when(F.col("starts").isNull(), 0).otherwise(F.size("gone")).alias("_n_removed"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from askloom.llm import words
 from askloom.llm.components import connected_components
-from askloom.llm.tables import staged
+from askloom.llm.tables import fresh, staged
 
 BUCKET_BITS = 20
 CHUNK = 1 << 16
@@ -148,11 +148,6 @@ def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("id") == F.col("wanted"), "left_semi")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = ids.select(F.col("node").alias("unwanted"))
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("id") == F.col("unwanted"), "left_anti")
-
-
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in words.slices(b, most=SLICE)):
@@ -207,7 +202,7 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int, coun
 
     ``nodes`` names the ids that are not to be looked at, as they are copies of others.
     """
-    lists = staged(prefix_lists(_without(docs, nodes), size, num, den, counts), "prefix-lists")
+    lists = staged(prefix_lists(_drop(docs, nodes, F.col("id")), size, num, den, counts), "prefix-lists")
     leader = F.min(F.struct("at", "node")).alias("leader")
     leaders = lists.groupBy("h").agg(leader, F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     leaders = staged(leaders.select(F.col("h").alias("lh"), F.col("leader.at").alias("leader_at"), F.col("leader.node").alias("leader")), "leaders")
@@ -274,3 +269,31 @@ def join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_column:
         F.coalesce("label", "node", "id").alias("component_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
+
+
+def one_per_group(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of the least id of each component.
+
+    Rows with empty sets or NULL ids stay. Of rows that share a kept id and have words, the one whose text has the least hash stays.
+    """
+    joined = staged(join(docs.select(id_column, text_column), size, num, den, id_column, text_column), "groups")
+    ids = F.col(f"`{id_column}`")
+    worded = joined.where(ids.isNotNull() & (F.col("n_shingles") > 0))
+    gone = staged(worded.where(ids != F.col("component_id")).select(ids.alias("node")).distinct(), "dropped")
+    kept = _drop(docs, gone, ids)
+    repeated = staged(worded.groupBy(ids.alias("node")).count().where("count > 1").select("node"), "repeated")
+    if not repeated.take(1):
+        return kept
+    text = F.col(f"`{text_column}`")
+    has_words = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", "") != ""
+    several = kept.join(repeated, ids == F.col("node"), "left_semi").where(has_words)
+    first = several.groupBy(ids.alias("node")).agg(F.min_by(F.struct("*"), F.xxhash64(text)).alias("row"))
+    single = kept.join(repeated, ids == F.col("node"), "left_anti").unionByName(kept.join(repeated, ids == F.col("node"), "left_semi").where(~has_words))
+    return single.unionByName(first.select("row.*"))
+
+
+def _drop(docs: DataFrame, ids: DataFrame, id_column: Column) -> DataFrame:
+    """Rows of ``docs`` whose id is not in the written ``ids``: a broadcast up to a counted size, a shuffle join beyond it."""
+    unwanted = fresh(docs, "unwanted")
+    ids = ids.select(F.col("node").alias(unwanted))
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, id_column == F.col(unwanted), "left_anti")

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from askloom.session import staged
 
-__all__ = ["fold_of", "pick", "read", "staged"]
+__all__ = ["fold_of", "fresh", "read", "staged"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def pick(df: DataFrame, *columns: str, **casts: str) -> DataFrame:
-    """Only the named columns, so extra columns of a caller can never clash with those an operator adds."""
-    wanted = [F.col(f"`{c}`") for c in columns] + [F.col(f"`{c}`").cast(kind).alias(c) for c, kind in casts.items()]
-    return df.select(*wanted)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have: ``name``, with underscores behind it if need be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

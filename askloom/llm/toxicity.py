@@ -17,17 +17,19 @@ labels of one kind only, every score is that kind's rate (0.5 without any). Repe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from askloom.llm import words
-from askloom.llm.tables import fold_of, staged
+from askloom.llm.tables import fold_of, fresh, staged
 
 FIT_ROWS = 60_000
 LEARNED_WORDS = 500
@@ -38,7 +40,7 @@ NEAR = 4
 # Words of abuse, and second-person words, by language.
 ABUSE = """
 idiot idiots moron morons stupid dumb dumbass imbecile cretin loser losers clown clowns scum trash garbage worthless pathetic disgusting
-filth filthy vermin pig pigs rat bastard bitch asshole jerk freak retard fool ugly hate kill die shut
+filth filthy vermin bastard bitch asshole jerk freak retard fool ugly
 idiote idiotes imbécile crétin connard connasse salaud salope ordure débile minable raclure abruti
 idiota idiotas imbécil estúpido estúpida tonto basura asqueroso patético inútil escoria cabrón puta payaso
 dumm dummkopf trottel depp arschloch schwein abschaum müll wertlos erbärmlich widerlich ekelhaft
@@ -114,9 +116,9 @@ def _member(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == hashes, at, -1)
 
 
-def features_of(batch: pa.RecordBatch, learned: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def features_of(batch: pa.RecordBatch, text_column: str, learned: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Feature rows (float32) of the texts of a batch; ``learned`` are sorted word hashes with their weights."""
-    w = words.batch_words(batch)
+    w = words.batch_words(batch, text_column)
     bare = bare_words(w)
     sizes = np.maximum(np.diff(w.offsets), 1).astype(float)
     n_words = np.maximum(np.diff(bare.at), 1).astype(float)
@@ -199,61 +201,78 @@ def learn_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], odds[order]
 
 
-def featurize(docs: DataFrame, learned: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id and features (ARRAY<FLOAT>) of every row; ``docs`` has id and text."""
-    kind = docs.schema["id"].dataType.simpleString()
+def featurize(docs: DataFrame, text_column: str, name: str, learned: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """All rows and columns of ``docs`` and a last column ``name`` with the features (ARRAY<FLOAT>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.slices(batch):
-                rows = features_of(part, *learned)
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float32()))
-                yield pa.record_batch([part.column("id"), flat], ["id", "features"])
+        for part in (p for b in batches for p in words.slices(b, text_column)):
+            rows = features_of(part, text_column, *learned)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float32()))
+            yield pa.record_batch([*part.columns, flat], [*part.schema.names, name])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, features array<float>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(FloatType()))]))
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text); ``labels`` has doc_id and ``label``.
+@dataclass
+class Scorer:
+    """Fitted trees and calibration, or the rate that stands in for them (see module text)."""
 
-    Rows whose fold (crc32 of the id, modulo ``folds``) is ``held_out`` are never learned from.
-    """
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    fold = fold_of(F.col("id"), folds)
+    learned: tuple[np.ndarray, np.ndarray]
+    trees: GBTClassificationModel | None = None
+    steps: IsotonicRegressionModel | None = None
+    rate: float = 0.5
+
+    def apply(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
+        """row (all columns of ``docs`` as they are) and score of every row."""
+        if self.trees is None or self.steps is None:
+            return docs.select(F.struct("*").alias("row"), F.lit(self.rate).alias("score"))
+        name = fresh(docs, "features")
+        rows = featurize(docs, text_column, name, self.learned)
+        rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), array_to_vector(F.col(f"`{name}`")).alias("features"))
+        scored = self.steps.transform(margin(self.trees, rows).select("row", "margin"))
+        # The step function has ties; a small share of the trees' own value keeps their order.
+        score = F.lit(0.98) * F.col("prediction") + F.lit(0.02) * F.col("margin")
+        return scored.select("row", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+
+def margin(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
+    """``rows`` (with features) and margin, the trees' probability of label 1."""
+    return trees.transform(rows).withColumn("margin", vector_to_array("probability")[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, folds: int = 5, id_column: str = "doc_id", text_column: str = "text") -> Scorer:
+    """Learns from rows whose fold (crc32 of the id, modulo ``folds``) is not ``held_out``; ``labels`` has doc_id and ``label``."""
+    texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL AND NOT isnan(label)")
-    known = known.where(fold != held_out).groupBy("id").agg(F.max("label").alias("label"))
+    known = known.where(fold_of(F.col("id"), folds) != held_out).groupBy("id").agg(F.max("label").alias("label"))
     n = known.count()
     if n > FIT_ROWS:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
     known = staged(known.withColumn("label", (F.col("label") > 0).cast("double")), "toxic-labels")
-    # At most about FIT_ROWS rows of two numbers: small enough to send, so texts and features need no shuffle.
-    known = F.broadcast(known)
-    marked = texts.join(known, "id").select("text", "label")
-    learned = learn_words(marked)
-    rows = staged(featurize(texts, learned), "toxic-features")
-    fit = rows.join(known, "id").select("id", "label", array_to_vector("features").alias("features")).dropDuplicates(["id"])
-    fit = staged(fit.coalesce(8), "toxic-fit")
+    # At most about FIT_ROWS rows of two numbers: small enough to send, so texts need no shuffle.
+    marked = texts.join(F.broadcast(known), "id")
+    learned = learn_words(marked.select("text", "label"))
+    rows = staged(featurize(marked, "text", "values", learned).drop("text").coalesce(12), "toxic-features")
+    rows = rows.select("id", "label", array_to_vector("values").alias("features"))
     # Which of the learning rows calibrate is a hash of the id, independent of the fold.
     calibrate = F.pmod(F.xxhash64(F.col("id"), F.lit("calibrate")), F.lit(4)) == 0
-    rate = fit.agg(F.avg("label").alias("rate"), F.min("label").alias("low"), F.max("label").alias("high")).first()
-    out = rows.select(F.col("id").alias("doc_id"), F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), array_to_vector("features").alias("features"))
-    parts = fit.where(~calibrate), fit.where(calibrate)
-    if any(p.select("label").distinct().count() < 2 for p in parts):
-        share = 0.5 if rate["rate"] is None else float(rate["rate"])
-        return out.select("doc_id", "held_out", F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=4, maxIter=24, stepSize=0.25, maxBins=48, minInstancesPerNode=2, subsamplingRate=1.0, seed=7)
-    model = trees.fit(parts[0])
-    return _calibrated(model, parts[1], out)
-
-
-def _calibrated(model, part: DataFrame, out: DataFrame) -> DataFrame:
-    """Scores of ``out`` from the trees' probability, mapped by a non-decreasing step function fitted on ``part``."""
-
-    def raw(df: DataFrame) -> DataFrame:
-        return model.transform(df).withColumn("margin", vector_to_array("probability")[1])
-
-    iso = IsotonicRegression(featuresCol="margin", labelCol="label").fit(raw(part).select("margin", "label"))
-    scored = iso.transform(raw(out).select("doc_id", "held_out", "margin"))
-    # The step function has ties; a small share of the trees' own value keeps their order.
-    score = F.least(F.greatest(F.lit(0.98) * F.col("prediction") + F.lit(0.02) * F.col("margin"), F.lit(0.0)), F.lit(1.0))
-    return scored.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    train, check = rows.where(~calibrate), rows.where(calibrate)
+    if any(p.select("label").distinct().count() < 2 for p in (train, check)):
+        rate = rows.agg(F.avg("label").alias("rate")).first()["rate"]
+        return Scorer(learned, rate=0.5 if rate is None else float(rate))
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=4, maxIter=24, stepSize=0.25, maxBins=48, minInstancesPerNode=2, seed=7)
+    trees = gbt.fit(train)
+    steps = IsotonicRegression(featuresCol="margin", labelCol="label").fit(margin(trees, check).select("margin", "label"))
+    return Scorer(learned, trees, steps)
+
+
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, folds: int = 5) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text)."""
+    scored = fit(docs, labels, label, held_out, folds).apply(docs.select("doc_id", "text"))
+    held = F.coalesce(fold_of(F.col("row.doc_id"), folds) == held_out, F.lit(False))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    return fit(docs, labels).apply(docs).where(F.col("score") < threshold).select("row.*")

@@ -3,11 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from askloom.llm import byte_bpe, queries
+from askloom.llm import byte_bpe, decontamination, line_dedup, ngram_join, queries, toxicity
 from askloom.llm.tables import read, staged
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score does not reject."""
+    return toxicity.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without its later occurrences of three-line windows; n_chars follows the text."""
+    done = line_dedup.dedup_lines(docs)
+    n_chars = F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
+    return ngram_join.one_per_group(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids' digests of every document that is left."""
     import public_tokenizers
@@ -16,6 +39,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", one_per_group),
+    ("benchmark decontamination", decontaminate),
     ("byte-level BPE encoding and decoding", encode),
 ]
 
