@@ -281,15 +281,15 @@ def one_per_group(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, i
     worded = joined.where(ids.isNotNull() & (F.col("n_shingles") > 0))
     gone = staged(worded.where(ids != F.col("component_id")).select(ids.alias("node")).distinct(), "dropped")
     kept = _drop(docs, gone, ids)
-    repeated = staged(worded.groupBy(ids.alias("node")).count().where("count > 1").select("node"), "repeated")
+    same = fresh(docs, "same")
+    repeated = staged(worded.groupBy(ids.alias(same)).count().where("count > 1").select(same), "repeated")
     if not repeated.take(1):
         return kept
     text = F.col(f"`{text_column}`")
     has_words = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", "") != ""
-    several = kept.join(repeated, ids == F.col("node"), "left_semi").where(has_words)
-    first = several.groupBy(ids.alias("node")).agg(F.min_by(F.struct("*"), F.xxhash64(text)).alias("row"))
-    single = kept.join(repeated, ids == F.col("node"), "left_anti").unionByName(kept.join(repeated, ids == F.col("node"), "left_semi").where(~has_words))
-    return single.unionByName(first.select("row.*"))
+    several = kept.join(repeated, ids == F.col(same), "left_semi")
+    first = several.where(has_words).groupBy(ids.alias(same)).agg(F.min_by(F.struct("*"), F.xxhash64(text)).alias("kept"))
+    return kept.join(repeated, ids == F.col(same), "left_anti").unionByName(several.where(~has_words)).unionByName(first.select("kept.*"))
 
 
 def _drop(docs: DataFrame, ids: DataFrame, id_column: Column) -> DataFrame:
@@ -297,3 +297,25 @@ def _drop(docs: DataFrame, ids: DataFrame, id_column: Column) -> DataFrame:
     unwanted = fresh(docs, "unwanted")
     ids = ids.select(F.col("node").alias(unwanted))
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, id_column == F.col(unwanted), "left_anti")
+
+
+# Documents linked at 85 hundredths on four-word shingles.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(words) - 3) + 1),
+         lambda i: array_to_string(list_slice(words, i, i + 3), ' '))) END AS shingles
+  FROM w
+),
+n AS (SELECT doc_id, len(shingles) AS n FROM s),
+e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 85 * (na.n + nb.n - common)
+),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT n.doc_id, CAST(any_value(n.n) AS BIGINT) AS n_shingles, min(b) AS component_id FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id
+"""

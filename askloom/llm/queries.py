@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.llm import byte_bpe, chat_rotation, decontamination, line_dedup, maxent_lm, ngram_join, ordinal_quality, token_counts, topk, toxicity
-from askloom.llm.tables import read
+from askloom.llm.tables import read, staged
+
+__all__ = ["ORACLE", "QUERIES", "read", "staged", "tokenizer_file"]
 
 TOKEN_LIMIT = 4096
 
@@ -26,7 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(read(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return ngram_join.join(read(spark, sf_dir, "documents"), size=4, num=85, den=100).drop("n_copies")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_ngram_join": ngram_join.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op7_topk": topk.ORACLE,
     "op8_chat_rotation": chat_rotation.ORACLE,
