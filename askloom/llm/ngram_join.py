@@ -2,13 +2,13 @@
 
 A document's set holds its distinct shingles of ``size`` consecutive lower-cased words. Documents of equal sets form one class, found by a 128-bit
 signature of the set; only one document of each class goes on. Shingles have one global order: rarer ones first, by counts of
-all documents in 2**20 hash buckets (any order is right, this one keeps common passages out of the lists). Two sets with
+all documents in 2**22 hash buckets (any order is right, this one keeps common passages out of the lists). Two sets with
 Jaccard similarity of at least t share a shingle among the first n - ceil(t n) + 1 of each, so lists of these prefixes hold all links.
 
 Set-relation skipping works at two levels, both from answers for one set that serve the sets related to it.
 
-1. Each list is answered first for its leader (the smallest set) only: members are compared with the leader, which costs one
-   comparison a member. Members found linked to a common set take over its component.
+1. Each list is answered first for its leader only, the set with the most common prefix: members are compared with the leader, which costs
+   one comparison a member. Members found linked to a common set take over its component.
 2. What is left is derived from those answers: within a list, members of one component need no comparison with each other.
    Lists are cut into blocks of one component and one size band, and each block carries the range of its sizes and the furthest reach of its
    positions. Pairs of blocks of one component, or out of each other's sizes, or whose positions leave too few shingles behind, are skipped whole; only
@@ -34,7 +34,7 @@ from askloom.llm import words
 from askloom.llm.components import connected_components
 from askloom.llm.tables import fresh, staged
 
-BUCKET_BITS = 20
+BUCKET_BITS = 22
 CHUNK = 1 << 16
 SLICE = 2 << 20
 BROADCAST_ROWS = 400_000  # of two longs, about 20 MB
@@ -80,12 +80,13 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
         for part in (p for b in batches for p in words.slices(b, most=SLICE)):
             sets = shingles(words.batch_words(part), size)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counts += np.bincount((flat >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            buckets, held = np.unique(flat >> np.uint64(64 - BUCKET_BITS), return_counts=True)
+            counts[buckets.astype(np.int64)] += held.astype(np.uint32)
             s1, s2 = _signature(sets)
             n = pa.array([len(s) for s in sets], pa.int64())
             yield pa.record_batch([part.column("id"), n, pa.array(s1), pa.array(s2), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if counts.any():
-            held = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, CHUNK)
+            held = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)
             null = pa.nulls(len(held), pa.int64())
             yield pa.record_batch([null, null, null, null, pa.array(range(len(held)), pa.int32()), pa.array([c.tobytes() for c in held], pa.binary())], names)
 
@@ -100,7 +101,7 @@ def _summed(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for k, c in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
                 raw = c.as_buffer()
-                held = np.frombuffer(raw, np.uint16 if raw.size == 2 * CHUNK else np.uint64)
+                held = np.frombuffer(raw, np.uint8 if raw.size == CHUNK else np.uint64)
                 total[k] = held + (total[k] if k in total else np.zeros(CHUNK, np.uint64))
         if total:
             yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
@@ -108,38 +109,45 @@ def _summed(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, "chunk int, counts binary")
 
 
-def bucket_counts(chunks: DataFrame) -> np.ndarray:
-    """Number of documents by bucket, over all documents: a table of fixed size, summed in two steps."""
+def bucket_levels(chunks: DataFrame) -> np.ndarray:
+    """Logarithmic level (quarters of an octave) of the number of documents by bucket: a table of 4 MB, summed in two steps.
+
+    A task counts up to 255 in a bucket, which is common enough already.
+    """
     parts = _summed(chunks.repartition(16, "chunk", F.pmod(F.xxhash64("counts"), F.lit(8))))
-    rows = _summed(parts.repartition(4, "chunk")).collect()
-    out = np.zeros((1 << BUCKET_BITS) // CHUNK * CHUNK, np.uint64).reshape(-1, CHUNK)
-    for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint64)
-    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
+    out = np.zeros(((1 << BUCKET_BITS) // CHUNK, CHUNK), np.uint8)
+    for r in _summed(parts.repartition(8, "chunk")).toLocalIterator():
+        out[r["chunk"]] = np.minimum(4 * np.log2(np.frombuffer(r["counts"], np.uint64).astype(float) + 1), 255)
+    return out.ravel()
 
 
-def prefix_lists(docs: DataFrame, size: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """h, node, at: the shingles of each document's prefix; ``at`` holds the set's size (upper 32 bits) and the shingle's position."""
+def prefix_lists(docs: DataFrame, size: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
+    """h, node, at, common: the shingles of each document's prefix.
+
+    ``at`` holds the set's size (upper 32 bits) and the shingle's position; ``common`` is the mean level of the prefix, highest
+    for the documents in the middle of a group of near copies, which have the fewest shingles of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in words.slices(b, most=SLICE)):
             sets = shingles(words.batch_words(part), size)
             ids = part.column("id").to_numpy(zero_copy_only=False)
-            h, node, at = [], [], []
+            h, node, at, common = [], [], [], []
             for i, s in enumerate(sets):
                 n = len(s)
                 if n:
                     p = n - -(-num * n // den) + 1
-                    rare = counts[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                    # s is sorted, so a stable sort by count breaks ties by hash: the same order everywhere.
-                    first = s[np.argsort(rare, kind="stable")[:p]]
-                    h.append(first)
+                    level = levels[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                    # s is sorted, so a stable sort by level breaks ties by hash: the same order everywhere.
+                    order = np.argsort(level, kind="stable")[:p]
+                    h.append(s[order])
+                    common.append(np.full(p, level[order].mean(), np.int16))
                     node.append(np.full(p, ids[i], np.int64))
                     at.append((n << 32) + np.arange(p, dtype=np.int64))
             if h:
-                yield pa.record_batch([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(at))], ["h", "node", "at"])
+                yield pa.record_batch([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(at)), pa.array(np.concatenate(common))], ["h", "node", "at", "common"])
 
-    return docs.mapInArrow(run, "h long, node long, at long")
+    return docs.mapInArrow(run, "h long, node long, at long, common short")
 
 
 def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -197,16 +205,16 @@ def _fit(n1: Column, n2: Column, left1: Column, left2: Column, num: int, den: in
     return sizes & (F.least(left1, left2) * (num + den) >= (n1 + n2) * num)
 
 
-def links(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int, levels: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Links that suffice for the components of ``docs`` (id, text), and the components of nodes that have links.
 
     ``nodes`` names the ids that are not to be looked at, as they are copies of others.
     """
-    lists = staged(prefix_lists(_drop(docs, nodes, F.col("id")), size, num, den, counts), "prefix-lists")
-    leader = F.min(F.struct("at", "node")).alias("leader")
+    lists = staged(prefix_lists(_drop(docs, nodes, F.col("id")), size, num, den, levels), "prefix-lists")
+    leader = F.min(F.struct(-F.col("common"), F.col("at"), F.col("node"))).alias("leader")
     leaders = lists.groupBy("h").agg(leader, F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     leaders = staged(leaders.select(F.col("h").alias("lh"), F.col("leader.at").alias("leader_at"), F.col("leader.node").alias("leader")), "leaders")
-    shared = staged(lists.join(leaders, F.col("h") == F.col("lh")).drop("lh"), "shared-lists")
+    shared = staged(lists.join(leaders, F.col("h") == F.col("lh")).drop("lh", "common"), "shared-lists")
     near = _fit(_n(F.col("at")), _n(F.col("leader_at")), _left(F.col("at")), _left(F.col("leader_at")), num, den)
     first = shared.where((F.col("node") != F.col("leader")) & near)
     first = staged(first.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
@@ -251,7 +259,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_column:
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
     described = staged(describe(texts, size), "sets")
     sets = described.where("n IS NOT NULL").select("id", "n", "s1", "s2")
-    counts = bucket_counts(described.where("counts IS NOT NULL").select("chunk", "counts"))
+    levels = bucket_levels(described.where("counts IS NOT NULL").select("chunk", "counts"))
     classes = sets.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.count("*").alias("n_copies"))
     classes = staged(classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "node", "n_copies"), "classes")
     of_class = (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") > 0) & F.col("id").isNotNull()
@@ -260,7 +268,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_column:
     several = member.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
     copies = staged(member.where("id <> node").select(F.col("id").alias("node")).join(classes.select("node"), "node", "left_anti").distinct(), "copies")
     usable = texts.where("id IS NOT NULL")
-    found, _ = links(usable, copies, size, num, den, counts)
+    found, _ = links(usable, copies, size, num, den, levels)
     final = staged(connected_components(found.unionByName(several), "a", "b"), "components").withColumnRenamed("node", "l_node")
     out = member.join(final, F.col("node") == F.col("l_node"), "left")
     return out.select(
