@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.session import staged
+from askloom.session import checkpoint_root
 
 __all__ = ["fold_of", "fresh", "read", "staged"]
 
@@ -22,6 +24,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as a table below the checkpoint folder, packed tightly, and read back; a lost executor costs a re-read."""
+    path = f"{checkpoint_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; NULL for a NULL id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
