@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from askloom.functions.text import bound, contains_any, let, lines_of, squash, strip
+from askloom.functions.text import bound, contains_any, cut, let, lines_of, squash, strip
 
 # Marker words of the page templates ------------------------------
 ANSWER_WORD = "جواب"
@@ -31,15 +31,13 @@ def qa(question: Column, answer: Column) -> Column:
 
 
 @bound
-def split_qa_marker(c: Column, marker: str = ANSWER_WORD) -> Column:
-    """At the answer marker; without one the first line is the question."""
+def split_qa_marker(c: Column, marker: str = ANSWER_WORD, width: int | None = None, line_width: int | None = None) -> Column:
+    """At the answer marker; without one the first line is the question. Widths cut the question of either form if given."""
 
     def parts(at: Column) -> Column:
-        cut = F.instr(c, "\n")
-        head = F.when(at > 0, F.substring(strip(F.left(c, at - 1)), 1, 1200)).otherwise(
-            F.substring(F.substring_index(c, "\n", 1), 1, 500)
-        )
-        tail = F.when(at > 0, F.substring(c, at, F.length(c))).when(cut > 0, F.substring(c, cut + 1, F.length(c))).otherwise(c)
+        end = F.instr(c, "\n")
+        head = F.when(at > 0, cut(strip(F.left(c, at - 1)), width)).otherwise(cut(F.substring_index(c, "\n", 1), line_width))
+        tail = F.when(at > 0, F.substring(c, at, F.length(c))).when(end > 0, F.substring(c, end + 1, F.length(c))).otherwise(c)
         return qa(squash(head), squash(tail))
 
     return let(F.instr(c, marker), parts)
@@ -78,8 +76,11 @@ def _from(arr: Column, start: Column, n: Column | int) -> Column:
     return F.slice(arr, start, F.greatest(n, F.lit(0)))
 
 
-def split_qa_lines(c: Column, q_word: str = QUESTION_WORD, a_word: str = ANSWER_WORD, footers=FOOTER_MARKERS, colons: str = ":：") -> Column:
-    """Line walk: the first question line and the first answer line decide, even when they yield nothing."""
+def split_qa_lines(c: Column, q_word: str = QUESTION_WORD, a_word: str = ANSWER_WORD, footers=FOOTER_MARKERS, colons: str = ":：", reach: int | None = None) -> Column:
+    """Line walk: the first question line and the first answer line decide, even when they yield nothing.
+
+    The question goes on to the line that names the answer, or for ``reach`` lines at most if given.
+    """
 
     def is_alone(word: str, x: Column) -> Column:
         return x.rlike(rf"\A{word}\s*[{colons}]?\s*\z")
@@ -96,7 +97,7 @@ def split_qa_lines(c: Column, q_word: str = QUESTION_WORD, a_word: str = ANSWER_
             stop = _first(F.transform(window, lambda x: F.contains(x, F.lit(a_word))))
             return let(stop, lambda s: F.when(s > 0, _from(window, F.lit(1), s - 1)).otherwise(window))
 
-        body = F.filter(let(_from(lines, at + 1, 9), block), lambda x: F.length(x) > 10)
+        body = F.filter(let(_from(lines, at + 1, F.size(lines) if reach is None else reach), block), lambda x: F.length(x) > 10)
         line = F.get(lines, at - 1)
         return F.when(at > 0, F.when(is_alone(q_word, line), F.array_join(body, "\n")).otherwise(inline(q_word, line)))
 

@@ -51,6 +51,16 @@ def _unescape_nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", html.unescape(t)), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
+
+
+def unescape(c: Column) -> Column:
+    """HTML entities decoded, nothing else; only values with an ampersand travel to Python."""
+    return F.coalesce(_unescape(let(c, lambda x: F.when(F.contains(x, F.lit("&")), x))), c)
+
+
 def unescape_nfc(c: Column) -> Column:
     """HTML entities decoded, then NFC. Only values that can change travel to Python; others go as NULL."""
 
@@ -139,8 +149,13 @@ def preview(c: Column, n: int = 200) -> Column:
     return F.concat(F.substring(c, 1, n), F.when(F.length(c) > n, F.lit("...")).otherwise(F.lit("")))
 
 
-def blank_to_null(c: Column, n: int) -> Column:
-    return F.substring(F.nullif(strip(c), F.lit("")), 1, n)
+def cut(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters; all of them by default."""
+    return c if n is None else F.substring(c, 1, n)
+
+
+def blank_to_null(c: Column, n: int | None = None) -> Column:
+    return cut(F.nullif(strip(c), F.lit("")), n)
 
 
 def script_counts(c: Column, script: str = ARABIC_SCRIPT) -> Column:
@@ -166,9 +181,9 @@ def readable_script(
     return let(strip(c), verdict)
 
 
-def blocked_page(c: Column, phrases=BLOCK_PHRASES, head: int = 5000) -> Column:
-    """Interstitial test; by definition it looks at the start of the page only."""
-    return (F.coalesce(c, F.lit("")) == "") | contains_any(F.substring(c, 1, head), phrases)
+def blocked_page(c: Column, phrases=BLOCK_PHRASES, head: int | None = None) -> Column:
+    """Interstitial test: an empty page, or one that holds a phrase, anywhere or within its first ``head`` characters."""
+    return (F.coalesce(c, F.lit("")) == "") | contains_any(cut(c, head), phrases)
 
 
 def keywords(c: Column, stop=STOP_WORDS, k: int = 3, min_len: int = 4) -> Column:
@@ -215,10 +230,10 @@ def title_trim(c: Column, seps=(" | ", " - "), first_only: bool = False) -> Colu
     return c
 
 
-def category_join(a: Column, b: Column, n: int = 512) -> Column:
+def category_join(a: Column, b: Column, n: int | None = None) -> Column:
     a, b = F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))
     both = F.when(a != b, F.concat(a, F.lit(" — "), b))
-    return F.substring(F.coalesce(both, a, b), 1, n)
+    return cut(F.coalesce(both, a, b), n)
 
 
 def meaningful_category(c: Column, generic=("home", "index", "main", "صفحہ اول", "خانہ"), min_len: int = 4) -> Column:
@@ -232,7 +247,7 @@ TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 def _accent_pairs() -> tuple[str, str]:
     src, dst = [], []
-    for cp in range(0xC0, 0x250):
+    for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         base = unicodedata.normalize("NFD", chr(cp))[0]
         if base != chr(cp) and base.isascii():
             src.append(chr(cp))
@@ -252,7 +267,7 @@ def tokens(c: Column) -> Column:
     """
     text = let(F.lower(F.coalesce(c, F.lit(""))), lambda x: F.when(x.rlike(_COMBINING), F.regexp_replace(x, _COMBINING, "")).otherwise(x))
     found = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    return F.transform(found, lambda w: F.when(w.rlike(r"[\x{C0}-\x{24F}]"), F.translate(w, _ACCENTED, _BASE)).otherwise(w))
+    return F.transform(found, lambda w: F.when(w.rlike(r"[\x{C0}-\x{24F}\x{1E00}-\x{1EFF}]"), F.translate(w, _ACCENTED, _BASE)).otherwise(w))
 
 
 DROPPED_BLOCKS = ("script", "style", "noscript", "iframe", "svg", "nav", "footer", "header")

@@ -107,9 +107,15 @@ def date_from_url(c: Column) -> Column:
     return F.coalesce(F.nullif(tail, F.lit("")), F.nullif(iso, F.lit("--")))
 
 
+def percent_decode(c: Column) -> Column:
+    """Percent escapes decoded; malformed ones and ``+`` stay as they are."""
+    safe = F.replace(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(safe), c)
+
+
 def url_segments(c: Column) -> Column:
     """Non-empty path segments; a leading run of ``index.php`` front-controller segments does not count."""
-    p = F.regexp_replace(path(c), r"(?i)\A(/index\.php){1,10}/", "/")
+    p = F.regexp_replace(path(c), r"(?i)\A(/index\.php)+/", "/")
     return F.filter(F.split(p, "/"), lambda s: s != "")
 
 

@@ -105,14 +105,19 @@ def recent_sessions(sessions: DataFrame, messages: DataFrame, n: int = RECENT, f
     newest = W.partitionBy("user_id").orderBy(F.desc("last_message_at"), F.desc("session_id"))
     top = sessions.filter("is_active").withColumn("session_rank", F.row_number().over(newest)).filter(F.col("session_rank") <= n)
     opening = W.partitionBy("session_id").orderBy("created_at", "turn")
-    head = messages.select("session_id", "created_at", "turn", "role", "content").withColumn("rn", F.row_number().over(opening))
+    # Only messages of the listed sessions are ranked.
+    asked = messages.select("session_id", "created_at", "turn", "role", "content").join(top.select("session_id"), "session_id", "left_semi")
+    head = asked.withColumn("rn", F.row_number().over(opening))
     heads = head.filter(F.col("rn") <= first).groupBy("session_id")
     listed = heads.agg(F.array_sort(F.collect_list(F.struct("created_at", "turn", "role", "content"))).alias("messages"))
     return top.select("user_id", "session_rank", "session_id", "record_id").join(listed, "session_id", "left")
 
 
 def session_upsert(messages: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Sessions with first and last message time and message count; stored sessions keep their creation time."""
+    """Sessions with first and last message time and message count.
+
+    Stored sessions stay, also without new messages (count 0), with their owner, record and creation time.
+    """
     per = messages.groupBy("session_id").agg(
         F.min("user_id").alias("user_id"),
         F.min("record_id").alias("record_id"),
@@ -122,14 +127,15 @@ def session_upsert(messages: DataFrame, sessions: DataFrame | None = None) -> Da
     )
     if sessions is None:
         return per
-    old = sessions.select("session_id", F.col("created_at").alias("old_created_at"), F.col("last_message_at").alias("old_last"))
-    joined = per.join(old, "session_id", "left")
-    return joined.withColumns(
-        {
-            "created_at": F.coalesce("old_created_at", "created_at"),
-            "last_message_at": F.coalesce(F.greatest("last_message_at", "old_last"), "last_message_at"),
-        }
-    ).drop("old_created_at", "old_last")
+    kept = ("user_id", "record_id", "created_at", "last_message_at")
+    old = sessions.select("session_id", *[F.col(c).alias(f"old_{c}") for c in kept])
+    joined = per.join(old, "session_id", "full")
+    return joined.select(
+        "session_id",
+        *[F.coalesce(f"old_{c}", c).alias(c) for c in ("user_id", "record_id", "created_at")],
+        F.greatest("last_message_at", "old_last_message_at").alias("last_message_at"),
+        F.coalesce("n_messages", F.lit(0)).alias("n_messages"),
+    )
 
 
 def session_owner_check(messages: DataFrame, sessions: DataFrame) -> DataFrame:

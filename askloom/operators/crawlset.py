@@ -10,13 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from askloom.functions import urls as U
-from askloom.functions.text import let, squash, strip
+from askloom.functions.text import let, normalize_text, squash, strip, unescape, unescape_nfc
 from askloom.session import is_small
 
-_ANCHOR = r"""(?is)<a\s[^>]*?href=["']([^"'>]*)["'][^>]*>(.*?)</a>"""
+# An anchor with a quoted or bare href, up to its end tag, the next anchor or the end of the page.
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_ANCHOR = rf"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*{_VALUE}[^>]*>(.*?)(?=</a\s*>|<a\s|\z)"""
+_COMMENT = r"(?s)<!--.*?-->"
 # Texts that mark a pagination link.
 NEXT_HINTS = ("اگلا", "next", ">>", "›", "»")
 PAGE_KEY = r"(?i)[?&]page=[0-9]+"
+# Hosts whose frames show documents.
+DOCUMENT_HOSTS = ("//files.",)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -24,19 +29,18 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
     Only the extracted fields leave the scan; the page text itself is never shuffled.
     """
-    zipped = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("href"),
-        F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2)).alias("text"),
-    )
-    links = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(zipped).alias("pos", "a"))
-    return links.select(
+    shown = F.regexp_replace("html", _COMMENT, "")
+    group = [F.regexp_extract_all("shown", F.lit(_ANCHOR), F.lit(k)).alias(f"g{k}") for k in (1, 2, 3, 4)]
+    found = pages.select("page_id", F.col("url").alias("page_url"), shown.alias("shown"))
+    links = found.select("page_id", "page_url", F.posexplode(F.arrays_zip(*group)).alias("pos", "a"))
+    links = links.select(
         "page_id",
         "page_url",
         F.col("pos").cast("long").alias("pos"),
-        F.col("a.href").alias("href"),
-        squash(F.regexp_replace("a.text", r"(?s)<[^>]*>", "")).alias("text"),
-        U.canonical_url(U.resolve_href(F.col("page_url"), F.col("a.href"))).alias("url"),
+        unescape(F.concat("a.g1", "a.g2", "a.g3")).alias("href"),
+        normalize_text(F.regexp_replace("a.g4", r"(?s)<[^>]*>", "")).alias("text"),
     )
+    return links.withColumn("url", U.canonical_url(U.resolve_href(F.col("page_url"), F.col("href"))))
 
 
 def detail_links(links: DataFrame, patterns: dict[str, str]) -> DataFrame:
@@ -76,46 +80,62 @@ def menu_first_per_slug(links: DataFrame, slug: Column) -> DataFrame:
 
 def embedded_doc_url(pages: DataFrame) -> DataFrame:
     """Linked document of a page: viewer parameter, else a ``.pdf`` link, else the parameter of another frame."""
-    viewer = F.regexp_extract("html", r"""(?is)<iframe[^>]*?src=["']([^"'>]*viewer\.html[^"'>]*)["']""", 1)
-    frame = F.regexp_extract("html", r"""(?is)<iframe[^>]*?src=["']([^"'>]*pdf[^"'>]*)["']""", 1)
-    link = F.regexp_extract("html", r"""(?is)<a\s[^>]*?href=["']([^"'>]*\.pdf[^"'>]*)["']""", 1)
+    shown = F.regexp_replace("html", _COMMENT, "")
+    sources = F.regexp_extract_all("shown", F.lit(r"""(?is)<iframe\s[^>]*?src\s*=\s*["']([^"'>]*)["']"""), F.lit(1))
+    link = F.regexp_extract("shown", r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"'>]*\.pdf[^"'>]*)["']""", 1)
+    # Frame addresses and the link are decoded together; a line break stands in none of them.
+    decoded = F.split(unescape(F.array_join(F.concat(F.array(link), sources), "\n")), "\n")
+    found = pages.select("page_id", "url", shown.alias("shown")).select("page_id", "url", decoded.alias("decoded"))
+    return found.select("page_id", document_of(F.col("url"), F.get("decoded", F.lit(0)), F.slice("decoded", 2, F.size("decoded"))).alias("doc_url"))
+
+
+def document_of(url: Column, link: Column, frames: Column, hosts: Sequence[str] = DOCUMENT_HOSTS) -> Column:
+    """Address of a page's document: the first viewer frame's parameter if absolute, else the link, else the first parameter of a document frame."""
 
     def file_param(src: Column) -> Column:
-        return F.try_url_decode(F.nullif(F.regexp_extract(src, r"[?&]file=([^&]+)", 1), F.lit("")))
+        return F.nullif(U.percent_decode(F.regexp_extract(src, r"[?&]file=([^&]+)", 1)), F.lit(""))
+
+    viewer = file_param(F.get(F.filter(frames, lambda s: F.contains(s, F.lit("viewer.html"))), F.lit(0)))
+    of_document = lambda s: F.contains(F.lower(s), F.lit("pdf")) | reduce(lambda a, b: a | b, [F.contains(s, F.lit(h)) for h in hosts])
+    params = F.filter(F.transform(F.filter(frames, of_document), file_param), lambda p: p.isNotNull())
+    absolute = lambda href: U.resolve_href(url, F.nullif(href, F.lit("")))
+    return F.coalesce(let(viewer, lambda u: F.when(F.startswith(u, F.lit("http")), u)), absolute(link), absolute(F.get(params, F.lit(0))))
 
-    def absolute(href: Column) -> Column:
-        return U.resolve_href(F.col("url"), F.nullif(href, F.lit("")))
 
-    via_viewer = let(file_param(viewer), lambda u: F.when(F.startswith(u, F.lit("http")), u))
-    return pages.select("page_id", F.coalesce(via_viewer, absolute(link), absolute(file_param(frame))).alias("doc_url"))
+def meta_content(html: Column, key: str, value: str) -> Column:
+    """Content of the first ``meta`` tag whose ``key`` attribute is ``value``, whatever the order of its attributes; else an empty string."""
+    tag = rf"""(?is)<meta\s(?=[^>]*?\b{key}\s*=\s*["']?{value}["'\s/>])[^>]*?\bcontent\s*=\s*{_VALUE}"""
+    return F.concat(*[F.regexp_extract(html, tag, k) for k in (1, 2, 3)])
 
 
-def meta_question(html: Column) -> Column:
-    """Meta description when it is long enough, else a title of 12 to 900 characters, else an empty string."""
-    desc = strip(F.regexp_extract(html, r"""(?is)<meta\s+name=["']description["']\s+content=["']([^"']*)["']""", 1))
-    title = squash(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    desc = let(desc, lambda d: F.when(F.length(d) < 2000, squash(d)).otherwise(d))
+def meta_question(html: Column, longest_title: int | None = None) -> Column:
+    """Meta description of at least 12 characters, else a title of as many (and of ``longest_title`` at most, if given), else an empty string."""
+    desc = normalize_text(meta_content(html, "name", "description"))
+    title = normalize_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    long_enough = lambda x: (F.length(x) >= 12) & (F.lit(True) if longest_title is None else F.length(x) <= longest_title)
     usable = let(desc, lambda d: F.when(F.length(d) >= 12, d))
-    return F.coalesce(usable, let(title, lambda x: F.when(F.length(x).between(12, 900), x)), F.lit(""))
+    return F.coalesce(usable, let(title, lambda x: F.when(long_enough(x), x)), F.lit(""))
 
 
 def longest_paragraph(html: Column) -> Column:
     """Longest paragraph text; the first one wins a tie."""
     paras = F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
-    texts = F.transform(paras, lambda p: squash(F.regexp_replace(p, r"(?s)<[^>]*>", "")))
+    # Decoded in one go; U+0001 can't come from an entity.
+    joined = unescape_nfc(F.array_join(F.transform(paras, lambda p: F.regexp_replace(p, r"(?s)<[^>]*>|\x01", "")), "\x01"))
+    texts = F.transform(F.split(joined, "\x01"), squash)
     return F.aggregate(texts, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
 
 
 def date_chain(html: Column, url: Column, width: int = 10) -> Column:
     """Published-time meta tag, else a ``time`` element, else a dated span, else the URL's date."""
-    meta = F.regexp_extract(html, r"""(?is)<meta\s+property=["']article:published_time["']\s+content=["']([^"']*)["']""", 1)
-    time = F.regexp_extract(html, r"""(?is)<time[^>]*?\sdatetime=["']([^"']*)["']""", 1)
-    span = F.regexp_extract(html, r"""(?is)<span\s+class=["']date["'][^>]*>(.*?)</span>""", 1)
+    meta = meta_content(html, "property", "article:published_time")
+    time = F.regexp_extract(html, r"""(?is)<time\s(?:[^>]*?\s)?datetime\s*=\s*["']?([^"'>]*)""", 1)
+    span = F.regexp_extract(html, r"""(?is)<span\s(?:[^>]*?\s)?class\s*=\s*["']?(?:[^"'>]*\s)?date(?:\s[^"'>]*)?["']?(?:\s[^>]*)?>(.*?)</span>""", 1)
 
     def long_enough(c: Column) -> Column:
         return let(c, lambda x: F.when(F.length(x) >= 10, F.substring(x, 1, width)))
 
-    return F.coalesce(long_enough(meta), long_enough(time), F.nullif(squash(span), F.lit("")), U.date_from_url(url))
+    return F.coalesce(long_enough(meta), long_enough(time), F.nullif(normalize_text(span), F.lit("")), U.date_from_url(url))
 
 
 def listing_category_label(links: DataFrame, titles: DataFrame) -> DataFrame:
@@ -184,7 +204,7 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     )
 
     def step(s: Column, x: Column) -> Column:
-        f, v = field(x), F.try_url_decode(value(x))
+        f, v = field(x), U.percent_decode(value(x))
         is_agent, is_rule = f == "user-agent", f.isin("allow", "disallow")
         full = F.size(s["rules"]) > 0
         close = (x == "") | (is_agent & full)
@@ -216,7 +236,7 @@ def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
     side = F.broadcast(rules) if is_small(rules) else rules
     keyed = urls.withColumn("host", U.host(F.col("url")))
     q = U.query(F.col("url"))
-    target = F.try_url_decode(F.concat(U.path(F.col("url")), F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))))
+    target = U.percent_decode(F.concat(U.path(F.col("url")), F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))))
     keyed = keyed.withColumn("_target", F.when(target == "", F.lit("/")).otherwise(target))
     hit = F.filter("rules", lambda r: (r["prefix"] == "*") | F.startswith(F.col("_target"), r["prefix"]))
     verdict = F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))

@@ -17,6 +17,7 @@ from askloom.functions import qa as Q
 from askloom.functions import text as T
 from askloom.functions import urls as U
 from askloom.functions.text import let
+from askloom.operators.crawlset import document_of
 from askloom.operators.ingest import quality_gate
 from askloom.sources.html_nodes import TEXT, html_nodes
 
@@ -383,9 +384,9 @@ def answer_rules(nodes: Column, c: Column, markers: Sequence[str] = Q.EARLIEST_M
 # Category chain -----------------------------------------------------------------------------------------------
 
 
-def category_chain(*fields: Column, width: int = 512) -> Column:
+def category_chain(*fields: Column, width: int | None = None) -> Column:
     """First non-empty field."""
-    return F.substring(F.coalesce(*[F.nullif(f, F.lit("")) for f in fields]), 1, width)
+    return T.cut(F.coalesce(*[F.nullif(f, F.lit("")) for f in fields]), width)
 
 
 # Page templates -----------------------------------------------------------------------------------------------
@@ -507,7 +508,7 @@ def marker_posts(nodes: Column, url: Column) -> Column:
         category = category_chain(
             let(table, lambda t: T.category_join(F.coalesce(F.get(t, F.lit(1)), F.lit("")), F.coalesce(F.get(t, F.lit(2)), F.lit("")))),
             first_match_field(n, [Rule((Sel(tag=("a",), attr=(("rel", "^category tag$"),)), Sel(tag=("a",), within=Sel(cls=("cat-links",))), Sel(tag=("a",), attr=(("href", "/category/"),))), any_of=lambda t: t != "")]),
-            let(author, lambda a: F.when(a != "", F.concat(F.lit("Author: "), F.substring(a, 1, 200)))),
+            let(author, lambda a: F.when(a != "", F.concat(F.lit("Author: "), a))),
         )
         meta = select_one(n, [Sel(tag=("meta",), attr=(("property", "^article:published_time$"),))])["attrs"]["content"]
         stamp = select_one(n, [Sel(tag=("time",), attr=(("datetime", ""),))])["attrs"]["datetime"]
@@ -553,7 +554,7 @@ def bold_labels(nodes: Column, url: Column) -> Column:
         return F.struct(let(box, in_scope).alias("qa"))
 
     pair = let(strip_noise(nodes, BOLD_NOISE), fields)
-    category = let(breadcrumb, lambda b: F.when(T.meaningful_category(b), F.substring(b, 1, 512)))
+    category = let(breadcrumb, lambda b: F.when(T.meaningful_category(b), b))
     return F.struct(pair["qa"].alias("qa"), category.alias("category"), F.lit(None).cast("string").alias("date"))
 
 
@@ -578,19 +579,13 @@ def linked_documents(nodes: Column, url: Column) -> Column:
         )
         dated = first_match_field(n, [Rule((Sel(tag=("span",), within=main),), any_of=lambda t: T.date_in_text(t) != "")])
         published = first_match_field(n, [Rule((Sel(tag=("meta",), attr=(("property", "^article:published_time$"),)),), attr="content")])
-        file_of = lambda src: F.nullif(F.regexp_extract(src, r"[?&]file=([^&]+)", 1), F.lit(""))
-        viewer = select_one(n, [Sel(tag=("iframe",), attr=(("src", r"viewer\.html"),))])["attrs"]["src"]
         pdf = select_one(n, [Sel(tag=("a",), attr=(("href", r"\.pdf"),))])["attrs"]["href"]
-        frame = select_one(n, [Sel(tag=("iframe",), attr=(("src", r"(?i)pdf"),))])["attrs"]["src"]
-        doc = F.coalesce(
-            let(F.try_url_decode(file_of(viewer)), lambda u: F.when(F.startswith(u, F.lit("http")), u)),
-            F.when(pdf.isNotNull(), U.resolve_href(url, pdf)),
-            let(F.try_url_decode(file_of(frame)), lambda u: F.when(u.isNotNull(), U.resolve_href(url, u))),
-        )
+        frames = F.transform(F.filter(n, lambda x: x["tag"] == "iframe"), lambda x: F.coalesce(x["attrs"]["src"], F.lit("")))
+        doc = document_of(url, pdf, frames)
         return F.struct(
             T.dedupe_lines(q).alias("question"),
             category.alias("category"),
-            F.nullif(F.substring(F.coalesce(F.nullif(published, F.lit("")), dated), 1, 32), F.lit("")).alias("date"),
+            F.nullif(F.coalesce(F.nullif(published, F.lit("")), dated), F.lit("")).alias("date"),
             doc.alias("doc_url"),
         )
 
@@ -652,10 +647,8 @@ def multi_pass_choice(nodes: Column, url: Column, fallback: Column, containers=C
 def heading_walk(nodes: Column, url: Column) -> Column:
     meta = select_one(nodes, [Sel(tag=("meta",), attr=(("name", "^description$"),))])["attrs"]["content"]
     title = first_match_field(nodes, [Rule((_tags("title"),))])
-    described = let(
-        F.coalesce(meta, F.lit("")), lambda m: let(F.when(F.length(T.strip(m)) < 2000, T.squash(m)).otherwise(T.strip(m)), lambda d: F.when(F.length(d) >= 12, d))
-    )
-    fallback = F.coalesce(described, let(title, lambda t: F.when(F.length(t).between(12, 900), t)), F.lit(""))
+    described = let(T.squash(F.coalesce(meta, F.lit(""))), lambda d: F.when(F.length(d) >= 12, d))
+    fallback = F.coalesce(described, let(title, lambda t: F.when(F.length(t) >= 12, t)), F.lit(""))
     return let(fallback, lambda f: multi_pass_choice(nodes, url, f))
 
 

@@ -8,11 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloom.functions.text import blank_to_null, contains_any, let, strip
+from askloom.functions.text import blank_to_null, contains_any, cut, let, strip
 
-# Column widths of the corpus, and the error text limit.
-SOURCE_WIDTH, URL_WIDTH, CATEGORY_WIDTH = 255, 2048, 512
-ERROR_WIDTH = 8000
 STATUSES = ("inserted", "skipped", "failed", "parsed_none")
 
 
@@ -29,10 +26,10 @@ def upsert_by_url(incoming: DataFrame, store: DataFrame, order_by: str = "seq",
     return incoming.join(new, [key, order_by], "left").withColumn("status", status).drop("is_new")
 
 
-def dead_letter(df: DataFrame) -> DataFrame:
-    """Failed and unparsable rows as ``url, source, error``."""
+def dead_letter(df: DataFrame, width: int | None = None) -> DataFrame:
+    """Failed and unparsable rows as ``url, source, error``; ``width`` cuts the error text if given."""
     bad = df.filter(F.col("status").isin("failed", "parsed_none"))
-    return bad.select("url", "source", F.substring("error", 1, ERROR_WIDTH).alias("error"))
+    return bad.select("url", "source", cut(F.col("error"), width).alias("error"))
 
 
 def dry_run(df: DataFrame) -> DataFrame:
@@ -46,26 +43,26 @@ def ingest_stats(df: DataFrame, by: str = "source", statuses: Sequence[str] = ST
     return df.groupBy(by).agg(*counts)
 
 
-def stored_name(explicit: Column, role: Column, reviewer_name: Column) -> Column:
+def stored_name(explicit: Column, role: Column, reviewer_name: Column, width: int | None = None) -> Column:
     """Source name kept with a manual entry."""
-    fallback = F.when(role == "admin", F.lit("Admin")).otherwise(F.coalesce(blank_to_null(reviewer_name, 200), F.lit("Reviewer")))
-    return F.coalesce(blank_to_null(explicit, 200), F.substring(fallback, 1, 200))
+    fallback = F.when(role == "admin", F.lit("Admin")).otherwise(F.coalesce(blank_to_null(reviewer_name, width), F.lit("Reviewer")))
+    return F.coalesce(blank_to_null(explicit, width), fallback)
 
 
-def search_name(explicit: Column) -> Column:
+def search_name(explicit: Column, width: int | None = None) -> Column:
     """Source name under which a manual entry is searchable."""
-    return F.coalesce(blank_to_null(explicit, SOURCE_WIDTH), F.lit("Admin Entry"))
+    return F.coalesce(blank_to_null(explicit, width), F.lit("Admin Entry"))
 
 
-def publish_record(rows: DataFrame, prefix: str, as_of: str) -> DataFrame:
-    """Published manual rows in corpus form; the URL ``prefix://id`` is their key."""
+def publish_record(rows: DataFrame, prefix: str, as_of: str, source_width: int | None = None, category_width: int | None = None) -> DataFrame:
+    """Published manual rows in corpus form; the URL ``prefix://id`` is their key and is never cut."""
     published = rows.filter(F.col("status") == "published")
     return published.select(
         strip(F.col("question")).alias("question"),
         strip(F.col("answer")).alias("answer"),
-        F.substring(F.coalesce("source", F.lit("")), 1, SOURCE_WIDTH).alias("source"),
-        F.substring(F.concat(F.lit(f"{prefix}://"), F.col("id").cast("string")), 1, URL_WIDTH).alias("url"),
-        blank_to_null(F.col("category"), CATEGORY_WIDTH).alias("category"),
+        cut(F.coalesce("source", F.lit("")), source_width).alias("source"),
+        F.concat(F.lit(f"{prefix}://"), F.col("id").cast("string")).alias("url"),
+        blank_to_null(F.col("category"), category_width).alias("category"),
         F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyy-MM-dd").alias("date"),
     )
 

@@ -187,10 +187,10 @@ def snippet(c: Column, q: str | Column, n: int = 10, mark: tuple[str, str] = ("<
 
 
 def search_miss_log(
-    queries: DataFrame, hits: DataFrame, as_of: str, sources: Sequence[str] | None = None, category: str | None = None
+    queries: DataFrame, hits: DataFrame, as_of: str, sources: Sequence[str] | None = None, category: str | None = None, width: int | None = None
 ) -> DataFrame:
     """One row per query without any hit."""
-    asked = queries.select("qid", F.substring(T.strip(F.col("query")), 1, 500).alias("query")).filter(F.col("query") != "")
+    asked = queries.select("qid", T.cut(T.strip(F.col("query")), width).alias("query")).filter(F.col("query") != "")
     missed = asked.join(hits.select("qid").distinct(), "qid", "left_anti")
     names = ",".join(sorted(s.strip() for s in sources or [] if s and s.strip())) or None
     return missed.select(

@@ -200,7 +200,8 @@ def mark_paid(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Payments, questions and reviewers after the payments in ``marks`` (``id, payment_ref``) are paid.
 
-    A payment that is paid already adds nothing to the reviewer's total, so a repeated run changes nothing.
+    A payment that is paid already adds nothing to the reviewer's total, so a repeated run changes nothing. Questions that
+    this run does not settle keep their amount and time of change.
     """
     picked = payments.join(marks.select("id", F.col("payment_ref").alias("new_ref")).dropDuplicates(["id"]), "id")
     fresh = picked.filter(F.col("status") != "paid").select("id", "new_ref", "reviewer_id", "month", "total_amount")
@@ -220,7 +221,8 @@ def mark_paid(
     due = _answered() & (F.col("payment_status") == "unpaid") & F.col("rate").isNotNull()
     settled = settled.withColumns(
         {
-            "payment_amount": F.when(due, F.col("rate")),
+            "payment_amount": F.when(due, F.col("rate")).otherwise(F.col("payment_amount") if "payment_amount" in questions.columns else F.lit(None)),
+            "updated_at": F.when(due, _ts(as_of)).otherwise(F.col("updated_at") if "updated_at" in questions.columns else F.lit(None)),
             "payment_status": F.when(due, F.lit("paid")).otherwise(F.col("payment_status")),
         }
     ).drop("month", "rate")

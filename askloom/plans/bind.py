@@ -52,6 +52,8 @@ DERIVED: dict[str, str] = {
                           WHEN o_orderkey % 3 = 0 THEN 'published' WHEN o_orderkey % 3 = 1 THEN 'reviewing'
                           ELSE 'rejected' END AS status,
                      CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'paid' ELSE 'unpaid' END AS payment_status,
+                     CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN CAST(15 AS DOUBLE) END AS payment_amount,
+                     o_orderdate AS updated_at,
                      o_orderdate AS submitted_at
               FROM {orders}) AS q""",
     "reviewers": """

@@ -94,13 +94,13 @@ def _(t):
     return X.embedded_doc_url(t.pages.select("page_id", "url", F.expr(FRAMED).alias("html")))
 
 
-DESCRIBED = """concat(CASE WHEN page_id % 3 = 0 THEN concat('<meta name="description" content=" page  ', CAST(page_id AS STRING), ' of the archive ">') WHEN page_id % 3 = 1 THEN '<meta name="description" content="short">' ELSE '' END, html)"""
+DESCRIBED = """concat(CASE WHEN page_id % 6 = 3 THEN concat('<meta content="swapped &amp; long, page ', CAST(page_id AS STRING), '" name="description">') WHEN page_id % 3 = 0 THEN concat('<meta name="description" content=" page  ', CAST(page_id AS STRING), ' of the archive ">') WHEN page_id % 3 = 1 THEN '<meta name="description" content="short">' ELSE '' END, html)"""
 
 
 @query(
     "meta_question",
-    oracle=f"""SELECT page_id, CASE WHEN len(d) >= 12 THEN d WHEN len(t) BETWEEN 12 AND 900 THEN t ELSE '' END AS question
-    FROM (SELECT page_id, {D.squash("regexp_extract(h, '<meta name=.description. content=.([^>]*).>', 1)")} AS d, {D.squash("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS t
+    oracle=f"""SELECT page_id, CASE WHEN len(d) >= 12 THEN d WHEN len(t) >= 12 THEN t ELSE '' END AS question
+    FROM (SELECT page_id, {D.squash(D.unescape("regexp_extract(h, 'description. *content=.([^>]*).>', 1) || regexp_extract(h, 'content=.([^>]*). name=.description', 1)"))} AS d, {D.squash(D.unescape("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS t
           FROM (SELECT page_id, {DESCRIBED} AS h FROM pages))""",
 )
 def _(t):
@@ -111,7 +111,7 @@ def _(t):
     "longest_paragraph",
     oracle=rf"""
     WITH p AS (SELECT page_id, regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1) AS ps FROM pages),
-         x AS (SELECT page_id, {D.fields('p')} AS body, pos FROM (SELECT page_id, unnest(ps) AS p, unnest(range(len(ps))) AS pos FROM p)),
+         x AS (SELECT page_id, {D.fields(D.unescape('p'))} AS body, pos FROM (SELECT page_id, unnest(ps) AS p, unnest(range(len(ps))) AS pos FROM p)),
          r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY len(body) DESC, pos) AS k FROM x)
     SELECT p.page_id, coalesce(r.body, '') AS body FROM p LEFT JOIN r ON r.page_id = p.page_id AND r.k = 1""",
 )

@@ -43,9 +43,9 @@ def parse_pages(raw):
 D_STAGED = rf"""
     k AS (SELECT page_id, html, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS source,
                  'https://' || lower(regexp_extract(url, '//([^/?#]*)', 1)) || '/' || regexp_extract(url, '//[^/]*/([a-z]+)/', 1) AS url FROM pages),
-    b AS (SELECT *, contains(substr(html, 1, 5000), 'spam-farm') OR contains(substr(html, 1, 5000), 'cheap-pills') AS blocked, {D.page_text('html')} AS b FROM k),
+    b AS (SELECT *, contains(html, 'spam-farm') OR contains(html, 'cheap-pills') AS blocked, {D.page_text('html')} AS b FROM k),
     p AS (SELECT *, instr(b, 'tion ') AS p FROM b),
-    s AS (SELECT *, {D.squash("CASE WHEN p > 0 THEN substr(" + D.strip("substr(b, 1, p - 1)") + ", 1, 1200) ELSE substr(split_part(b, chr(10), 1), 1, 500) END")} AS q0,
+    s AS (SELECT *, {D.squash("CASE WHEN p > 0 THEN " + D.strip("substr(b, 1, p - 1)") + " ELSE split_part(b, chr(10), 1) END")} AS q0,
                  {D.squash("CASE WHEN p > 0 THEN substr(b, p) WHEN contains(b, chr(10)) THEN substr(b, instr(b, chr(10)) + 1) ELSE b END")} AS a0 FROM p),
     d AS (SELECT *, list_filter({D.lines('q0')}, lambda x, i: list_position({D.lines('q0')}, x) = i) AS ql,
                  list_filter({D.lines('a0')}, lambda x, i: list_position({D.lines('a0')}, x) = i) AS al FROM s),
@@ -104,7 +104,7 @@ D_UPSERTED = f"""
     ups AS (SELECT seq, source, url, CASE WHEN rn = 1 AND url NOT IN (SELECT url FROM stored) THEN 'inserted' ELSE 'skipped' END AS status FROM w)"""
 
 
-@query("dead_letter", oracle=f"WITH {D_STAGED} SELECT url, source, substr(error, 1, 8000) AS error FROM staged WHERE status IS NOT NULL")
+@query("dead_letter", oracle=f"WITH {D_STAGED} SELECT url, source, error FROM staged WHERE status IS NOT NULL")
 def _(t):
     # A filter on the status would be pushed into the parse and repeat it; the parsed table is written first.
     return I.dead_letter(staged(staged_pages(t), "parsed"))
@@ -146,7 +146,7 @@ def manual(t):
     "records",
     f"""WITH {D_MANUAL}
     SELECT {D.strip('question')} AS question, {D.strip('answer')} AS answer, source, 'manual://' || id AS url,
-           substr(nullif({D.strip('category')}, ''), 1, 512) AS category, '2024-01-25' AS date
+           nullif({D.strip('category')}, '') AS category, '2024-01-25' AS date
     FROM (SELECT *, substr(coalesce(nullif({D.strip('source_name')}, ''), 'Admin Entry'), 1, 255) AS source FROM manual WHERE status = 'published')
     UNION ALL SELECT question, answer, source, url, category, CAST(NULL AS VARCHAR) FROM records""",
 )
@@ -169,7 +169,7 @@ def _(t):
     "manual_source_name",
     "records",
     f"""WITH {D_MANUAL}
-    SELECT m.id, coalesce(substr(nullif({D.strip('source_name')}, ''), 1, 200), CASE WHEN claimed_role = 'admin' THEN 'Admin' ELSE coalesce(r.s_name, 'Reviewer') END) AS stored_name,
+    SELECT m.id, coalesce(nullif({D.strip('source_name')}, ''), CASE WHEN claimed_role = 'admin' THEN 'Admin' ELSE coalesce(r.s_name, 'Reviewer') END) AS stored_name,
            coalesce(substr(nullif({D.strip('source_name')}, ''), 1, 255), 'Admin Entry') AS search_name
     FROM manual m LEFT JOIN supplier r ON r.s_suppkey = m.actor_id""",
 )
@@ -297,7 +297,7 @@ def as_files(t, suffix):
 @query(
     "scan_text_dir",
     oracle=f"""
-    SELECT url, source, {D.squash("CASE WHEN p > 0 THEN substr(" + D.strip("substr(b, 1, p - 1)") + ", 1, 1200) ELSE substr(split_part(b, chr(10), 1), 1, 500) END")} AS question,
+    SELECT url, source, {D.squash("CASE WHEN p > 0 THEN " + D.strip("substr(b, 1, p - 1)") + " ELSE split_part(b, chr(10), 1) END")} AS question,
            {D.squash("CASE WHEN p > 0 THEN substr(b, p) WHEN contains(b, chr(10)) THEN substr(b, instr(b, chr(10)) + 1) ELSE b END")} AS answer
     FROM (SELECT 'file://pdf/doc-' || doc_id || '.txt' AS url, 'text archive' AS source, b, instr(b, 'tion ') AS p
           FROM (SELECT doc_id, nfc_normalize({D.squash('text')}) AS b FROM documents) WHERE len(b) >= 40)""",

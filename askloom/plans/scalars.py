@@ -98,7 +98,7 @@ def _(t):
 @query(
     "blocked_page",
     oracle="""
-    SELECT page_id, html = '' OR contains(substr(html, 1, 5000), 'track(0)') OR contains(substr(html, 1, 5000), 'spam-farm') AS blocked
+    SELECT page_id, html = '' OR contains(html, 'track(0)') OR contains(html, 'spam-farm') AS blocked
     FROM pages""",
 )
 def _(t):
@@ -115,9 +115,9 @@ def _(t):
     return t.records.select("id", T.preview(C("answer")).alias("preview"), F.substring("question", 1, 150).alias("clipped"))
 
 
-@query("blank_to_null", "records", f"SELECT id, substr(nullif({D.strip('category')}, ''), 1, 512) AS category FROM records")
+@query("blank_to_null", "records", f"SELECT id, nullif({D.strip('category')}, '') AS category FROM records")
 def _(t):
-    return t.records.select("id", T.blank_to_null(C("category"), 512).alias("category"))
+    return t.records.select("id", T.blank_to_null(C("category")).alias("category"))
 
 
 @query(
@@ -327,8 +327,8 @@ def _(t):
 @query(
     "category_join",
     "records",
-    """SELECT id, substr(CASE WHEN nullif(category, '') IS NOT NULL AND sub <> '' AND sub <> category THEN category || ' — ' || sub
-                        ELSE coalesce(nullif(category, ''), nullif(sub, '')) END, 1, 512) AS category
+    """SELECT id, CASE WHEN nullif(category, '') IS NOT NULL AND sub <> '' AND sub <> category THEN category || ' — ' || sub
+                        ELSE coalesce(nullif(category, ''), nullif(sub, '')) END AS category
        FROM (SELECT *, CASE WHEN id % 3 = 0 THEN source WHEN id % 3 = 1 THEN '' ELSE category END AS sub FROM records)""",
 )
 def _(t):
@@ -375,7 +375,7 @@ PRIO = ("wherever", "que de", "the ", "und ")
 @query(
     "split_qa_marker",
     oracle=f"""
-    SELECT doc_id, {D.squash("CASE WHEN p > 0 THEN substr(" + D.strip("substr(b, 1, p - 1)") + ", 1, 1200) ELSE substr(split_part(b, chr(10), 1), 1, 500) END")} AS question,
+    SELECT doc_id, {D.squash("CASE WHEN p > 0 THEN " + D.strip("substr(b, 1, p - 1)") + " ELSE split_part(b, chr(10), 1) END")} AS question,
            {D.squash("CASE WHEN p > 0 THEN substr(b, p) WHEN contains(b, chr(10)) THEN substr(b, instr(b, chr(10)) + 1) ELSE b END")} AS answer
     FROM (SELECT doc_id, b, instr(b, 'tion ') AS p FROM (SELECT doc_id, nfc_normalize({D.squash('text')}) AS b FROM documents))""",
 )
@@ -428,7 +428,7 @@ LABELLED = """concat(CASE WHEN doc_id % 4 = 0 THEN concat('Frage:', chr(10)) WHE
          k AS (SELECT doc_id, min(CASE WHEN qa OR ql THEN pos END) AS qp, min(CASE WHEN aa OR al THEN pos END) AS ap FROM f GROUP BY doc_id),
          w AS (SELECT f.*, qp, ap, min(CASE WHEN pos > qp AND contains(line, 'Antwort') THEN pos END) OVER (PARTITION BY f.doc_id) AS qstop,
                       min(CASE WHEN pos > ap AND foot THEN pos END) OVER (PARTITION BY f.doc_id) AS astop FROM f JOIN k USING (doc_id))
-    SELECT doc_id, CASE WHEN bool_or(pos = qp AND qa) THEN coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (pos > qp AND pos <= qp + 9 AND pos < coalesce(qstop, 1000000000) AND len(line) > 10), '')
+    SELECT doc_id, CASE WHEN bool_or(pos = qp AND qa) THEN coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (pos > qp AND pos < coalesce(qstop, 1000000000) AND len(line) > 10), '')
              ELSE coalesce(max(CASE WHEN pos = qp AND len({D.strip("regexp_extract(line, '^(?:.*?)Frage\\s*[:：](.*)$', 1)")}) > 10 THEN {D.strip("regexp_extract(line, '^(?:.*?)Frage\\s*[:：](.*)$', 1)")} END), '') END AS question,
            CASE WHEN bool_or(pos = ap AND aa) THEN coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (pos > ap AND (pos < coalesce(astop, 1000000000) AND len(line) > 5 OR pos = astop)), '')
              ELSE coalesce(max(CASE WHEN pos = ap AND len({D.strip("regexp_extract(line, '^(?:.*?)Antwort\\s*[:：](.*)$', 1)")}) > 10 THEN {D.strip("regexp_extract(line, '^(?:.*?)Antwort\\s*[:：](.*)$', 1)")} END), '') END AS answer

@@ -82,7 +82,7 @@ def _(t):
 @query(
     "search_miss_log",
     "records searches",
-    f"""WITH {D_HITS} SELECT qid, substr(trim(query), 1, 500) AS query, CAST(0 AS BIGINT) AS results_count, 'src1,src2' AS source_filter, CAST(NULL AS VARCHAR) AS category_filter,
+    f"""WITH {D_HITS} SELECT qid, trim(query) AS query, CAST(0 AS BIGINT) AS results_count, 'src1,src2' AS source_filter, CAST(NULL AS VARCHAR) AS category_filter,
         '{AS_OF}' AS searched_at, false AS resolved FROM qry WHERE trim(query) <> '' AND qid NOT IN (SELECT qid FROM hits)""",
 )
 def _(t):

@@ -220,12 +220,13 @@ def _(t):
     "mark_paid_questions",
     "questions reviewers",
     f"""WITH {D_PAYMENTS}, {D_MARKS}, f AS (SELECT DISTINCT reviewer_id, month FROM payments JOIN marks USING (id) WHERE status <> 'paid')
-    SELECT q.id, CASE WHEN hit THEN 'paid' ELSE payment_status END AS payment_status, CASE WHEN hit THEN rate END AS payment_amount
+    SELECT q.id, CASE WHEN hit THEN 'paid' ELSE payment_status END AS payment_status, CASE WHEN hit THEN rate ELSE payment_amount END AS payment_amount,
+        CASE WHEN hit THEN '{AS_OF_ORDERS}' ELSE {D.ts('updated_at')} END AS updated_at
     FROM (SELECT q.*, r.rate, f.month IS NOT NULL AND {ANS} AND payment_status = 'unpaid' AS hit FROM questions q LEFT JOIN reviewers r ON r.id = q.reviewer_id
           LEFT JOIN f ON f.reviewer_id = q.reviewer_id AND f.month = strftime(q.answered_at, '%Y-%m')) q""",
 )
 def _(t):
-    return marked(t)[1].select("id", "payment_status", "payment_amount")
+    return text_ts(marked(t)[1].select("id", "payment_status", "payment_amount", "updated_at"), "updated_at")
 
 
 @query(

@@ -132,3 +132,43 @@ def test_robots_groups_match_the_standard_library(spark):
             assert verdict[u] == rp.can_fetch("loom/1.0", u), u
     assert all(verdict[f"https://e.org{p}"] for p in paths)
     assert not verdict["ftp://a.org/"] and not verdict["nothing"]
+
+
+def test_links_as_a_browser_sees_them(spark):
+    html = """<a href='/x?a=1&amp;b=2'>R&amp;D</a><!-- <a href="/hidden">no</a> --><a class=k href=/unq>bare</a><a href="/open">first
+    <a title="a" HREF = "/second">second</a><a name="x">no link</a>"""
+    page = spark.createDataFrame([(1, "http://h.org/p", html)], "page_id long, url string, html string")
+    got = [(r["href"], r["text"], r["url"]) for r in crawlset.extract_links(page).orderBy("pos").collect()]
+    assert got == [
+        ("/x?a=1&b=2", "R&D", "http://h.org/x?a=1&b=2"),
+        ("/unq", "bare", "http://h.org/unq"),
+        ("/open", "first", "http://h.org/open"),
+        ("/second", "second", "http://h.org/second"),
+    ]
+
+
+def test_documents_of_any_frame(spark):
+    pages = [
+        (1, "http://h.org/p", '<iframe src="/viewer.html?file=a%2Fb.pdf"></iframe><iframe src="/pdf?x=1"></iframe><iframe src="/PDF?file=a+b%20c.pdf"></iframe>'),
+        (2, "http://h.org/p", '<iframe src="/ad"></iframe><iframe src="https://files.h.org/show?x=1&amp;file=%2Fd%2Fe"></iframe>'),
+        (3, "http://h.org/p", "<p>none</p>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["doc_url"] for r in crawlset.embedded_doc_url(df).collect()}
+    assert got == {1: "http://h.org/a/b.pdf", 2: "http://h.org/d/e", 3: None}
+
+
+def test_page_fields_decode_and_ignore_attribute_order(spark):
+    html = """<meta content="A &quot;long&quot; description" name='description'><meta content=2024-05-06T00:00 property=article:published_time><p>a &amp; b</p><p>short</p>"""
+    row = spark.createDataFrame([(html, "x" * 5000)], "html string, long string").select(
+        crawlset.meta_question(F.col("html")).alias("q"), crawlset.longest_paragraph(F.col("html")).alias("p"), crawlset.date_chain(F.col("html"), F.lit("http://h")).alias("d"),
+        crawlset.meta_question(F.concat(F.lit("<title>"), F.col("long"), F.lit("</title>"))).alias("t"),
+    ).first()
+    assert tuple(row)[:3] == ('A "long" description', "a & b", "2024-05-06") and len(row["t"]) == 5000
+
+
+def test_malformed_escapes_do_not_pass_robots(spark):
+    robots = spark.createDataFrame([("a.org", "User-agent: *\nDisallow: /private/\nDisallow: /a+b")], "host string, body string")
+    urls = {"http://a.org/private/100%zz": False, "http://a.org/a+b/c": False, "http://a.org/a b": True, "http://a.org/public/50%": True}
+    got = crawlset.robots_filter(spark.createDataFrame([(u,) for u in urls], "url string"), crawlset.robots_rules(robots, "loom/1.0"))
+    assert {r["url"]: r["allowed"] for r in got.collect()} == urls
