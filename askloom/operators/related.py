@@ -21,21 +21,28 @@ def _card() -> Column:
     return F.struct("id", F.substring(F.coalesce("question", F.lit("")), 1, 150).alias("question"), "category", "source")
 
 
-def related_by_category(df: DataFrame, seed: int | None = 0, n: int = CATEGORY_SAMPLE) -> DataFrame:
+def related_by_category(df: DataFrame, seed: int | None = 0, n: int = CATEGORY_SAMPLE, group: int = 100_000) -> DataFrame:
     """``id, found``: up to ``n`` other records of the same category as an array of entries.
 
-    The sample of a category is the same for all its records: the first ``n + 1`` in seeded hash order (id order
-    with ``seed=None``), less the record itself. So a category costs ``n + 1`` rows, not all pairs, however
-    large it is.
+    Records of a category stand in a ring, in seeded hash order (id order with ``seed=None``); each gets the ``n`` that follow
+    it, so every record is recommended as often as any other. A category of more than ``group`` records is dealt into
+    several rings by a hash of the id, which bounds what one task orders. Only the last ``n`` records of a ring meet its first ones in a join.
     """
     order = F.col("id") if seed is None else F.xxhash64(F.lit(seed), F.col("id"))
-    named = df.filter(F.coalesce("category", F.lit("")) != "")
-    w = W.partitionBy("category").orderBy(order, "id")
-    head = named.select("category", "id", "question", "source").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n + 1)
-    sample = head.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("rn", _card().alias("card")))).alias("cards"))
-    joined = df.select("id", "category").join(_side(sample), "category", "left")
-    cards = F.transform(F.coalesce("cards", F.array().cast(sample.schema["cards"].dataType)), lambda x: x["card"])
-    return joined.select("id", F.slice(F.filter(cards, lambda c: c["id"] != F.col("id")), 1, n).alias("found"))
+    named = df.filter(F.coalesce("category", F.lit("")) != "").select("id", "category", _card().alias("card"))
+    sizes = named.groupBy(F.col("category").alias("c")).agg(F.ceil(F.count("*") / group).alias("rings"))
+    dealt = named.join(sizes, F.col("category") == F.col("c")).withColumn("ring", F.pmod(F.xxhash64("id"), F.col("rings"))).drop("c", "rings")
+    w = W.partitionBy("category", "ring").orderBy(order, "id")
+    after = dealt.withColumns({"rn": F.row_number().over(w), "found": F.collect_list("card").over(w.rowsBetween(1, n))})
+    full = after.filter(F.size("found") == n).select("id", "found")
+    heads = after.filter(F.col("rn") <= n).groupBy(F.col("category").alias("c"), F.col("ring").alias("r"))
+    heads = heads.agg(F.array_sort(F.collect_list(F.struct("rn", "card"))).alias("heads"))
+    ends = after.filter(F.size("found") < n).join(heads, (F.col("category") == F.col("c")) & (F.col("ring") == F.col("r")))
+    # A ring of fewer than n + 1 records ends at the record itself.
+    own = F.filter(F.transform("heads", lambda h: h["card"]), lambda h: (h["id"] != F.col("id")) & ~F.exists("found", lambda f: f["id"] == h["id"]))
+    ends = ends.select("id", F.slice(F.concat("found", own), 1, n).alias("found"))
+    alone = df.filter(F.coalesce("category", F.lit("")) == "").select("id", F.array().cast(full.schema["found"].dataType).alias("found"))
+    return full.unionByName(ends).unionByName(alone)
 
 
 def keyword_matches(df: DataFrame, words: DataFrame, n: int) -> DataFrame:
@@ -43,11 +50,14 @@ def keyword_matches(df: DataFrame, words: DataFrame, n: int) -> DataFrame:
 
     Keywords hold no white space, so a text contains one exactly when one of its chunks does. The vocabulary maps
     keywords to chunks and the index maps chunks to records. Ranking by ``dense_rank`` lets a record that holds the
-    keyword in several chunks count once, so the first ``n`` are taken on the map side before anything is shuffled.
+    keyword in several chunks count once. The index is reduced to the first ``n`` records of each chunk before it meets the
+    vocabulary, so a chunk that most records hold costs ``n`` rows.
     """
     index = staged(chunk_index(df), "chunks")
     routes = chunks_containing(index, words.select(F.col("keyword").alias("needle")))
-    hits = index.join(_side(routes), "key").select(F.col("needle").alias("keyword"), "id")
+    # No chunk needs more than its first n records, however many hold it.
+    top = index.withColumn("rn", F.dense_rank().over(W.partitionBy("key").orderBy("id"))).filter(F.col("rn") <= n).drop("rn")
+    hits = top.join(_side(routes), "key").select(F.col("needle").alias("keyword"), "id")
     w = W.partitionBy("keyword").orderBy("id")
     first = hits.withColumn("rn", F.dense_rank().over(w)).filter(F.col("rn") <= n).select("keyword", "id").distinct()
     shown = first.join(df.select("id", _card().alias("card")), "id")

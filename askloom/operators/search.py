@@ -50,7 +50,8 @@ def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-# Indexes are narrow tables ``id, key``. A search run reads them several times, so callers keep them as tables.
+# Indexes are narrow tables ``id, key``; callers keep as tables those that they read several times.
+BROADCAST_PAIRS = 100_000
 
 
 def token_index(df: DataFrame) -> DataFrame:
@@ -134,16 +135,24 @@ def substring_hits(df: DataFrame, index: DataFrame, queries: DataFrame) -> DataF
     routes = staged(asked.join(_side(chunks), "needle").select("qid", "literal", "open", "key"), "query-routes")
     pairs = index.join(_side(routes), "key").select("qid", "id", "literal", "open").distinct()
     inside = [F.contains(T.fold_ascii(F.col(c)), "literal") for c in ("question", "answer")]
-    tested = pairs.filter("open").join(df.select("id", "question", "answer"), "id").filter(inside[0] | inside[1])
+    pairs = staged(pairs, "query-pairs")
+    doubtful = pairs.filter("open")
+    # A few pairs travel to the texts; many meet them by id.
+    side = F.broadcast(doubtful) if doubtful.count() <= BROADCAST_PAIRS else doubtful
+    tested = df.select("id", "question", "answer").join(side, "id").filter(inside[0] | inside[1])
     return pairs.filter(~F.col("open")).select("qid", "id").unionByName(tested.select("qid", "id"))
 
 
 def search_with_fallback(df: DataFrame, queries: DataFrame) -> DataFrame:
     """``qid, id, via``: token hits, and literal hits for the queries that have none."""
-    by_token = staged(token_hits(staged(token_index(df), "tokens"), queries), "token-hits")
-    rest = queries.join(by_token.select("qid").distinct(), "qid", "left_anti")
+    # The token index is read once, so only the postings of the asked tokens are written; chunks are only made for queries that need them.
+    by_token = staged(token_hits(token_index(df), queries), "token-hits")
+    rest = staged(queries.join(by_token.select("qid").distinct(), "qid", "left_anti"), "queries-left")
+    found = by_token.withColumn("via", F.lit("token"))
+    if rest.isEmpty():
+        return found
     literal = substring_hits(df, staged(chunk_index(df), "chunks"), rest).withColumn("via", F.lit("literal"))
-    return by_token.withColumn("via", F.lit("token")).unionByName(literal)
+    return found.unionByName(literal)
 
 
 def batch_search(hits: DataFrame, page: int = 1, size: int = 20) -> DataFrame:

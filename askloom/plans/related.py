@@ -12,14 +12,15 @@ from askloom.plans.scalars import STOP
 
 C = F.col
 FMT = "yyyy-MM-dd HH:mm:ss"
+# The ten records that follow in a category's ring of ids.
+D_RING = """ring AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) AS rn, count(*) OVER (PARTITION BY category) AS n FROM records WHERE category <> ''),
+    cat AS (SELECT a.id, b.id AS rid, (b.rn - a.rn + a.n) % a.n AS seq FROM ring a JOIN ring b ON a.category = b.category AND a.id <> b.id WHERE (b.rn - a.rn + a.n) % a.n <= 10)"""
 
 
 @query(
     "related_by_category",
     "records",
-    """WITH r AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) AS rn FROM records WHERE category <> ''),
-       p AS (SELECT a.id, b.id AS related_id, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS k FROM r a JOIN r b ON a.category = b.category AND a.id <> b.id AND b.rn <= 11)
-       SELECT id, related_id, CAST(k AS INT) AS rank FROM p WHERE k <= 10""",
+    f"""WITH {D_RING} SELECT id, rid AS related_id, CAST(seq AS INT) AS rank FROM cat""",
 )
 def _(t):
     found = R.related_by_category(t.records, seed=None)
@@ -27,10 +28,21 @@ def _(t):
     return out.select("id", C("c.id").alias("related_id"), (C("pos") + 1).alias("rank"))
 
 
-@query("related_by_category_sampled")
+@query(
+    "related_by_category_sampled",
+    "records",
+    # Any seeded order: a record of a category gets ten others of it, or all if fewer, and is given as often itself.
+    """WITH r AS (SELECT id, count(*) OVER (PARTITION BY category) - 1 AS others FROM records WHERE category <> '')
+       SELECT id, least(others, 10) AS n_found, least(others, 10) AS n_given, 0 AS n_foreign FROM r""",
+)
 def _(t):
-    found = R.related_by_category(t.records, seed=7)
-    return found.select("id", F.explode("found").alias("c")).select("id", C("c.id").alias("related_id"))
+    found = R.related_by_category(t.records, seed=7).select("id", F.explode("found").alias("c"))
+    pairs = found.select("id", C("c.id").alias("related_id"), C("c.category").alias("theirs")).join(t.records.select("id", "category"), "id")
+    foreign = (C("theirs") != C("category")) | (C("related_id") == C("id"))
+    out = pairs.groupBy("id").agg(F.countDistinct("related_id").alias("n_found"), F.count_if(foreign).alias("n_foreign"))
+    given = pairs.groupBy(C("related_id").alias("id")).agg(F.count("*").alias("n_given"))
+    named = t.records.filter(C("category") != "").select("id").join(out, "id", "left").join(given, "id", "left")
+    return named.select("id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_found", "n_given")], F.coalesce("n_foreign", F.lit(0).cast("long")).cast("int").alias("n_foreign"))
 
 
 D_RELATED = rf"""
@@ -40,9 +52,7 @@ D_RELATED = rf"""
     kw AS (SELECT id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM kw2 QUALIFY k <= 3),
     mat AS MATERIALIZED (SELECT w, r.id AS rid FROM (SELECT DISTINCT w FROM kw) d JOIN (SELECT id, translate(question, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS question, translate(answer, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS answer FROM records) r
            ON contains(r.question, d.w) OR contains(r.answer, d.w)),
-    cat AS (SELECT a.id, b.id AS rid, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS seq
-            FROM records a JOIN (SELECT id, category FROM records WHERE category <> '' QUALIFY row_number() OVER (PARTITION BY category ORDER BY id) <= 11) b
-              ON a.category = b.category AND a.id <> b.id QUALIFY seq <= 10),
+    {D_RING},
     f0 AS (SELECT id, rid, 0.8 AS score, seq FROM cat),
     n0 AS (SELECT r.id, count(f0.rid) AS n FROM records r LEFT JOIN f0 ON f0.id = r.id GROUP BY r.id),
     f1 AS MATERIALIZED (SELECT kw.id, mat.rid, 0.5 AS score, 100 + row_number() OVER (PARTITION BY kw.id ORDER BY mat.rid) AS seq FROM kw JOIN n0 ON n0.id = kw.id AND n0.n < 5

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,16 +63,46 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     Used where a result feeds several branches and is expensive to compute: readers of the table prune
     columns, and a lost executor costs a re-read instead of a recomputation.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_staged_paths: list[str] = []
+
+
+def staging_path(spark: SparkSession, label: str) -> str:
+    """A new path for an intermediate table, which an enclosing ``scope`` will delete."""
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged_paths.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Deletes, on leaving, the intermediate tables written inside. Results must be written or collected by then."""
+    begin = len(_staged_paths)
+    try:
+        yield
+    finally:
+        for path in _staged_paths[begin:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _staged_paths[begin:]
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster on which it is not installed, as ``--py-files`` would."""
+    folder = tempfile.mkdtemp(prefix="askloom-")
+    root = os.path.dirname(os.path.abspath(__file__))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/askloom", "zip", os.path.dirname(root), os.path.basename(root)))
+
+
 def is_small(df, limit_bytes: int = 64 << 20) -> bool:
     """True when the optimizer's size estimate of ``df`` is at most ``limit_bytes``.
 
-    The estimate comes from file sizes and is an upper bound for plain scans and filters, so it is safe
-    to decide a broadcast with it; joins above the limit stay shuffle joins.
+    The estimate comes from file sizes. It bounds scans and filters of uncompressed columns; compressed files and
+    ``explode`` can be many times larger, so use it for narrow tables written as they are and not for generated rows.
     """
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes())) <= limit_bytes

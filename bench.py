@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from askloom.plans import registry  # noqa: E402
-from askloom.session import local_session  # noqa: E402
+from askloom.session import local_session, scope  # noqa: E402
 
 HEADLINE = [
     "flagship",
@@ -26,6 +26,10 @@ HEADLINE = [
     "canonical_url",
     "split_qa_lines",
     "labelled_divs",
+    "heading_walk",
+    "bold_labels",
+    "marker_posts",
+    "readable_text",
     "extract_links",
     "stale_cutoff",
     "robots_filter",
@@ -62,7 +66,8 @@ def main() -> None:
         times = []
         for _ in range(runs):
             start = time.perf_counter()
-            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            with scope(spark):
+                queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(times), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
