@@ -10,8 +10,8 @@ Set-relation skipping works at two levels, both from answers for one set that se
 1. Each list is answered first for its leader only, the set with the most common prefix: members are compared with the leader, which costs
    one comparison a member. Members found linked to a common set take over its component.
 2. What is left is derived from those answers: within a list, members of one component need no comparison with each other.
-   Lists are cut into blocks of one component and one size band, and each block carries the range of its sizes and the furthest reach of its
-   positions. Pairs of blocks of one component, or out of each other's sizes, or whose positions leave too few shingles behind, are skipped whole; only
+   Lists are cut into blocks of one component by size and by position, and each block carries the range of its sizes and the furthest
+   reach of its positions. Pairs of blocks of one component, or out of each other's sizes, or whose positions leave too few shingles behind, are skipped whole; only
    members of the pairs left are compared. A link between two components is never skipped, so components are exact.
 
 So a group of near copies, however large, costs its size and not its square. Comparisons are exact on 64-bit shingle hashes.
@@ -37,6 +37,7 @@ from askloom.llm.tables import fresh, staged
 BUCKET_BITS = 22
 CHUNK = 1 << 16
 SLICE = 2 << 20
+BAND = 0.02
 BROADCAST_ROWS = 400_000  # of two longs, about 20 MB
 
 
@@ -199,6 +200,10 @@ def _left(at: Column) -> Column:
     return _n(at) - at.bitwiseAND(0xFFFFFFFF)
 
 
+def _band(x: Column) -> Column:
+    return F.floor(F.log(x.cast("double")) / BAND).cast("int")
+
+
 def _fit(n1: Column, n2: Column, left1: Column, left2: Column, num: int, den: int) -> Column:
     """Whether sets of these sizes can be linked when their first common shingle leaves so many behind."""
     sizes = (n1 * den >= n2 * num) & (n2 * den >= n1 * num)
@@ -221,9 +226,9 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int, leve
     found = compare(docs, first, size, num, den)
     labels = staged(connected_components(found, "a", "b"), "labels")
 
-    # Blocks: one component and one size band of a list. The band only groups; sizes decide.
+    # Blocks: one component of a list, sizes and reaches within BAND of each other. The band only groups; sizes and reaches decide.
     labelled = shared.join(labels, "node", "left").select("h", "node", "at", F.coalesce("label", "node").alias("label"))
-    labelled = labelled.withColumn("band", F.floor(F.log(_n(F.col("at")).cast("double")) / float(np.log(den / num))).cast("int"))
+    labelled = labelled.withColumn("band", _band(_n(F.col("at"))) * 100_000 + _band(_left(F.col("at"))))
     labelled = staged(labelled, "labelled-lists")
     mixed = labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
     reach = [F.min(_n(F.col("at"))).alias("n_low"), F.max(_n(F.col("at"))).alias("n_high"), F.max(_left(F.col("at"))).alias("left")]
@@ -232,7 +237,6 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int, leve
     possible = (
         (F.col("one.h") == F.col("two.h"))
         & (F.col("one.label") < F.col("two.label"))
-        & (F.abs(F.col("one.band") - F.col("two.band")) <= 1)
         & (F.col("one.n_high") * den >= F.col("two.n_low") * num)
         & (F.col("two.n_high") * den >= F.col("one.n_low") * num)
         & (F.least("one.left", "two.left") * (num + den) >= (F.col("one.n_low") + F.col("two.n_low")) * num)

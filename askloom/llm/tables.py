@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.session import checkpoint_root
+from askloom.session import staging_path
 
 __all__ = ["fold_of", "fresh", "read", "staged"]
 
@@ -26,7 +24,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as a table below the checkpoint folder, packed tightly, and read back; a lost executor costs a re-read."""
-    path = f"{checkpoint_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
