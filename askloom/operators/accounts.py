@@ -122,11 +122,21 @@ def identity_upsert(events: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def subscription_requests(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """Requests with ``reason``: the domain check's, else an unknown user, else an empty string."""
+    checked = domain_check(rows, DOMAINS["subscription"])
+    known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("known"))
+    reason = F.when(F.col("reason") != "", F.col("reason")).when(F.col("known").isNull(), F.lit("user not found")).otherwise(F.lit(""))
+    return checked.join(known, "user_id", "left").withColumn("reason", reason).drop("known")
+
+
 def subscription_append(rows: DataFrame, users: DataFrame, subs: DataFrame) -> DataFrame:
-    """Subscriptions plus the valid new rows of existing users; every request becomes a row of its own."""
-    good = domain_check(rows, DOMAINS["subscription"]).filter(F.col("reason") == "").drop("reason")
-    known = good.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-    return subs.unionByName(known.select(*subs.columns))
+    """Subscriptions plus the valid new rows of existing users; every request becomes a row of its own.
+
+    What is not appended stands in ``subscription_requests`` with its reason.
+    """
+    good = subscription_requests(rows, users).filter(F.col("reason") == "")
+    return subs.unionByName(good.select(*subs.columns))
 
 
 # Donations ----------------------------------------------------------------------------------------------------

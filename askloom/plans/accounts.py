@@ -116,8 +116,12 @@ def _(t):
        WHERE plan = 'monthly' AND user_id IN (SELECT id FROM users)""",
 )
 def _(t):
+    return O.subscription_append(subscription_rows(t), t.users, t.subscriptions).select("id", "user_id", "plan", "status")
+
+
+def subscription_rows(t):
     bought = t.events.filter(C("event_type") == "purchase")
-    rows = bought.select(
+    return bought.select(
         C("event_id").alias("id"),
         F.when(C("event_id") % 9 == 0, F.lit(1000000000)).otherwise(C("user_id")).alias("user_id"),
         F.when(C("event_id") % 5 == 0, F.lit("weekly")).otherwise(F.lit("monthly")).alias("plan"),
@@ -125,7 +129,18 @@ def _(t):
         C("ts").alias("created_at"),
         C("ts").alias("expires_at"),
     )
-    return O.subscription_append(rows, t.users, t.subscriptions).select("id", "user_id", "plan", "status")
+
+
+@query(
+    "subscription_rejects",
+    "users",
+    """SELECT event_id AS id, CASE WHEN plan <> 'monthly' THEN 'domain' ELSE 'user not found' END AS reason
+       FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 1000000000 ELSE user_id END AS user_id, CASE WHEN event_id % 5 = 0 THEN 'weekly' ELSE 'monthly' END AS plan FROM events WHERE event_type = 'purchase')
+       WHERE plan <> 'monthly' OR user_id NOT IN (SELECT id FROM users)""",
+)
+def _(t):
+    out = O.subscription_requests(subscription_rows(t), t.users).filter(C("reason") != "")
+    return out.select("id", F.when(C("reason") == "user not found", C("reason")).otherwise("domain").alias("reason"))
 
 
 @query(

@@ -268,12 +268,12 @@ def _(t):
     "verify_schema",
     "users questions",
     """SELECT 'users' AS table_name, 'dashboard_access' AS column_name, (SELECT count(*) FROM users) AS affected_rows
-       UNION ALL SELECT 'questions', 'payment_amount', (SELECT count(*) FROM questions) UNION ALL SELECT 'reviewer_payments', NULL, 0""",
+       UNION ALL SELECT 'questions', 'payment_note', (SELECT count(*) FROM questions) UNION ALL SELECT 'reviewer_payments', NULL, 0""",
 )
 def _(t):
     expected = {
         "users": ("role", "dashboard_access"),
-        "questions": ("reviewer_id", "assigned_at", "answered_at", "payment_amount", "payment_status"),
+        "questions": ("reviewer_id", "assigned_at", "answered_at", "payment_note", "payment_status"),
         "reviewers": (),
         "reviewer_payments": ("month",),
     }

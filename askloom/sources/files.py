@@ -65,8 +65,10 @@ def gate_upload_files(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES, min_l
     """
     suffix = F.lower(F.regexp_extract(_name(F.col("path")), r"(\.[^.]+)\z", 1))
     known = files.select(_name(F.col("path")).alias("name"), "length", suffix.alias("suffix"), "content")
-    # Bytes that are no UTF-8 are dropped, not replaced.
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
+    # Bytes that are no UTF-8 are dropped, not replaced; a replacement character of the file's own is set aside meanwhile.
+    own, aside = F.lit("\ufffd"), F.lit("\ufdd0")
+    valid = F.make_valid_utf8(F.replace(F.col("content").cast("string"), own, aside))
+    text = F.replace(F.replace(valid, own, F.lit("")), aside, own)
     usable = F.col("suffix").isin(".pdf", ".txt") & (F.col("length") <= max_bytes)
     cleaned = known.withColumn("body", F.when(usable, T.dedupe_lines(T.normalize_text(text))))
     reason = (
