@@ -249,6 +249,28 @@ def encode(docs: DataFrame, content: bytes, pattern: str, id_column: str = "doc_
     return source.mapInArrow(run, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_column)
 
 
+def decoded_bytes(ids: bytes, token: dict[int, bytes]) -> bytes:
+    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def round_trip(docs: DataFrame, content: bytes, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """What ``encode`` and ``decode`` give one after the other, in one pass of one worker."""
+    source = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, token = load(content), tokens(content)
+        for part in (p for batch in batches for p in slices(batch, most=GROUP_BYTES)):
+            ids = list(encode_texts([t or "" for t in part.column("text").to_pylist()], ranks, pattern))
+            decoded = [decoded_bytes(i, token) for i in ids]
+            columns = [part.column("id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
+            yield pa.record_batch(columns, ["id", "n_tokens", "ids", "decoded"])
+            del ids, decoded, columns
+        pa.default_memory_pool().release_unused()
+
+    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_column)
+
+
 def decode(encoded: DataFrame, content: bytes) -> DataFrame:
     """The given columns and decoded (BINARY): the bytes that ``ids`` stand for. NULL ids decode to NULL."""
     kind = f"{encoded.schema.simpleString()[7:-1]},decoded:binary"
@@ -257,7 +279,7 @@ def decode(encoded: DataFrame, content: bytes) -> DataFrame:
         token = tokens(content)
         for batch in batches:
             raw = batch.column("ids").to_pylist()
-            texts = [None if i is None else b"".join(map(token.__getitem__, np.frombuffer(i, "<u4").tolist())) for i in raw]
+            texts = [None if i is None else decoded_bytes(i, token) for i in raw]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, kind)
@@ -265,5 +287,5 @@ def decode(encoded: DataFrame, content: bytes) -> DataFrame:
 
 def digests(docs: DataFrame, content: bytes, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and sha-256 of the ids and of the decoded bytes, of every text."""
-    both = decode(encode(docs, content, pattern), content)
+    both = round_trip(docs, content, pattern)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

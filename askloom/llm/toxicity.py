@@ -209,6 +209,7 @@ def featurize(docs: DataFrame, text_column: str, name: str, learned: tuple[np.nd
             rows = features_of(part, text_column, *learned)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.record_batch([*part.columns, flat], [*part.schema.names, name])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(FloatType()))]))
 
