@@ -122,7 +122,9 @@ def test_related_by_brute_force(spark):
         for r in related.related_records(df, limit, seed=None, stop=("beta",)).collect():
             got.setdefault(r.id, {})[r["rank"]] = (r.related_id, r.score)
         for i, q, _, _, cat in rows:
-            found = [(j, 0.8) for j, _, _, _, c in rows if cat and c == cat and j != i][:10]
+            ring = sorted(j for j, _, _, _, c in rows if cat and c == cat)
+            at = ring.index(i) if cat else 0
+            found = [(j, 0.8) for j in (ring[at + 1 :] + ring[:at])[:10]]
             kws = list(dict.fromkeys(w for w in q.split() if len(w) > 3 and w != "beta"))[:3]
             for kw in kws:
                 if len(found) >= limit:
