@@ -3,16 +3,15 @@
 Words are lower-cased runs of letters, digits and non-ASCII characters, so case and punctuation don't matter; a shingle is five consecutive words (all of an
 item's, if it has fewer). A window of a text is as many words as an item has.
 
-Candidates come from SimHash fingerprints of 64 bits over words. An item of m words belongs to the class w, the largest window
-of ``WINDOWS`` with 2 w <= m + 1 (the smallest, else all of m), and has a fingerprint for the w words at each of its offsets. A text
-has fingerprints for w words at regular positions, so dense that any passage of m words holds ``DENSITY`` of them whole: a
-passage equal to the item meets fingerprints of the same words at distance 0, and an edit spoils only some. Fingerprints within Hamming distance
-``RADIUS`` are all found by multi-index blocks: cut into RADIUS + 1 blocks of bits, two such fingerprints agree in one block
-at least. A hit fixes where the item would lie in the text.
+Candidates come from SimHash fingerprints of 64 bits over ``WINDOW`` words. A text has one at every position. An item has them at its key shingles: its
+heaviest ones, as many as hold more than 1 - ``THRESHOLD`` of its weight together. A window without any of them shares less than ``THRESHOLD`` of
+the item's weight, so every window at or above the threshold keeps a key shingle unchanged, with a fingerprint at distance 0: none is
+missed, wherever and however often it was edited. Fingerprints within Hamming distance ``RADIUS`` are all found by multi-index
+blocks: cut into RADIUS + 1 blocks of bits, two such fingerprints agree in one block at least.
 
-Verification is exact: weighted Jaccard similarity of the shingle multisets of the item and of the item-sized window of the
-text there, moved by up to ``SHIFT`` words to allow for insertions; weights are inverse shares of the items that hold the shingle. A match has
-a similarity of at least ``THRESHOLD``.
+Verification is exact: weighted Jaccard similarity of the shingle multisets of the item and of every item-sized window of the text that
+holds a hit; weights are inverse shares of the items that hold the shingle. A match has a similarity of at least ``THRESHOLD``, and
+the best window, the first of equal ones, is reported.
 
 The index of items is read by every task only while it has at most ``INDEX_ITEMS`` items; a larger benchmark is cut into
 parts of that many, and texts pass once for each part. Texts are never shuffled and long texts are handled whole.
@@ -38,10 +37,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 3
 WINDOWS = (4, 8, 16, 32, 64, 128)
+WINDOW = 4  # words of a fingerprint; at most SHINGLE, so that an unchanged shingle has it whole
 LEAST_WORDS = 8
-SHIFT = 2
-DENSITY = 3
-LEAST_NEAR = 0.2
+ROUNDING = 1e-9  # sums of weights in different order differ by less
+RUN = 1 << 18  # positions fingerprinted at once
 INDEX_ITEMS = 5_000
 SLICE = 2 << 20
 
@@ -100,25 +99,24 @@ class Index:
         held = np.concatenate([np.unique(s) for s in self.shingles]) if self.items else np.zeros(0, np.uint64)
         self.known, counts = np.unique(held, return_counts=True)
         self.weights = np.log1p(len(self.items) / counts) if len(counts) else np.zeros(0)
-        self.classes: dict[int, tuple] = {}
-        by_class: dict[int, list[int]] = {}
+        self.prints, self.owner, self.tables = self._fingerprints()
+
+    def _fingerprints(self) -> tuple[np.ndarray, np.ndarray, list]:
+        """Fingerprints at the items' key shingles, the items they are of, and the tables of their blocks."""
+        prints, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for k, h in enumerate(self.items):
             if len(h) >= LEAST_WORDS:
-                by_class.setdefault(window_of(len(h)), []).append(k)
-        for size, members in by_class.items():
-            prints = [simhash(self.items[k], [(np.arange(len(self.items[k]) - size + 1), size)])[0] for k in members]
-            owner = np.repeat(members, [len(p) for p in prints])
-            offset = np.concatenate([np.arange(len(p)) for p in prints])
-            prints = np.concatenate(prints)
-            stride = -(-(min(len(self.items[k]) for k in members) - size + 1) // DENSITY)
-            tables = []
-            for shift, width in bit_blocks():
-                key = (prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                order = np.argsort(key, kind="stable")
-                held = np.zeros(1 << width, bool)
-                held[key.astype(np.int64)] = True
-                tables.append((key[order], order, held))
-            self.classes[size] = (prints, owner, offset, stride, tables)
+                at = key_shingles(self.shingles[k], self.weight)
+                prints.append(simhash(h, [(at, WINDOW)])[0])
+                owner.append(np.full(len(at), k))
+        prints, tables = np.concatenate(prints), []
+        for shift, width in bit_blocks():
+            key = (prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            order = np.argsort(key, kind="stable")
+            held = np.zeros(1 << width, bool)
+            held[key.astype(np.int64)] = True
+            tables.append((key[order], order, held))
+        return prints, np.concatenate(owner), tables
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         """Shingles of no item weigh as much as those of one item."""
@@ -128,9 +126,13 @@ class Index:
         return np.where(self.known[at] == shingles, self.weights[at], np.log1p(len(self.items)))
 
 
-def window_of(n_words: int) -> int:
-    """Fingerprint window of an item of ``n_words`` words."""
-    return max((w for w in WINDOWS if 2 * w <= n_words + 1), default=min(WINDOWS))
+def key_shingles(shingles: np.ndarray, weight) -> np.ndarray:
+    """First positions of the heaviest distinct shingles that hold more than 1 - THRESHOLD of the item's weight together."""
+    known, first, counts = np.unique(shingles, return_index=True, return_counts=True)
+    held = weight(known) * counts
+    order = np.lexsort((first, -held))
+    enough = np.searchsorted(np.cumsum(held[order]), (1 - THRESHOLD + ROUNDING) * held.sum(), "right") + 1
+    return first[order[:enough]]
 
 
 def bit_blocks(radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -157,37 +159,61 @@ def near_pairs(prints: np.ndarray, index: tuple, radius: int = RADIUS) -> tuple[
     return both // max(len(known), 1), both % max(len(known), 1)
 
 
+def best_window(shingles: np.ndarray, hits: np.ndarray, n_words: int, item: np.ndarray, m: int, weight) -> tuple[float, int]:
+    """Similarity and first word of the best window of ``m`` words that holds a hit; ``shingles`` are the text's, ``item`` the item's."""
+    size, last = len(item), max(n_words - m, 0)
+    known, counts = np.unique(item, return_counts=True)
+    known_weight = weight(known)
+    best = (0.0, 0)
+    for run in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * size) + 1):
+        low, high = max(int(run[0]) - size + 1, 0), min(int(run[-1]), last)
+        low = min(low, high)
+        some = shingles[low : high + size]
+        k = np.minimum(np.searchsorted(known, some), len(known) - 1)
+        at = np.flatnonzero(known[k] == some)
+        k = k[at]
+        # A shingle counts in the windows that have it among its first ``counts`` ones.
+        order = np.lexsort((at, k))
+        group = k[order]
+        rank = np.arange(len(order)) - np.searchsorted(group, group)
+        begin = np.zeros(len(order), np.int64)
+        late = rank >= counts[group]
+        begin[late] = at[order][np.flatnonzero(late) - counts[group[late]]] + 1
+        begin, end = np.maximum(begin, at[order] - size + 1), at[order] + 1
+        n = high - low + 1
+        change = np.bincount(np.minimum(begin, n), known_weight[group], n + 1) - np.bincount(np.minimum(end, n), known_weight[group], n + 1)
+        shared = np.cumsum(change)[:n]
+        total = np.concatenate([[0.0], np.cumsum(weight(some))])
+        own = total[np.minimum(np.arange(n) + size, len(some))] - total[np.minimum(np.arange(n), len(some))]
+        near = shared / (own + (known_weight * counts).sum() - shared)
+        first = int(np.flatnonzero(near >= near.max() - ROUNDING)[0])
+        if near[first] >= THRESHOLD - ROUNDING and near[first] > best[0] + ROUNDING:
+            got = weighted_jaccard(some[first : first + size], item, weight)
+            if got >= THRESHOLD:
+                best = (got, low + first)
+    return best
+
+
 def match_texts(w: words.Words, index: Index) -> list[tuple[int, int, float, int, int]]:
     """(text, item, similarity, first word, words) of the best match of every text and item at or above the threshold."""
-    n_words = np.diff(w.at)
-    places = []
-    for size, (_, _, _, stride, _) in index.classes.items():
-        fits = np.maximum(n_words - size, -1)
-        counts = np.where(fits >= 0, fits // stride + 1, 0)
-        text = np.repeat(np.arange(len(n_words)), counts)
-        step = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-        places.append((text, step * stride, size))
-    prints = simhash(w.hashes, [(w.at[text] + place, size) for text, place, size in places])
-    candidates: set[tuple[int, int, int]] = set()
-    for own, (text, place, _), entry in zip(prints, places, index.classes.values(), strict=True):
-        left, right = near_pairs(own, entry)
-        _, owner, offset, _, _ = entry
-        candidates.update(zip(text[left].tolist(), owner[right].tolist(), (place[left] - offset[right]).tolist(), strict=True))
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    for t, k, place in sorted(candidates):
-        if best.get((t, k), (0.0, 0))[0] == 1.0:
-            continue
-        hashes, m = w.hashes[w.at[t] : w.at[t + 1]], len(index.items[k])
-        last = max(len(hashes) - m, 0)
-        for d in sorted(range(-SHIFT, SHIFT + 1), key=abs):
-            start = min(max(place + d, 0), last)
-            got = weighted_jaccard(shingle_hashes(hashes[start : start + m]), index.shingles[k], index.weight)
-            if got >= THRESHOLD and (got, -start) > best.get((t, k), (0.0, 1)):
-                best[t, k] = (got, -start)
-            # Moving by d words changes at most d shingles at either end: nothing near, nothing to gain.
-            if got == 1.0 or (d == 0 and got < LEAST_NEAR):
-                break
-    return [(t, k, s, -start, len(index.items[k])) for (t, k), (s, start) in sorted(best.items())]
+    shingles = shingle_hashes(w.hashes) if len(w.hashes) >= SHINGLE else w.hashes[:0]
+    hits = []
+    for a in range(0, len(shingles), RUN):
+        (own,) = simhash(w.hashes[a : a + RUN + WINDOW - 1], [(np.arange(min(RUN, len(shingles) - a)), WINDOW)])
+        left, right = near_pairs(own, (index.prints, None, None, None, index.tables))
+        hits.append(np.stack([left + a, index.owner[right]]))
+    place, item = np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), np.int64)
+    text = np.searchsorted(w.at, place, "right") - 1
+    inside = place + SHINGLE <= w.at[text + 1]
+    found = np.unique(np.stack([text, item, place])[:, inside], axis=1)
+    out = []
+    for pair in np.split(found, np.flatnonzero(np.diff(found[:2], axis=1).any(0)) + 1, axis=1) if found.size else []:
+        t, k, m = int(pair[0, 0]), int(pair[1, 0]), len(index.items[pair[1, 0]])
+        begin, end = int(w.at[t]), int(w.at[t + 1])
+        got, first = best_window(shingles[begin : end - SHINGLE + 1], pair[2] - begin, end - begin, index.shingles[k], m, index.weight)
+        if got:
+            out.append((t, k, got, first, m))
+    return out
 
 
 def item_parts(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Index]:

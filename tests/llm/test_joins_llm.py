@@ -201,6 +201,31 @@ def test_decontamination_finds_changed_and_placed_passages(spark):
     assert sorted(r["doc_id"] for r in decontamination.clean_documents(docs, items).collect()) == [4, 5, 6]
 
 
+def matched(texts, items):
+    w = decontamination.bare(pa.record_batch([pa.array(items)], ["text"]))
+    index = decontamination.Index(list(range(len(items))), [w.hashes[w.at[i] : w.at[i + 1]] for i in range(len(items))])
+    rows = decontamination.match_texts(decontamination.bare(pa.record_batch([pa.array(texts)], ["text"])), index)
+    return {(t, k): round(s, 9) for t, k, s, _, _ in rows}
+
+
+def test_decontamination_misses_no_edited_passage():
+    rng = np.random.default_rng(5)
+    items = [" ".join(f"i{m}w{k}" for k in range(m)) for m in (12, 63, 66, 70, 120, 127, 255)]
+    items += [" ".join(f"r{k}" for k in rng.integers(0, 3, 40)), items[1] + " " + items[0]]
+    texts = []
+    for item in items:
+        for edits in (1, 2, 4):
+            for kind in range(3):
+                said = item.split()
+                # Edits in the middle, evenly spread, or anywhere.
+                spots = [[len(said) // 2 + k for k in range(edits)], [(k + 1) * len(said) // (edits + 1) for k in range(edits)], rng.choice(len(said), edits, replace=False).tolist()][kind]
+                for k in sorted(spots, reverse=True):
+                    said[k : k + 1] = [[f"new{k}"], [], [said[k], "more"]][rng.integers(3)]
+                texts.append(" ".join([f"f{k}" for k in range(rng.integers(0, 90))] + said + [f"g{k}" for k in range(rng.integers(0, 90))]))
+    got = matched(texts, items)
+    assert got == brute_matches(list(enumerate(texts)), list(enumerate(items))) and len(got) > 40
+
+
 def test_decontamination_nasty(spark, nasty, no_docs, monkeypatch):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve second line"), (2, ""), (3, "another item of nine words which nobody ever holds")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.matches(nasty, items).collect()} == {(4, 1), (5, 1)}
