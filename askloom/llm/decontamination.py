@@ -14,7 +14,8 @@ holds a hit; weights are inverse shares of the items that hold the shingle. A ma
 the best window, the first of equal ones, is reported.
 
 The index of items is read by every task only while it has at most ``INDEX_ITEMS`` items; a larger benchmark is cut into
-parts of that many, and texts pass once for each part. Texts are never shuffled and long texts are handled whole.
+parts of about that many, which pass the driver one at a time, and texts pass once for each part. Weights are over all items, however they
+are cut, so the parts don't change results. Texts are never shuffled by matching and long texts are handled whole.
 
 Defined cases: NULL or empty texts and items match nothing; an item with fewer than ``LEAST_WORDS`` words is too short to
 tell and matches nothing; items of equal words match all alike, and every item of them is reported; repeated rows of a document are reported
@@ -23,6 +24,7 @@ each; with no items, nothing is contaminated. Extra columns pass through ``clean
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askloom.llm import words
+from askloom.llm.tables import fresh, staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -89,16 +92,24 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weight) -> float:
 
 @dataclass
 class Index:
-    """Items ready for search; built on each worker from the items' ids and word hashes."""
+    """Items ready for search; built on each worker from the items' ids and word hashes.
+
+    ``shares`` are, for a part of a benchmark, its shingles in order, in how many items of the whole each is, and the number of all items.
+    """
 
     item_ids: list[int]
     items: list[np.ndarray]
+    shares: tuple[np.ndarray, np.ndarray, int] | None = None
 
     def __post_init__(self):
         self.shingles = [shingle_hashes(h) for h in self.items]
-        held = np.concatenate([np.unique(s) for s in self.shingles]) if self.items else np.zeros(0, np.uint64)
-        self.known, counts = np.unique(held, return_counts=True)
-        self.weights = np.log1p(len(self.items) / counts) if len(counts) else np.zeros(0)
+        if self.shares is None:
+            held = np.concatenate([np.unique(s) for s in self.shingles]) if self.items else np.zeros(0, np.uint64)
+            self.known, counts = np.unique(held, return_counts=True)
+            self.total = len(self.items)
+        else:
+            self.known, counts, self.total = self.shares
+        self.weights = np.log1p(self.total / counts) if len(counts) else np.zeros(0)
         self.prints, self.owner, self.tables = self._fingerprints()
 
     def _fingerprints(self) -> tuple[np.ndarray, np.ndarray, list]:
@@ -123,7 +134,7 @@ class Index:
         if not len(self.known):
             return np.ones(len(shingles))
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weights[at], np.log1p(len(self.items)))
+        return np.where(self.known[at] == shingles, self.weights[at], np.log1p(self.total))
 
 
 def key_shingles(shingles: np.ndarray, weight) -> np.ndarray:
@@ -216,19 +227,47 @@ def match_texts(w: words.Words, index: Index) -> list[tuple[int, int, float, int
     return out
 
 
-def item_parts(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Index]:
-    """The benchmark's items in parts of at most INDEX_ITEMS, as word hashes."""
+def hashed_items(texts: pa.Array) -> list[np.ndarray]:
+    """Word hashes of each item."""
+    w = bare(pa.record_batch([texts], ["text"]))
+    return [w.hashes[w.at[i] : w.at[i + 1]] for i in range(len(texts))]
+
+
+def shingle_rows(items: DataFrame) -> DataFrame:
+    """s: every distinct shingle of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in words.slices(batch, most=SLICE):
+                held = [np.unique(shingle_hashes(h)) for h in hashed_items(some.column("text"))]
+                yield pa.record_batch([pa.array(np.concatenate(held).view(np.int64))], ["s"])
+
+    return items.select("text").mapInArrow(run, "s long")
+
+
+def item_parts(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[int, Iterator[tuple]]:
+    """The number of parts of about INDEX_ITEMS items, and what Index takes for each, one at a time."""
     chosen = items.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    parts, begin = [], None
-    while True:
-        rows = (chosen if begin is None else chosen.where(F.col("id") > begin)).orderBy("id", "text").limit(INDEX_ITEMS).collect()
-        if not rows:
-            return parts
-        begin = rows[-1]["id"]
-        if len(rows) == INDEX_ITEMS:  # the last id may have more rows
-            rows = [r for r in rows if r["id"] != begin] + chosen.where(F.col("id") == begin).collect()
-        w = bare(pa.record_batch([pa.array([r["text"] for r in rows], pa.string())], ["text"]))
-        parts.append(Index([r["id"] for r in rows], [w.hashes[w.at[i] : w.at[i + 1]] for i in range(len(rows))]))
+    rows = chosen.limit(INDEX_ITEMS + 1).toArrow()
+    if len(rows) <= INDEX_ITEMS:
+        texts = rows["text"].combine_chunks()
+        return min(len(rows), 1), iter([(rows["id"].to_pylist(), hashed_items(texts))] if len(rows) else [])
+    table = staged(chosen.withColumn("row", F.monotonically_increasing_id()), "op6-items")
+    total = table.count()
+    n = -(-total // INDEX_ITEMS)
+    shares = staged(shingle_rows(table).groupBy("s").agg(F.count("*").alias("n")), "op6-shares")
+
+    def each() -> Iterator[tuple]:
+        for k in range(n):
+            part = table.where(F.pmod(F.xxhash64("row"), F.lit(n)) == k)
+            rows = part.select("id", "text").toArrow()
+            if len(rows):
+                held = shingle_rows(part).distinct().join(shares, "s").toArrow()
+                known, counts = held["s"].to_numpy().view(np.uint64), held["n"].to_numpy()
+                order = np.argsort(known)
+                yield rows["id"].to_pylist(), hashed_items(rows["text"].combine_chunks()), (known[order], counts[order], total)
+
+    return n, each()
 
 
 def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -237,9 +276,10 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     kind = source.schema["id"].dataType.simpleString()
     schema = f"{id_column} {kind}, item_id long, similarity double, first_word long, n_words long, passage string"
     found = None
-    for part in item_parts(items):
+    n_parts, parts = item_parts(items)
+    for part in parts:
 
-        def run(batches: Iterator[pa.RecordBatch], held=(part.item_ids, part.items)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=part) -> Iterator[pa.RecordBatch]:
             index = Index(*held)
             for batch in batches:
                 for some in words.slices(batch, most=SLICE):
@@ -251,21 +291,39 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
                     yield pa.record_batch([*columns, pa.array(spans, pa.string())], [id_column, "item_id", "similarity", "first_word", "n_words", "passage"])
 
         one = source.mapInArrow(run, schema)
+        if n_parts > 1:  # written, so that the driver needn't keep the part
+            one = staged(one, "op6-matches")
         found = one if found is None else found.unionByName(one)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text matches no item."""
-    out = docs
-    for part in item_parts(items):
+    n_parts, parts = item_parts(items)
+    text, unwanted = F.col(f"`{text_column}`"), None
+    for part in parts:
 
-        def keep(batches: Iterator[pa.RecordBatch], held=(part.item_ids, part.items)) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], held=part) -> Iterator[pa.RecordBatch]:
             index = Index(*held)
             for batch in batches:
                 for some in words.slices(batch, text_column, SLICE):
                     hit = {r[0] for r in match_texts(bare(some, text_column), index)}
                     yield some.take(pa.array([i for i in range(some.num_rows) if i not in hit], pa.int64()))
 
-        out = out.mapInArrow(keep, docs.schema)
-    return out
+        def digests(batches: Iterator[pa.RecordBatch], held=part) -> Iterator[pa.RecordBatch]:
+            index = Index(*held)
+            for batch in batches:
+                for some in words.slices(batch, most=SLICE):
+                    hit = sorted({r[0] for r in match_texts(bare(some), index)})
+                    yield pa.record_batch([pa.array([hashlib.sha256(some.column("text")[i].as_py().encode()).hexdigest() for i in hit], pa.string())], ["digest"])
+
+        if n_parts == 1:
+            return docs.mapInArrow(keep, docs.schema)
+        # Equal texts match alike, so a part leaves the digests of its matched texts, and documents are written by none.
+        one = staged(docs.select(text.alias("text")).mapInArrow(digests, "digest string"), "op6-unwanted")
+        unwanted = one if unwanted is None else unwanted.unionByName(one)
+    if unwanted is None:
+        return docs
+    name = fresh(docs, "digest")
+    keyed = docs.withColumn(name, F.sha2(text.cast("binary"), 256))
+    return keyed.join(unwanted.distinct().withColumnRenamed("digest", name), name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -226,6 +226,26 @@ def test_decontamination_misses_no_edited_passage():
     assert got == brute_matches(list(enumerate(texts)), list(enumerate(items))) and len(got) > 40
 
 
+def test_decontamination_weights_are_over_the_whole_benchmark(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    common = " ".join(f"common{k}" for k in range(12))
+    items = [(k, common + " " + " ".join(f"own{k}w{j}" for j in range(20))) for k in range(23)]
+    docs = []
+    for k, text in items:
+        said = text.split()
+        for spot in rng.choice(len(said), 2, replace=False):
+            docs.append((100 * k + int(spot), "before " * 9 + " ".join([*said[:spot], "edited", *said[spot + 1 :]])))
+    want = brute_matches(docs, items)
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame([*docs, (-1, None), (-2, "clean")], "doc_id long, text string")
+    for size in (5_000, 7):
+        monkeypatch.setattr(decontamination, "INDEX_ITEMS", size)
+        assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontamination.matches(docs, items).collect()} == want
+        kept = decontamination.clean_documents(docs, items)
+        assert kept.columns == docs.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["doc_id"] for r in docs.collect()} - {d for d, _ in want})
+    assert want
+
+
 def test_decontamination_nasty(spark, nasty, no_docs, monkeypatch):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve second line"), (2, ""), (3, "another item of nine words which nobody ever holds")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.matches(nasty, items).collect()} == {(4, 1), (5, 1)}
