@@ -17,8 +17,9 @@ The index of items is read by every task only while it has at most ``INDEX_ITEMS
 parts of about that many, which pass the driver one at a time, and texts pass once for each part. Weights are over all items, however they
 are cut, so the parts don't change results. Texts are never shuffled by matching and long texts are handled whole.
 
-Defined cases: NULL or empty texts and items match nothing; an item with fewer than ``LEAST_WORDS`` words is too short to
-tell and matches nothing; items of equal words match all alike, and every item of them is reported; repeated rows of a document are reported
+An item with fewer than ``LEAST_WORDS`` words matches only windows with all of its shingles and no others, which are looked up by hash.
+
+Defined cases: NULL or empty texts and items match nothing; an item with a NULL id is an item like others; items of equal words match all alike, and every item of them is reported; repeated rows of a document are reported
 each; with no items, nothing is contaminated. Extra columns pass through ``clean_documents`` whatever their names.
 """
 
@@ -111,6 +112,12 @@ class Index:
             self.known, counts, self.total = self.shares
         self.weights = np.log1p(self.total / counts) if len(counts) else np.zeros(0)
         self.prints, self.owner, self.tables = self._fingerprints()
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in {len(h) for h in self.items} & set(range(1, LEAST_WORDS)):
+            members = np.array([k for k, h in enumerate(self.items) if len(h) == m])
+            keys = np.concatenate([window_keys(self.items[k], m) for k in members])
+            order = np.argsort(keys, kind="stable")
+            self.short[m] = keys[order], members[order]
 
     def _fingerprints(self) -> tuple[np.ndarray, np.ndarray, list]:
         """Fingerprints at the items' key shingles, the items they are of, and the tables of their blocks."""
@@ -137,6 +144,30 @@ class Index:
         return np.where(self.known[at] == shingles, self.weights[at], np.log1p(self.total))
 
 
+def window_keys(hashes: np.ndarray, m: int) -> np.ndarray:
+    """Hash of the multiset of shingles of every run of ``m`` words."""
+    shingles = words.mix(shingle_hashes(hashes, min(m, SHINGLE)))
+    size = max(m - SHINGLE + 1, 1)
+    n = len(hashes) - m + 1
+    return sum((shingles[k : k + n] for k in range(size)), np.zeros(n, np.uint64)) if n > 0 else shingles[:0]
+
+
+def match_short(w: words.Words, index: Index) -> list[tuple[int, int, float, int, int]]:
+    """First match of every text and item of fewer than LEAST_WORDS words."""
+    out = []
+    for m, (keys, members) in index.short.items():
+        own = window_keys(w.hashes, m)
+        low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+        place = np.flatnonzero(high > low)
+        text = np.searchsorted(w.at, place, "right") - 1
+        inside = place + m <= w.at[text + 1]
+        place, text = place[inside], text[inside]
+        _, first = np.unique(np.stack([text, low[place]]), axis=1, return_index=True)
+        for p, t in zip(place[first].tolist(), text[first].tolist(), strict=True):
+            out += [(t, int(k), 1.0, p - int(w.at[t]), m) for k in members[low[p] : high[p]]]
+    return out
+
+
 def key_shingles(shingles: np.ndarray, weight) -> np.ndarray:
     """First positions of the heaviest distinct shingles that hold more than 1 - THRESHOLD of the item's weight together."""
     known, first, counts = np.unique(shingles, return_index=True, return_counts=True)
@@ -224,7 +255,7 @@ def match_texts(w: words.Words, index: Index) -> list[tuple[int, int, float, int
         got, first = best_window(shingles[begin : end - SHINGLE + 1], pair[2] - begin, end - begin, index.shingles[k], m, index.weight)
         if got:
             out.append((t, k, got, first, m))
-    return out
+    return sorted(out + match_short(w, index))
 
 
 def hashed_items(texts: pa.Array) -> list[np.ndarray]:
@@ -247,7 +278,7 @@ def shingle_rows(items: DataFrame) -> DataFrame:
 
 def item_parts(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[int, Iterator[tuple]]:
     """The number of parts of about INDEX_ITEMS items, and what Index takes for each, one at a time."""
-    chosen = items.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    chosen = items.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     rows = chosen.limit(INDEX_ITEMS + 1).toArrow()
     if len(rows) <= INDEX_ITEMS:
         texts = rows["text"].combine_chunks()

@@ -246,6 +246,16 @@ def test_decontamination_weights_are_over_the_whole_benchmark(spark, monkeypatch
     assert want
 
 
+def test_decontamination_finds_short_items_and_items_without_id(spark):
+    items = [(1, "what is the largest planet"), (2, "What is the largest planet of all?"), (3, "x y x y x y"), (None, "an item without any id of its own here"), (5, "prime numbers"), (6, "")]
+    docs = [(1, "q: what is the LARGEST planet? jupiter"), (2, "what is the largest planet of all"), (3, "what is the largest"), (4, "planet so y x y x y x"), (5, "an item without any id of its own here"), (6, "prime"), (7, "numbers"), (8, "odd prime numbers, prime numbers"), (9, "x y"), (10, None)]
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"], r["passage"]) for r in decontamination.matches(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (2, 2), (4, 3), (5, None), (8, 5)}
+    assert got[1, 1] == (1.0, 1, "what is the LARGEST planet") and got[8, 5] == (1.0, 1, "prime numbers") and {s for s, _, _ in got.values()} == {1.0}
+    assert sorted(r["doc_id"] for r in decontamination.clean_documents(docs, items).collect()) == [3, 6, 7, 9, 10]
+
+
 def test_decontamination_nasty(spark, nasty, no_docs, monkeypatch):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve second line"), (2, ""), (3, "another item of nine words which nobody ever holds")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.matches(nasty, items).collect()} == {(4, 1), (5, 1)}
