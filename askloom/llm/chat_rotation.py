@@ -13,8 +13,9 @@ large part of all rows is spread over many tasks.
 Order within a conversation: turn (NULL first), then role, then text. Defined cases: a NULL role is the speaker ``unknown``;
 NULL text is an empty content; repeated rows are turns each, in any order (they are alike); a NULL conversation id is one
 conversation; a conversation of shared turns only has no rows; an empty table gives no rows. A header is made of the
-speaker's name, lower-cased, with runs of characters other than letters, digits, ``_`` and ``-`` as one ``_``, so no name can end a header. Extra columns
-are ignored.
+speaker's name, lower-cased, with runs of characters other than letters, digits, ``_`` and ``-`` as one ``_``, so no name can end a header. Speakers are
+told apart by their roles as given: where several of a conversation get the same name, all but the first by role have ``#2``, ``#3`` and so on behind
+it. Shared speakers are known by the name. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +36,20 @@ def speaker_name(role: Column) -> Column:
 
 def segments(conversations: DataFrame, shared: tuple[str, ...] = ("system",)) -> DataFrame:
     """conv_id, perspective, position, role, name, content, segment, start, content_start, content_end, mask."""
-    turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), speaker_name(F.col("role")).alias("speaker"), F.coalesce("text", F.lit("")).alias("content"))
+    turns = conversations.select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("given"), speaker_name(F.col("role")).alias("speaker"), F.coalesce("text", F.lit("")).alias("content")
+    )
     is_shared = F.col("speaker").isin(*shared)
     # Blocks of turn numbers; numbers may have gaps and repeats.
     turns = turns.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    people = turns.where(~is_shared).select(F.col("conv_id").alias("p_conv"), F.col("speaker").alias("perspective")).distinct()
+    people = turns.where(~is_shared).select(F.col("conv_id").alias("p_conv"), F.col("given").alias("p_given"), F.col("speaker").alias("perspective")).distinct()
+    nth = F.row_number().over(Window.partitionBy("p_conv", "perspective").orderBy("p_given"))
+    people = people.withColumn("nth", nth).withColumn("perspective", F.when(F.col("nth") > 1, F.concat("perspective", F.lit("#"), "nth")).otherwise(F.col("perspective")))
+    # Only speakers whose name another one has need a new one.
+    renamed = people.where("nth > 1").select(F.col("p_conv").alias("r_conv"), F.col("p_given").alias("r_given"), F.col("perspective").alias("r_name"))
+    turns = turns.join(renamed, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("given") == F.col("r_given")), "left")
+    turns = turns.withColumn("speaker", F.coalesce("r_name", "speaker")).drop("given", "r_conv", "r_given", "r_name")
+    people = people.select("p_conv", "perspective")
     own = F.col("speaker") == F.col("perspective")
     role = F.when(is_shared, F.col("speaker")).when(own, "assistant").otherwise("user")
     name = F.when(F.col("role") == "user", F.col("speaker"))

@@ -356,3 +356,12 @@ def test_pipeline_stages_nasty(spark, nasty, no_docs, sf_dir):
             docs = queries.staged(stage(spark, docs, sf_dir), "test")
             assert docs.columns == nasty.columns, name
         corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+
+
+def test_rotation_tells_apart_speakers_of_one_name(spark):
+    rows = [(1, 0, "Ann B", "x"), (1, 1, "ann_b", "y"), (1, 2, "Ann B", "z"), (1, 3, "system", "s"), (2, 0, "ann_b", "alone"), (None, 0, "??", "p"), (None, 1, "!!", "q")]
+    out = chat_rotation.segments(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    got = {(r["conv_id"], r["perspective"], r["content"]): (r["role"], r["name"], r["mask"]) for r in out}
+    assert {k[:2] for k in got} == {(1, "ann_b"), (1, "ann_b#2"), (2, "ann_b"), (None, "_"), (None, "_#2")} and len(got) == len(out) == 13
+    assert got[1, "ann_b", "x"] == got[1, "ann_b", "z"] == got[1, "ann_b#2", "y"] == ("assistant", None, 1)
+    assert got[1, "ann_b", "y"] == ("user", "ann_b#2", 0) and got[1, "ann_b#2", "z"] == ("user", "ann_b", 0) and got[1, "ann_b", "s"] == ("system", None, 0)
