@@ -268,8 +268,9 @@ def join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_column:
     classes = staged(classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "node", "n_copies"), "classes")
     of_class = (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") > 0) & F.col("id").isNotNull()
     member = staged(sets.join(classes, of_class, "left").select("id", "n", "node", "n_copies"), "members")
-    # An id with several texts belongs to several classes, which it links.
-    several = member.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
+    # An id with several texts belongs to several classes, all of which it links.
+    least = member.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a < high").select(F.col("id").alias("of"), "a")
+    several = member.join(least, F.col("id") == F.col("of")).where("node > a").select("a", F.col("node").alias("b")).distinct()
     copies = staged(member.where("id <> node").select(F.col("id").alias("node")).join(classes.select("node"), "node", "left_anti").distinct(), "copies")
     usable = texts.where("id IS NOT NULL")
     found, _ = links(usable, copies, size, num, den, levels)

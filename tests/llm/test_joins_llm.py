@@ -134,6 +134,13 @@ def test_shingles_of_rows_that_share_an_id_link_its_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()} == {1: 1, 2: 1, 3: 1, 9: 9}
 
 
+def test_rows_that_share_an_id_link_all_of_its_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    docs = spark.createDataFrame([(9, a), (9, b), (9, c), (9, d), (1, a), (2, b), (3, c), (4, d), (7, "c " * 9)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.join(docs).collect()} == {(k, 1) for k in (1, 2, 3, 4, 9)} | {(7, 7)}
+    assert sorted(r["doc_id"] for r in ngram_join.one_per_group(docs).collect()) == [1, 7]
+
+
 def brute_matches(docs, items):
     """{(doc, item): similarity} over every window of every text."""
     ids, texts = zip(*[(k, t) for k, t in items if t], strict=True)
