@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import byte_bpe, chat_rotation, decontamination, line_dedup, maxent_lm, ngram_join, ordinal_quality, token_counts, topk, toxicity
+from askloom.llm import byte_bpe, chat_rotation, cross_tokenizer, decontamination, fill_in_middle, line_dedup, maxent_lm, ngram_join, ordinal_quality, piece_bpe, token_counts, topk, toxicity
 from askloom.llm.tables import read, staged
 
 __all__ = ["ORACLE", "QUERIES", "read", "staged", "tokenizer_file"]
@@ -67,6 +67,18 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(read(spark, sf_dir, "documents"))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer.align(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_rotation": op8_chat_rotation,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_lm_scores": op10_lm_scores,
+    "op11_piece_bpe": op11_piece_bpe,
+    "op12_cross_tokenizer": op12_cross_tokenizer,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
@@ -85,4 +100,5 @@ ORACLE: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op7_topk": topk.ORACLE,
     "op8_chat_rotation": chat_rotation.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
