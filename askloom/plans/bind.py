@@ -99,6 +99,19 @@ DERIVED: dict[str, str] = {
                     WHEN item_id % 3 = 1 THEN substr(split_part(text, ' ', 2), 2)
                     ELSE reverse(split_part(text, ' ', 3)) END AS query
         FROM {benchmark}""",
+    # Searches by words: three words of a benchmark item, some as a phrase, some with the last one cut, some for one field.
+    "phrases": """
+        SELECT item_id AS qid,
+               concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3), ' ',
+                      CASE WHEN item_id % 2 = 1 THEN substr(split_part(text, ' ', 4), 1, 2) ELSE split_part(text, ' ', 4) END) AS query,
+               item_id % 3 <> 2 AS phrase, item_id % 2 = 1 AS prefix,
+               CASE WHEN item_id % 5 = 0 THEN 'question' WHEN item_id % 5 = 1 THEN 'answer' END AS field
+        FROM {benchmark}""",
+    # Records after some were deleted and others replaced.
+    "kept_records": """
+        SELECT id, CASE WHEN category = 'es' THEN answer ELSE question END AS question,
+               CASE WHEN category = 'es' THEN question ELSE answer END AS answer, source, category
+        FROM {records} WHERE id NOT IN (SELECT doc_id FROM {labels} WHERE quality = 0)""",
     "messages": """
         SELECT conv_id AS session_id, turn, role, text AS content, conv_id % 150 AS user_id, conv_id AS record_id,
                TIMESTAMP_NTZ '2024-01-01 00:00:00' + conv_id * INTERVAL '1' HOUR + turn * INTERVAL '1' MINUTE AS created_at
