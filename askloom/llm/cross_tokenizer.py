@@ -4,9 +4,9 @@ Side A is a byte-level BPE (a ``tokenizers`` file) over a blank and the text, si
 adds that blank itself. Tokens of both sides cover the same bytes; offsets where both have a token end cut them into groups, and
 an A and a B token that share a byte are linked.
 
-Encoding: texts are cut before a blank or around a line feed that stands between other characters. Neither side has a token across
-such a place (A's pattern starts anew there; B's vocabulary is verified for it), so a piece of text always has the same tokens, groups
-and links. A bounded table per worker keeps them for short pieces.
+Both libraries encode whole texts. The rest of a block of documents is array work: token ends of both sides are offsets into the
+block's bytes; every end of either side closes one overlap, so the merged ends are the links in order, and those that both sides
+have close the groups.
 
 Counting. A block of documents is a run:
 
@@ -30,7 +30,6 @@ import hashlib
 import heapq
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -42,21 +41,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm import piece_bpe
 from askloom.llm.tables import staged
 
+MARK = "▁"
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 20_000
 RADIXES = 32
 FAN_IN = 64
 RUNS_A_TASK = 256
-KEPT_PIECES = 250_000
-LONGEST_KEPT = 48
-
-# A piece begins at a blank or line feed behind another character; a single line feed between two others is a piece.
-PIECE = re.compile(r"(?<=\S)\n(?=\S)|\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+").findall
-
-Aligned = tuple[int, int, int, int, str, bytes]
+ENCODED_AT_ONCE = 1 << 18
 
 
 def byte_of_character() -> dict[str, int]:
@@ -67,69 +60,40 @@ def byte_of_character() -> dict[str, int]:
 
 
 class Sides:
-    """Both tokenizers, and the alignment of text pieces met before."""
+    """Both tokenizers, the bytes of their tokens, and their ids as text with what may follow them in a group."""
 
     def __init__(self, a_content: bytes, b_content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
+        from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a_content.decode())
+        self.a, self.b = Tokenizer.from_str(a_content.decode()), SentencePieceProcessor(model_proto=b_content)
         self.a.encode_special_tokens = True
-        self.b = piece_bpe.load(b_content)
-        spec, of = json.loads(a_content), byte_of_character()
-        self.a_bytes = {k: bytes(map(of.__getitem__, t)) for t, k in spec["model"]["vocab"].items() if set(t) <= of.keys()}
-        before = spec["pre_tokenizer"] or {}
-        plain = not spec["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        spans = any("\n" in p for p in self.b.id if len(p) > 1)
-        self.cut = PIECE if plain and self.b.part and not spans else lambda t: [t]
-        self.kept: dict[str, Aligned | None] = {}
-
-    def b_ids(self, piece: str) -> list[int]:
-        text = piece.replace(" ", piece_bpe.MARK)
-        parts = self.b.part(text) if self.b.part else [text]
-        return np.frombuffer(b"".join(self.b.ids_of(self.b.search(p)) for p in parts), "<u4").tolist()
-
-    def align(self, piece: str, a: list[int]) -> Aligned | None:
-        """Tokens of A and B, groups, links, the groups as text and the links as keys; None if a side changes the piece."""
-        b, raw = self.b_ids(piece), piece.encode()
-        a_parts, b_parts = [self.a_bytes.get(k, b"") for k in a], [self.b.surface[k] for k in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            return None
-        links, groups = [], []
-        i = j = i0 = j0 = 0
-        a_end, b_end = len(a_parts[0]), len(b_parts[0])
-        while True:
-            links.append(a[i] << 32 | b[j])
-            step_a, step_b = a_end <= b_end, b_end <= a_end
-            if step_a and step_b:
-                groups.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
-                i0, j0 = i + 1, j + 1
-            if step_a:
-                i += 1
-                if i == len(a):
-                    break
-            if step_b:
-                j += 1
-                b_end += len(b_parts[j])
-            if step_a:
-                a_end += len(a_parts[i])
-        return len(a), len(b), len(groups), len(links), ";".join(groups), np.array(links, "<i8").tobytes()
-
-    def aligned(self, pieces: list[str]) -> list[Aligned | None]:
-        """Alignment of distinct pieces."""
-        new = [p for p in pieces if p not in self.kept]
-        if len(self.kept) + len(new) > KEPT_PIECES:
-            self.kept.clear()
-            new = pieces
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for p, tokens in zip(part, self.a.encode_batch(part, add_special_tokens=False), strict=True):
-                self.kept[p] = self.align(p, tokens.ids)
-        out = [self.kept[p] for p in pieces]
-        for p in new:
-            if len(p) > LONGEST_KEPT:
-                del self.kept[p]
-        return out
+        of, vocabulary = byte_of_character(), json.loads(a_content)["model"]["vocab"]
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, k in vocabulary.items():
+            if set(t) <= of.keys():
+                self.a_bytes[k] = bytes(map(of.__getitem__, t))
+        names = map(self.b.id_to_piece, range(self.b.get_piece_size()))
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(names)]
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.written = [f"{k}{c}" for k in range(len(self.a_bytes)) for c in ",|"] + [f"{k}{c}" for k in range(len(self.b_bytes)) for c in ",;"]
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """Ids of both sides; none for texts that are empty or that a side does not give back."""
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and (end == begin or size + len(texts[end]) <= ENCODED_AT_ONCE):
+                size += len(texts[end])
+                end += 1
+            part = texts[begin:end]
+            a_ids = [e.ids for e in self.a.encode_batch([" " + t for t in part], add_special_tokens=False)]
+            for text, a, b in zip(part, a_ids, self.b.encode(part, num_threads=1), strict=True):
+                raw = (" " + text).encode()
+                same = text and b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+                yield (a, b) if same else ([], [])
+            begin = end
 
 
 @lru_cache(maxsize=2)
@@ -160,48 +124,44 @@ RUN = "run long, radix int, n_docs int, keys binary, spans binary, docs binary,
 
 def block_rows(texts: list[str], sides: Sides, run: int, keep_groups: bool) -> tuple[list[dict], list[dict]]:
     """Figures of a block's documents, and its run: one row for each radix."""
-    found = [sides.cut(" " + t) if t else [] for t in texts]
-    distinct = sorted(set().union(*found))
-    index = {p: k for k, p in enumerate(distinct)}
-    alignments = sides.aligned(distinct)
-    none: Aligned = (0, 0, 0, 0, "", b"")
-    rows = [a or none for a in alignments]
-    usable = np.array([a is not None for a in alignments], bool)
-    numbers = np.array([r[:4] for r in rows], np.int64).reshape(-1, 4)
-    keys = np.frombuffer(b"".join(r[5] for r in rows), "<i8")
-    key_at = np.cumsum([0, *numbers[:, 3]])
-
-    figures, codes = [], []
-    for pieces in found:
-        code = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-        if not usable[code].all():
-            code, pieces = code[:0], []
-        groups = ";".join([rows[k][4] for k in code.tolist()])
-        n_a, n_b, n_groups, n_links = numbers[code].sum(0).tolist()
-        digest = hashlib.sha256(groups.encode()).hexdigest() if pieces else ""
-        figures.append({"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digest} | ({"groups": groups} if keep_groups else {}))
-        codes.append(code)
-
-    # Times of every (document, piece), then of every (document, key).
-    code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    both, times = np.unique(doc * max(len(distinct), 1) + code, return_counts=True)
-    doc, code = np.divmod(both, max(len(distinct), 1))
-    size = numbers[code, 3]
-    at = np.repeat(key_at[code] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    key, doc, times = keys[at], np.repeat(doc, size), np.repeat(times, size)
+    n_a, n_b, a, b = [], [], [], []
+    for a_ids, b_ids in sides.encode(texts):
+        n_a.append(len(a_ids))
+        n_b.append(len(b_ids))
+        a.append(np.array(a_ids, np.int32))
+        b.append(np.array(b_ids, np.int32))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+    a_end, b_end = np.cumsum(sides.a_size[a]), np.cumsum(sides.b_size[b])
+    ends = np.union1d(a_end, b_end)
+    of_a, of_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+    key, doc = a[of_a] << 32 | b[of_b], np.repeat(np.arange(len(texts)), n_a)[of_a]
+    both = (a_end[of_a] == ends) & (b_end[of_b] == ends)
+    n_groups, n_links = (np.bincount(d, minlength=len(texts)).tolist() for d in (doc[both], doc))
+
+    # Tokens of A and B as text in the order of the groups: all of A, then all of B of a group.
+    closes = ends[both]
+    a_group, b_group = np.searchsorted(closes, a_end), np.searchsorted(closes, b_end)
+    code = np.empty(len(a) + len(b), np.int64)
+    code[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = 2 * a + (a_end == closes[a_group])
+    code[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = 2 * (len(sides.a_bytes) + b) + (b_end == closes[b_group])
+    figures, begin = [], 0
+    for k in range(len(texts)):
+        end = begin + n_a[k] + n_b[k]
+        groups = "".join(map(sides.written.__getitem__, code[begin:end].tolist()))[:-1]
+        digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+        row = {"n_a": n_a[k], "n_b": n_b[k], "n_groups": n_groups[k], "n_links": n_links[k], "groups_sha256": digest}
+        figures.append(row | ({"groups": groups} if keep_groups else {}))
+        begin = end
+
+    # Every (pair, document) once, in the order of radix and pair.
     pair, of_pair = np.unique(key, return_inverse=True)
     radix = (pair >> 32) % RADIXES
     order = np.lexsort((pair, radix))
     place = np.empty(len(pair), np.int64)
     place[order] = np.arange(len(pair))
     pair, radix = pair[order], radix[order]
-    record = place[of_pair] * len(texts) + doc
-    order = np.argsort(record, kind="stable")
-    record, times = record[order], times[order]
-    first = np.flatnonzero(np.diff(record, prepend=-1))
-    times = np.add.reduceat(times, first) if len(first) else times
-    of_pair, doc = np.divmod(record[first], len(texts))
+    record, times = np.unique(place[of_pair] * len(texts) + doc, return_counts=True)
+    of_pair, doc = np.divmod(record, len(texts))
     spans = np.bincount(of_pair, minlength=len(pair))
     out, edges, begin = [], np.searchsorted(radix, np.arange(RADIXES + 1)), np.concatenate([[0], np.cumsum(spans)])
     for r in range(RADIXES):

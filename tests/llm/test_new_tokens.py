@@ -231,18 +231,6 @@ def test_alignment_of_nasty_documents(spark, nasty, no_docs):
     assert sorted(r["doc_id"] for r in cross_tokenizer.align(blank, SIDE_A, MODEL).collect()) == [1, 2]
 
 
-@settings(max_examples=200, deadline=None)
-@given(TEXT)
-def test_text_pieces_hold_whole_tokens(text):
-    """The tokens of the pieces are those of the whole text, for both sides."""
-    sides = cross_tokenizer.load(SIDE_A, MODEL)
-    pieces = sides.cut(" " + text) if text else []
-    assert "".join(pieces) == (" " + text if text else "")
-    assert [k for p in pieces for k in A.encode(p, add_special_tokens=False).ids] == (A.encode(" " + text, add_special_tokens=False).ids if text else [])
-    if "▁" not in text:
-        assert [k for p in pieces for k in sides.b_ids(p)] == SP.encode(text)
-
-
 def test_merge_of_runs():
     r = random.Random(5)
     runs = [{r.randrange(4) << 32 | r.randrange(30): r.randrange(1, 9) for _ in range(20)} for _ in range(7)]
