@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as T
 from askloom.operators.blocked import asof_join, blocked_rank, day
+from askloom.operators.chains import reached
 from askloom.operators.corpus import page, with_total
 from askloom.operators.ingest import DOMAINS, domain_check
 from askloom.session import staged
@@ -211,34 +212,43 @@ def grant_week(verified: DataFrame, subs: DataFrame) -> DataFrame:
     """Granted weeks ``id, user_id, started_at, expires_at`` for donations ``id, user_id, verified_at, week_granted``.
 
     A donation grants a week when its user's newest subscription is not valid at that moment; a granted week is
-    itself the newest subscription until a later one is made. That is sequential per user, so each round finds
-    the next grant of every user as a map-side combined minimum over the donations that qualify given the user's last
-    grant. No user is gathered in one task; the rounds are as many as weeks (or subscriptions) fit in the batch.
+    itself the newest subscription until a later one is made. So what is granted next depends on the moment of a grant alone, and every
+    donation has one successor, were it granted: the first one a week later, if no subscription is made until then, else the first one
+    after that subscription's start whose newest subscription is not valid. Both are as-of joins by (user, day). The grants
+    are what the first one reaches, found in as many rounds as the number of weeks has binary digits.
     """
+    return _granted(verified, subs)[0]
+
+
+def _granted(verified: DataFrame, subs: DataFrame) -> tuple[DataFrame, int]:
     open_rows = verified.filter(~F.col("week_granted")).select("id", "user_id", "verified_at")
     at = asof_join(open_rows, subs, "user_id", "verified_at", "created_at", ["status", "expires_at"])
     valid = subscription_valid(F.col("latest.status"), F.col("latest.expires_at"), F.col("verified_at"))
     todo = staged(at.select("id", "user_id", "verified_at", F.col("latest.ts").alias("sub_at"), valid.alias("valid")), "grants-todo")
     week = F.expr(f"INTERVAL '{GRANT_DAYS}' DAY")
-
-    def first_of(rows: DataFrame) -> DataFrame:
-        nxt = rows.groupBy("user_id").agg(F.min(F.struct("verified_at", "id")).alias("m"))
-        return staged(nxt.select("user_id", F.col("m.verified_at").alias("granted_at"), F.col("m.id").alias("id")), "grants")
-
-    last = first_of(todo.filter(~F.col("valid")))
-    rounds = [last]
-    while not last.isEmpty():
-        after = todo.join(last.select("user_id", "granted_at", F.col("id").alias("granted_id")), "user_id")
-        later = (F.col("verified_at") > F.col("granted_at")) | (
-            (F.col("verified_at") == F.col("granted_at")) & (F.col("id") > F.col("granted_id"))
-        )
-        by_sub = F.coalesce(F.col("sub_at") > F.col("granted_at"), F.lit(False))
-        due = F.when(by_sub, ~F.col("valid")).otherwise(F.col("verified_at") >= F.col("granted_at") + week)
-        last = first_of(after.filter(later & due))
-        rounds.append(last)
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out.select(
-        "id", "user_id", F.col("granted_at").alias("started_at"), (F.col("granted_at") + week).alias("expires_at"), F.lit("free_ai_week").alias("plan")
-    )
+    micros = F.unix_micros(F.col("verified_at").cast("timestamp"))
+
+    def span(c: str) -> Column:
+        return F.floor(F.col(c) / (86400 * 1000000))
+
+    def following(left: DataFrame, at: Column, right: DataFrame, right_at: Column, order: Column, values: list[str]) -> DataFrame:
+        """``left`` with the first row of ``right`` at or after ``at``: the newest one in reversed time."""
+        turned = right.withColumns({"_from": -right_at, "_tie": -order}).select("user_id", "_from", "_tie", *values)
+        return asof_join(left.withColumn("_at", -at), turned, "user_id", "_at", "_from", values, tie="_tie", block=span).drop("_at")
+
+    # Subscriptions made strictly after a donation: microseconds are whole.
+    made = subs.filter(F.col("created_at").isNotNull()).select("user_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("made")).distinct()
+    base = todo.withColumn("at", micros).select("id", "user_id", "at", "valid")
+    later = following(base, F.col("at") + 1, made, F.col("made"), F.lit(0), ["made"])
+    later = later.select("id", "user_id", "at", F.col("latest.made").alias("made"))
+    target = base.select("user_id", F.col("at").alias("to_at"), F.col("id").alias("to"), "valid")
+    byweek = following(later, F.col("at") + GRANT_DAYS * 86400 * 1000000, target, F.col("to_at"), F.col("to"), ["to", "to_at"])
+    in_time = F.col("latest.to_at").isNotNull() & (F.col("made").isNull() | (F.col("latest.to_at") < F.col("made")))
+    byweek = byweek.select("id", "user_id", "made", F.when(in_time, F.col("latest.to")).alias("by_week"))
+    resumed = following(byweek, F.col("made"), target.filter(~F.col("valid")), F.col("to_at"), F.col("to"), ["to"])
+    jumps = resumed.select(F.col("id").alias("node"), F.coalesce("by_week", "latest.to").alias("to"))
+    first = todo.filter(~F.col("valid")).groupBy("user_id").agg(F.min(F.struct("verified_at", "id")).alias("m"))
+    ids, rounds = reached(first.select(F.col("m.id").alias("node")), jumps)
+    out = todo.join(ids.withColumnRenamed("node", "id"), "id", "left_semi")
+    out = out.select("id", "user_id", F.col("verified_at").alias("started_at"), (F.col("verified_at") + week).alias("expires_at"), F.lit("free_ai_week").alias("plan"))
+    return out, rounds

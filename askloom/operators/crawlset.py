@@ -276,3 +276,33 @@ def error_summary(errors: DataFrame) -> DataFrame:
 
 def host_frequency(urls: DataFrame) -> DataFrame:
     return urls.groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+def polite_schedule(requests: DataFrame, delay_ms: int = 1500, jitter_ms: int = 750, seed: str = "", width: int = 1_000_000) -> DataFrame:
+    """``seq, host, at_ms``: the earliest time of every request ``seq, url, ready_ms`` so that requests of a host keep their distance.
+
+    Requests of a host are made in the order of ``seq`` (unique), each when it is ready and at least ``delay_ms`` and a drawn part of
+    ``jitter_ms`` after the one before; the draw depends on ``seed`` and the URL. Hosts don't wait for each other; URLs without a
+    host wait for each other like those of one host. A NULL ``ready_ms`` is 0.
+
+    With gaps g and their running sum G, a request is made at G + the greatest of (ready - G) up to it. Sums and greatest values of blocks
+    of ``width`` consecutive numbers are carried to the blocks behind, so a host that has most requests is split.
+    """
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("url", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = requests.select(
+        "seq",
+        F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
+        F.coalesce("ready_ms", F.lit(0)).cast("long").alias("ready"),
+        (F.lit(delay_ms) + F.pmod(draw, F.lit(jitter_ms + 1))).alias("gap"),
+        F.floor(F.col("seq") / width).alias("block"),
+    )
+    inside = W.partitionBy("host", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = rows.withColumn("sum", F.sum("gap").over(inside)).withColumn("most", F.max(F.col("ready") - F.col("sum")).over(inside))
+    ends = rows.groupBy("host", "block").agg(F.sum("gap").alias("sum"))
+    # A block's greatest (ready - G) is taken relative to its own start, then moved by the sum of the blocks before it.
+    ends = ends.join(local.groupBy("host", "block").agg(F.max("most").alias("most")), ["host", "block"])
+    before = W.partitionBy("host").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    ends = ends.withColumn("carried", F.max(F.col("most") - F.col("base")).over(before)).select("host", "block", "base", "carried")
+    at = F.col("sum") + F.greatest("most", F.col("carried") + F.col("base"))  # greatest skips the NULL of a first block
+    return local.join(ends, ["host", "block"]).select("seq", "host", at.alias("at_ms"))

@@ -129,6 +129,14 @@ DERIVED: dict[str, str] = {
                TIMESTAMP_NTZ '2024-01-10 00:00:00' + doc_id * INTERVAL '1' SECOND AS created_at,
                TIMESTAMP_NTZ '2024-01-20 00:00:00' + (doc_id % 10) * INTERVAL '1' DAY AS cached_until
         FROM {documents}""",
+    # Requests for the crawled pages, in bursts.
+    "requests": """
+        SELECT page_id AS seq, url, CAST(page_id - page_id % 40 AS BIGINT) * 300 AS ready_ms FROM {pages}""",
+    # Links from a listing page to the next one of its site and language; some are missing, the last page of some leads back to the first.
+    "next_links": """
+        SELECT page_id AS page_id, CASE WHEN page_id % 11 = 3 THEN NULL WHEN following IS NULL AND page_id % 2 = 0 THEN first_id ELSE following END AS following_id
+        FROM (SELECT page_id, lead(page_id) OVER (PARTITION BY split_part(split_part(url, '/', 3), '.', 3), split_part(url, '/', 4) ORDER BY page_id) AS following,
+                     min(page_id) OVER (PARTITION BY split_part(split_part(url, '/', 3), '.', 3), split_part(url, '/', 4)) AS first_id FROM {pages}) AS p""",
     "listings": """
         SELECT page_id AS seq, regexp_extract(lower(url), '//([^/?#]*)', 1) AS path, url, html FROM {pages}""",
 }

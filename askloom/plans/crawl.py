@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from askloom.functions import text as T
 from askloom.functions import urls as U
 from askloom.operators import crawlset as X
+from askloom.operators.chains import chain_order
 from askloom.plans import duck as D
 from askloom.plans.ingest import D_STAGED, D_UPSERTED, staged_pages, upserted
 from askloom.plans.registry import query
@@ -279,3 +280,33 @@ def _(t):
 @query("host_frequency", oracle="SELECT lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")
 def _(t):
     return X.host_frequency(t.pages)
+
+
+@query(
+    "polite_schedule",
+    "requests",
+    """WITH RECURSIVE r AS MATERIALIZED (SELECT seq, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host, ready_ms, 1500 + ('0x' || substr(md5(url), 1, 8))::UBIGINT::BIGINT % 751 AS gap,
+            row_number() OVER (PARTITION BY lower(regexp_extract(url, '//([^/?#]*)', 1)) ORDER BY seq) AS n FROM requests),
+        s AS (SELECT seq, host, n, greatest(ready_ms, 0) AS at_ms FROM r WHERE n = 1
+              UNION ALL SELECT r.seq, r.host, r.n, greatest(r.ready_ms, s.at_ms + r.gap) FROM s JOIN r ON r.host = s.host AND r.n = s.n + 1)
+    SELECT seq, host, at_ms FROM s""",
+)
+def _(t):
+    return X.polite_schedule(t.requests)
+
+
+@query(
+    "page_chains",
+    "next_links",
+    """WITH RECURSIVE l AS (SELECT page_id, min(following_id) AS following_id FROM next_links WHERE following_id <> page_id GROUP BY page_id),
+        i AS MATERIALIZED (SELECT following_id AS page_id, min(page_id) AS before FROM l GROUP BY following_id),
+        n AS (SELECT page_id FROM next_links UNION SELECT following_id FROM next_links WHERE following_id IS NOT NULL),
+        w AS (SELECT page_id AS head, page_id, 1 AS rank, false AS back FROM n
+              UNION ALL SELECT w.head, f.page_id, w.rank + 1, f.page_id = w.head FROM w JOIN i f ON f.before = w.page_id WHERE NOT w.back),
+        -- Heads: nodes that nothing leads to, and the least node of a circle, which its own walk comes back to.
+        c AS (SELECT head FROM w GROUP BY head HAVING bool_or(back) AND min(page_id) = head),
+        h AS (SELECT page_id AS head FROM n WHERE page_id NOT IN (SELECT page_id FROM i) UNION SELECT head FROM c)
+    SELECT w.page_id AS node, w.head, CAST(w.rank AS BIGINT) AS rank FROM w JOIN h USING (head) WHERE NOT w.back""",
+)
+def _(t):
+    return chain_order(t.next_links.select(C("page_id").alias("node"), C("following_id").alias("to")))[0]
