@@ -5,7 +5,7 @@ token. Any other is merged by a segment tree over its byte positions: leaf p hol
 an inner node the least value below it, ties to the left, so the root names the leftmost pair of least rank. A merge
 rewrites three leaves (the merged pair, its live neighbour on the left, and the consumed position) and their ancestors,
 which costs a logarithm of the match's length. Short matches go through the tree many at a time (``merge_many``), long ones alone
-(``merge_one``); both make the same merges. A bounded table per worker keeps what short matches gave before.
+(``merge_one``); both make the same merges. A bounded table of the vocabulary keeps what short matches gave before.
 
 NULL and empty texts have no tokens, and decode to empty bytes. Every byte sequence that ``ids`` name decodes exactly.
 """
@@ -30,9 +30,6 @@ KEPT_MATCHES = 300_000
 GROUP_BYTES = 1 << 20
 LONGEST_KEPT = 48
 
-# Encoded ids of matches met before, as little-endian bytes; shared by the tasks of a worker.
-_known: dict[str, bytes] = {}
-
 
 def vocabulary(content: bytes) -> dict[bytes, int]:
     """Ranks of the tokens of a tiktoken file."""
@@ -44,6 +41,8 @@ class Ranks:
 
     def __init__(self, content: bytes):
         self.rank = vocabulary(content)
+        # Encoded ids of matches met before, as little-endian bytes. A match's ids don't depend on the pattern that found it.
+        self.known: dict[str, bytes] = {}
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         self.pair: dict[int, int] = {}
         for token, r in self.rank.items():
@@ -211,7 +210,7 @@ def encode_texts(texts: list[str], ranks: Ranks, pattern: str, group_bytes: int
     """Ids of each text, as little-endian unsigned 32-bit integers."""
     import regex
 
-    find = regex.compile(pattern).findall
+    find, known = regex.compile(pattern).findall, ranks.known
     begin = 0
     while begin < len(texts):
         end, size = begin, 0
@@ -219,16 +218,16 @@ def encode_texts(texts: list[str], ranks: Ranks, pattern: str, group_bytes: int
             size += len(texts[end])
             end += 1
         found = [find(t) for t in texts[begin:end]]
-        new = set().union(*found) - _known.keys()
-        if len(_known) + len(new) > KEPT_MATCHES:
-            _known.clear()
+        new = set().union(*found) - known.keys()
+        if len(known) + len(new) > KEPT_MATCHES:
+            known.clear()
             new = set().union(*found)
-        _known.update(encode_matches(list(new), ranks))
+        known.update(encode_matches(list(new), ranks))
         for matches in found:
-            yield b"".join(map(_known.__getitem__, matches))
+            yield b"".join(map(known.__getitem__, matches))
         for m in new:
             if len(m) > LONGEST_KEPT:
-                del _known[m]
+                del known[m]
         begin = end
 
 

@@ -26,9 +26,6 @@ BATCH_BYTES = 1 << 20
 KEPT_PARTS = 400_000
 LONGEST_KEPT = 64
 
-# One encoded length per part of text, shared by the tasks of a worker.
-_lengths: dict[str, int] = {}
-
 
 @lru_cache(maxsize=2)
 def processor(model: bytes):
@@ -37,6 +34,12 @@ def processor(model: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
+@lru_cache(maxsize=2)
+def known_lengths(model: bytes) -> dict[str, int]:
+    """One encoded length per part of text, for each model; shared by the tasks of a worker."""
+    return {}
+
+
 @lru_cache(maxsize=2)
 def splits_at_spaces(model: bytes) -> bool:
     """Whether no piece goes on past a space and the normalizer keeps single spaces and characters as they are."""
@@ -71,19 +74,19 @@ def balanced(parts: Iterable[str], most: int) -> Iterator[list[str]]:
 
 def lengths(texts: list[str], model: bytes) -> list[int]:
     """Number of tokens of each text."""
-    sp, split, out = processor(model), splits_at_spaces(model), []
+    sp, split, known, out = processor(model), splits_at_spaces(model), known_lengths(model), []
     for group in balanced(texts, GROUP_BYTES):
         parts = [parts_of(t) if split else [t] for t in group]
-        new = set().union(*parts) - _lengths.keys()
-        if len(_lengths) + len(new) > KEPT_PARTS:
-            _lengths.clear()
+        new = set().union(*parts) - known.keys()
+        if len(known) + len(new) > KEPT_PARTS:
+            known.clear()
             new = set().union(*parts)
         for batch in balanced(new, BATCH_BYTES):
-            _lengths.update(zip(batch, map(len, sp.encode(batch, num_threads=1)), strict=True))
-        out += [sum(map(_lengths.__getitem__, p)) for p in parts]
+            known.update(zip(batch, map(len, sp.encode(batch, num_threads=1)), strict=True))
+        out += [sum(map(known.__getitem__, p)) for p in parts]
         for p in new:
             if len(p) > LONGEST_KEPT:
-                del _lengths[p]
+                del known[p]
     return out
 
 

@@ -11,12 +11,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import tiktoken
 import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from askloom.llm import cross_tokenizer, fill_in_middle, piece_bpe, queries
+from askloom.llm import byte_bpe, cross_tokenizer, fill_in_middle, piece_bpe, queries, token_counts
 from tests.llm.conftest import NASTY
 from tools.check import rows
 
@@ -110,6 +111,25 @@ def test_two_models_in_one_worker(spark):
             assert ids(r["ids"]) == library.encode("abc abc ab", add_bos=True, add_eos=True)
 
 
+def test_counts_and_ranks_of_two_vocabularies_in_one_worker(spark):
+    docs = spark.createDataFrame([(k, "information retrieval abc") for k in range(4)], "doc_id long, text string").coalesce(1)
+    other = small_model(["ab", "▁a", "abc", "a", "b", "c", "▁"])
+    for content in (MODEL, other, MODEL):
+        n = len(sentencepiece.SentencePieceProcessor(model_proto=content).encode("information retrieval abc"))
+        assert {r["n_tokens"] for r in token_counts.count_tokens(docs, content).collect()} == {n}
+    large = queries.tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    small = b"\n".join(sorted(large.splitlines(), key=lambda x: int(x.split()[1]))[:300])
+    counts = []
+    for content in (small, large, small):
+        ranks = byte_bpe.vocabulary(content)
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        expected = library.encode_ordinary("information retrieval abc")
+        for r in byte_bpe.encode(docs, content, public_tokenizers.PATTERN).collect():
+            assert ids(r["ids"]) == expected
+        counts.append(len(expected))
+    assert counts[0] > counts[1]
+
+
 def test_known_parts_are_bounded(monkeypatch):
     monkeypatch.setattr(piece_bpe, "KEPT_PARTS", 50)
     monkeypatch.setattr(piece_bpe, "KEPT_PAIRS", 50)
