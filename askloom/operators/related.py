@@ -25,22 +25,32 @@ def related_by_category(df: DataFrame, seed: int | None = 0, n: int = CATEGORY_S
     """``id, found``: up to ``n`` other records of the same category as an array of entries.
 
     Records of a category stand in a ring, in seeded hash order (id order with ``seed=None``); each gets the ``n`` that follow
-    it, so every record is recommended as often as any other. A category of more than ``group`` records is dealt into
-    several rings by a hash of the id, which bounds what one task orders. Only the last ``n`` records of a ring meet its first ones in a join.
+    it, so every record is recommended as often as any other. A category of more than ``group`` records is cut into
+    ranges of equal width along that order, which bounds what one task orders and changes no result: the last ``n`` records of a range go on
+    with the first ones of the ranges behind it, and the last range with the first.
     """
     order = F.col("id") if seed is None else F.xxhash64(F.lit(seed), F.col("id"))
-    named = df.filter(F.coalesce("category", F.lit("")) != "").select("id", "category", _card().alias("card"))
-    sizes = named.groupBy(F.col("category").alias("c")).agg(F.ceil(F.count("*") / group).alias("rings"))
-    dealt = named.join(sizes, F.col("category") == F.col("c")).withColumn("ring", F.pmod(F.xxhash64("id"), F.col("rings"))).drop("c", "rings")
-    w = W.partitionBy("category", "ring").orderBy(order, "id")
-    after = dealt.withColumns({"rn": F.row_number().over(w), "found": F.collect_list("card").over(w.rowsBetween(1, n))})
+    named = df.filter(F.coalesce("category", F.lit("")) != "").select("id", "category", _card().alias("card"), order.alias("place"))
+    place = F.col("place").cast("double")
+    sizes = named.groupBy(F.col("category").alias("c")).agg(F.ceil(F.count("*") / group).alias("ranges"), F.min(place).alias("low"), F.max(place).alias("high"))
+    share = F.when(F.col("high") > F.col("low"), (place - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    range_ = F.least(F.floor(share * F.col("ranges")), F.col("ranges") - 1)
+    cut = named.join(sizes, F.col("category") == F.col("c")).withColumn("range", range_).drop("c", "low", "high")
+    w = W.partitionBy("category", "range").orderBy("place", "id")
+    after = cut.withColumns({"rn": F.row_number().over(w), "found": F.collect_list("card").over(w.rowsBetween(1, n))})
     full = after.filter(F.size("found") == n).select("id", "found")
-    heads = after.filter(F.col("rn") <= n).groupBy(F.col("category").alias("c"), F.col("ring").alias("r"))
-    heads = heads.agg(F.array_sort(F.collect_list(F.struct("rn", "card"))).alias("heads"))
-    ends = after.filter(F.size("found") < n).join(heads, (F.col("category") == F.col("c")) & (F.col("ring") == F.col("r")))
-    # A ring of fewer than n + 1 records ends at the record itself.
-    own = F.filter(F.transform("heads", lambda h: h["card"]), lambda h: (h["id"] != F.col("id")) & ~F.exists("found", lambda f: f["id"] == h["id"]))
-    ends = ends.select("id", F.slice(F.concat("found", own), 1, n).alias("found"))
+    heads = after.filter(F.col("rn") <= n).groupBy("category", "range", "ranges").agg(F.array_sort(F.collect_list(F.struct("rn", "card"))).alias("heads"))
+    heads = heads.select("category", "range", "ranges", F.transform("heads", lambda h: h["card"]).alias("heads"))
+    # Behind the last range stand the first ones again. No range is empty, so n ranges hold n records.
+    first = heads.withColumn("k", F.row_number().over(W.partitionBy("category").orderBy("range"))).filter(F.col("k") <= n)
+    ring = heads.unionByName(first.drop("k").withColumn("range", F.col("range") + F.col("ranges")))
+    behind = F.flatten(F.collect_list("heads").over(W.partitionBy("category").orderBy("range").rowsBetween(1, n)))
+    behind = ring.withColumn("behind", behind).filter(F.col("range") < F.col("ranges"))
+    behind = behind.select(F.col("category").alias("c"), F.col("range").alias("r"), F.slice("behind", 1, 2 * n + 1).alias("behind"))
+    ends = after.filter(F.size("found") < n).join(behind, (F.col("category") == F.col("c")) & (F.col("range") == F.col("r")))
+    # A small category comes back to the record itself.
+    others = F.filter(F.array_distinct(F.concat("found", "behind")), lambda x: x["id"] != F.col("id"))
+    ends = ends.select("id", F.slice(others, 1, n).alias("found"))
     alone = df.filter(F.coalesce("category", F.lit("")) == "").select("id", F.array().cast(full.schema["found"].dataType).alias("found"))
     return full.unionByName(ends).unionByName(alone)
 

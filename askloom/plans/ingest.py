@@ -328,15 +328,16 @@ def _(t):
     "sitemap_urls",
     oracle=f"""
     SELECT DISTINCT url FROM (SELECT {D.canonical("u")} AS url FROM (
-        SELECT 'http://Maps.Example.org/2024/01/1' || page_id % 10 || '/p' || page_id // 2 || '/#x' AS u FROM pages
-        UNION ALL SELECT 'https://maps.example.org/?p=' || page_id FROM pages WHERE page_id % 3 = 0))""",
+        SELECT 'http://Maps.Example.org/2024/01/1' || page_id % 10 || '/p' || regexp_extract(html, 'href="/([A-Za-z]+)', 1) || '/#x' AS u FROM pages
+        UNION ALL SELECT 'https://maps.example.org/?p=' || regexp_extract(url, '/([0-9]+)', 1) FROM pages WHERE regexp_matches(url, '/[0-9]+')))""",
 )
 def _(t):
-    # Every page stands for an index document and for the map it names; one map of each index does not exist.
-    pid = C("page_id").cast("string")
-    post = F.concat(F.lit("http://Maps.Example.org/2024/01/1"), (C("page_id") % 10).cast("string"), F.lit("/p"), F.floor(C("page_id") / 2).cast("string"), F.lit("/#x"))
+    # Every page stands for an index document and for the map it names, which lists its first link; one map of each index does not exist.
+    pid, number = C("page_id").cast("string"), F.regexp_extract("url", "/([0-9]+)", 1)
+    slug = F.regexp_extract("html", 'href="/([A-Za-z]+)', 1)
+    post = F.concat(F.lit("http://Maps.Example.org/2024/01/1"), (C("page_id") % 10).cast("string"), F.lit("/p"), slug, F.lit("/#x"))
     loc = lambda *parts: F.concat(F.lit("<url><loc> "), *parts, F.lit(" </loc></url>\n"))
-    direct = F.when(C("page_id") % 3 == 0, loc(F.lit("https://maps.example.org/?p="), pid)).otherwise(loc(F.lit("https://maps.example.org/about")))
+    direct = F.when(number != "", loc(F.lit("https://maps.example.org/?p="), number)).otherwise(loc(F.lit("https://maps.example.org/about")))
     maps = t.pages.select(F.concat(F.lit("http://maps.example.org/m"), pid, F.lit(".xml")).alias("doc_url"), F.concat(F.lit("<urlset>"), loc(post), F.lit("</urlset>")).alias("body"))
     indexes = t.pages.select(
         F.concat(F.lit("http://maps.example.org/index"), pid).alias("doc_url"),

@@ -139,3 +139,16 @@ def test_snippet(spark):
     df = spark.createDataFrame([("one two three four five six seven eight nine ten eleven Alpha, twelve",), ("no hit here",)], "s string")
     got = [r[0] for r in df.select(S.snippet(F.col("s"), "alpha")).collect()]
     assert got == ["...four five six seven eight nine ten eleven <b>Alpha,</b> twelve", "no hit here"]
+
+
+def test_category_rings_do_not_depend_on_their_ranges(spark):
+    rnd = random.Random(12)
+    rows = [(i * i % 1009 - 300, f"q{i}", rnd.choice(["big", "big", "big", "mid", ""]) if i > 12 else ("one" if i == 0 else "few"), "s") for i in range(200)]
+    df = spark.createDataFrame(list({r[0]: r for r in rows}.values()), "id long, question string, category string, source string")
+    for seed in (None, 3):
+        found = [{r["id"]: [x["id"] for x in r["found"]] for r in related.related_by_category(df, seed, 10, group).collect()} for group in (1, 7, 50, 10**9)]
+        assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == df.count()
+    ring = sorted(r["id"] for r in df.collect() if r["category"] == "big")
+    at = {i: k for k, i in enumerate(ring)}
+    by_id = {r["id"]: [x["id"] for x in r["found"]] for r in related.related_by_category(df, None, 10, 7).collect()}
+    assert all(by_id[i] == [ring[(at[i] + d) % len(ring)] for d in range(1, 11)] for i in ring)
