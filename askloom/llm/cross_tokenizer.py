@@ -132,18 +132,24 @@ def block_rows(texts: list[str], sides: Sides, run: int, keep_groups: bool) -> t
         b.append(np.array(b_ids, np.int32))
     a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
     a_end, b_end = np.cumsum(sides.a_size[a]), np.cumsum(sides.b_size[b])
-    ends = np.union1d(a_end, b_end)
-    of_a, of_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-    key, doc = a[of_a] << 32 | b[of_b], np.repeat(np.arange(len(texts)), n_a)[of_a]
-    both = (a_end[of_a] == ends) & (b_end[of_b] == ends)
-    n_groups, n_links = (np.bincount(d, minlength=len(texts)).tolist() for d in (doc[both], doc))
+    ends = np.concatenate([a_end, b_end])
+    ends.sort(kind="stable")  # two ascending runs
+    ends = ends[np.diff(ends, prepend=0) > 0]
+    at_a, at_b = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
+    closes_a, closes_b = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+    closes_a[at_a] = closes_b[at_b] = 1
+    both = closes_a & closes_b
+    # Of every link: its A token, its B token, its group.
+    of_a, of_b, group = (np.cumsum(x) - x for x in (closes_a, closes_b, both))
+    doc = np.repeat(np.arange(len(texts)), n_a)[of_a]
+    n_groups, n_links = (np.bincount(d, minlength=len(texts)).tolist() for d in (doc[both > 0], doc))
 
     # Tokens of A and B as text in the order of the groups: all of A, then all of B of a group.
-    closes = ends[both]
-    a_group, b_group = np.searchsorted(closes, a_end), np.searchsorted(closes, b_end)
+    shared = np.flatnonzero(both)
+    a_before, b_before = (np.concatenate([[0], np.cumsum(x)[shared]]) for x in (closes_a, closes_b))
     code = np.empty(len(a) + len(b), np.int64)
-    code[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = 2 * a + (a_end == closes[a_group])
-    code[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = 2 * (len(sides.a_bytes) + b) + (b_end == closes[b_group])
+    code[np.arange(len(a)) + b_before[group[at_a]]] = 2 * a + both[at_a]
+    code[np.arange(len(b)) + a_before[group[at_b] + 1]] = 2 * (len(sides.a_bytes) + b) + both[at_b]
     figures, begin = [], 0
     for k in range(len(texts)):
         end = begin + n_a[k] + n_b[k]
@@ -153,23 +159,26 @@ def block_rows(texts: list[str], sides: Sides, run: int, keep_groups: bool) -> t
         figures.append(row | ({"groups": groups} if keep_groups else {}))
         begin = end
 
-    # Every (pair, document) once, in the order of radix and pair.
-    pair, of_pair = np.unique(key, return_inverse=True)
-    radix = (pair >> 32) % RADIXES
-    order = np.lexsort((pair, radix))
-    place = np.empty(len(pair), np.int64)
-    place[order] = np.arange(len(pair))
-    pair, radix = pair[order], radix[order]
-    record, times = np.unique(place[of_pair] * len(texts) + doc, return_counts=True)
-    of_pair, doc = np.divmod(record, len(texts))
-    spans = np.bincount(of_pair, minlength=len(pair))
+    # Every (radix, A id, B id, document) as one number, which is below 2 ** 63 for vocabularies under a million.
+    n_docs, b_ids = len(texts), len(sides.b_bytes)
+    unit = a[of_a]
+    records = ((unit % RADIXES * len(sides.a_bytes) + unit) * b_ids + b[of_b]) * n_docs + doc
+    records.sort()
+    first = np.flatnonzero(np.diff(records, prepend=-1))
+    times = np.diff(first, append=len(records))
+    pairs, doc = np.divmod(records[first], n_docs)
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    spans = np.diff(first, append=len(pairs))
+    sided, b_id = np.divmod(pairs[first], b_ids)
+    radix, a_id = np.divmod(sided, len(sides.a_bytes))
+    pair = a_id << 32 | b_id
     out, edges, begin = [], np.searchsorted(radix, np.arange(RADIXES + 1)), np.concatenate([[0], np.cumsum(spans)])
     for r in range(RADIXES):
         lo, hi = edges[r], edges[r + 1]
         if lo < hi:
             a, b = begin[lo], begin[hi]
             columns = {"keys": packed_keys(pair[lo:hi]), "spans": packed(spans[lo:hi], "<u4"), "docs": packed(doc[a:b], "<u2"), "times": packed(times[a:b], "<u4")}
-            out.append({"run": run, "radix": r, "n_docs": len(texts)} | columns)
+            out.append({"run": run, "radix": r, "n_docs": n_docs} | columns)
     return figures, out
 
 
