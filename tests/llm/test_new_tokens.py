@@ -251,6 +251,20 @@ def test_alignment_of_nasty_documents(spark, nasty, no_docs):
     assert sorted(r["doc_id"] for r in cross_tokenizer.align(blank, SIDE_A, MODEL).collect()) == [1, 2]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n\r\t\x1c\x85\xa0aebn'stl1.!?<|>"), st.characters(max_codepoint=0x24F)), max_size=60))
+def test_quick_side_a_is_side_a(text):
+    sides = cross_tokenizer.load(SIDE_A, MODEL)
+    assert sides.quick is not None
+    assert sides.a_ids([text, text + "日", ""]) == [A.encode(" " + t, add_special_tokens=False).ids for t in (text, text + "日", "")]
+
+
+def test_quick_side_a_on_every_character():
+    sides = cross_tokenizer.load(SIDE_A, MODEL)
+    texts = [f"{x}{chr(c)}{y}{chr(c)}{chr(c)} {chr(c)}z" for c in range(0x250) for x in ("", "a", "1 ", ".") for y in ("b", "2", " ", "\n", "!")]
+    assert sides.a_ids(texts) == [A.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_merge_of_runs():
     r = random.Random(5)
     runs = [{r.randrange(4) << 32 | r.randrange(30): r.randrange(1, 9) for _ in range(20)} for _ in range(7)]
