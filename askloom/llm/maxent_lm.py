@@ -1,16 +1,23 @@
-"""Hashed maximum-entropy language model with a class-factored softmax.
+"""Hashed maximum-entropy language model with a class-factored softmax and n-gram evidence that grows with the corpus.
 
-log P(text) is the sum over its tokens of log P(class | history) + log P(token | class). The classes are the ``SINGLES`` most frequent
-tokens, one each, and ``TAILS`` classes by the hash of a token's last three bytes, so unseen tokens have a class too. P(class | history) is a
-softmax over hashed features of the history: the previous token (bigram), the one before it (skip), and both together (trigram).
-P(token | class) is the maximum-entropy solution for unigram features: relative frequency, with one added to every count and
-one place for tokens that the class has not seen. Over known tokens and these places the probabilities of a history sum to 1.
+P(token | history) is a gated sum of four distributions over tokens:
 
-Work runs on blocks of about ``BLOCK`` bytes of text, written once: local vocabulary, counts and token numbers. Counts of all tokens of all
-learning texts are summed by token; each block then gets the counts of its own vocabulary back, so no
-vocabulary is gathered anywhere. Weights are trained by rounds of distributed gradient updates: every task passes its blocks
-with AdaGrad steps over sparse batches of (history, class) counts, and the tasks' weights are averaged, feature by feature, by
-how often each task saw the feature. Every learning text takes part in every round. What the driver holds has fixed size: weights, frequent tokens, sums by class.
+* classes: P(class | history) P(token | class). The classes are the ``SINGLES`` most frequent tokens, one each, and ``TAILS`` classes by the hash
+  of a token's last three bytes, so unseen tokens have a class too. P(class | history) is a softmax over hashed features of the
+  history: the previous token (bigram), the one before it (skip), and both (trigram). P(token | class) is relative frequency, with one
+  added to every count and one place for tokens that the class has not seen.
+* the token's share of what followed the previous token, the previous two tokens, and the token before the previous one (skip) in
+  all learning texts. These are counts of every n-gram of the corpus, by a hash of ``GRAM_BITS`` bits; nothing is left out.
+
+The gate is a softmax too, over features of the history alone: its two tokens, and how often each of its n-grams occurs. A history that never
+occurs has no gate. So over known tokens and the places for unseen ones the probabilities of a history sum to 1.
+
+Work runs on blocks of about ``BLOCK`` bytes of text, written once: local vocabulary, counts and token numbers. A block sends its distinct tokens
+and n-grams with their counts, packed, to the ranges of the key space, about ``PART`` entries each, and gets the corpus counts back, in the same
+order; no vocabulary is gathered anywhere. Class weights, then the gate, are trained by rounds of distributed gradient updates:
+on every block AdaGrad steps from the round's weights, which are then averaged, feature by feature, by how often each block saw the feature.
+So scores depend on the blocks, but not on cores or tasks. The gate judges a learned token without its own occurrence (leave one out). Every learning text
+takes part in every round. What the driver holds has fixed size: class weights, gate, frequent tokens, sums by class.
 
 Defined cases: NULL and empty texts are the end token alone; a NULL id is scored but neither learned from nor held out; repeated rows count
 and are scored each; without learning texts, base_score is 0 and all classes are equally likely.
@@ -25,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from askloom.llm import words
 from askloom.llm.tables import fold_of, staged
@@ -38,12 +44,19 @@ CLASSES = SINGLES + TAILS
 SYMBOLS = FREQUENT + TAILS + 1  # the last one stands before the first token
 PAIR_ROWS = 1 << 13
 ROWS = 2 * SYMBOLS + PAIR_ROWS
+GRAM_BITS = 48
+PART = 1 << 22  # entries of a key range
+EXPERTS = 4  # classes, bigram, trigram, skip
+LEVELS = 48  # of a history's count, by powers of two
+GATE_ROWS = 2 * SYMBOLS + 3 * LEVELS
 ROUNDS = 2
 RATE = 0.15
 BATCH = 8192
 
 END_HASH = words.mix(np.array([0x5851F42D4C957F2D], np.uint64))[0]
 END_TAIL = 0
+START = words.mix(np.array([0x14057B7EF767814F], np.uint64))[0]
+FACTORS = words.mix(np.arange(1, 5, dtype=np.uint64)) | np.uint64(1)
 
 
 def tail_class(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -116,22 +129,143 @@ def _tokens(packed: pa.Buffer, n: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def vocabulary_rows(table: DataFrame) -> DataFrame:
-    """h, n, tail, block, k: every token of every block's vocabulary with its count in the block."""
+def _pack(columns: list[np.ndarray], widths: list[int]) -> bytes:
+    """Unsigned integers, byte plane by byte plane of each column, compressed."""
+    planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for c, w in zip(columns, widths, strict=True)]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: pa.Buffer, n: int, widths: list[int]) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(packed, decompressed_size=n * sum(widths), codec="zstd"), np.uint8)
+    out, at = [], 0
+    for w in widths:
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :w] = raw[at : at + n * w].reshape(w, n).T
+        out.append(whole.view("<u8").ravel())
+        at += n * w
+    return out
+
+
+@dataclass
+class Grams:
+    """Keys of a run of texts' n-grams: the distinct ones in order, how often learned, and the place of each token's own."""
+
+    keys: np.ndarray
+    learned: np.ndarray
+    bigram: np.ndarray
+    trigram: np.ndarray
+    skip: np.ndarray
+    skip_history: np.ndarray
+
+
+def grams(vocabulary: np.ndarray, local: np.ndarray, n: np.ndarray, learn: np.ndarray) -> Grams:
+    """n-gram keys of every token: with the token before it, with the two before it, with the one before that (skip), and the latter alone.
+
+    Keys are hashes of ``GRAM_BITS`` bits of the words' own hashes; they are as many as the corpus has different n-grams.
+    """
+    h = vocabulary[local]
+    first = np.cumsum(n) - n
+    one, two = np.empty_like(h), np.empty_like(h)
+    one[1:], two[2:] = h[:-1], h[:-2]
+    two[:2] = START
+    one[first] = two[first] = START
+    two[first[n > 1] + 1] = START
+    pair = words.mix(one * FACTORS[0] + h)
+    shift = np.uint64(64 - GRAM_BITS)
+    every = [pair, words.mix(pair * FACTORS[1] + two), words.mix(two * FACTORS[2] + h), words.mix(two * FACTORS[3])]
+    keys, index = np.unique(np.concatenate(every) >> shift, return_inverse=True)
+    learned = np.bincount(index, weights=np.tile(learn, len(every)), minlength=len(keys)).astype(np.int64)
+    return Grams(keys, learned, *index.reshape(len(every), -1))
+
+
+REQUEST_SCHEMA = "kind int, part long, block long, n int, packed binary"
+WIDTHS = [[8, 4, 1], [8, 4]]  # keys, counts, and for single tokens the tail class
+
+
+def requests(table: DataFrame, parts: list[int]) -> DataFrame:
+    """For every block and key range one row with the block's keys of that range, in order, and their counts in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                h = np.frombuffer(batch.column("vocabulary")[i].as_buffer(), np.int64)
-                n = np.frombuffer(batch.column("counts")[i].as_buffer(), "<u4").astype(np.int64)
-                tail = np.frombuffer(batch.column("tails")[i].as_buffer(), np.uint8).astype(np.int32)
-                block = np.full(len(h), batch.column("block")[i].as_py(), np.int64)
-                for a in range(0, len(h), 1 << 16):
-                    part = slice(a, a + (1 << 16))
-                    k = np.arange(a, min(a + (1 << 16), len(h)), dtype=np.int32)
-                    yield pa.record_batch([pa.array(x) for x in (h[part], n[part], tail[part], block[part], k)], ["h", "n", "tail", "block", "k"])
+                row = {c: batch.column(c)[i].as_buffer() for c in ("tokens", "vocabulary", "counts", "tails")}
+                block, vocabulary = batch.column("block")[i].as_py(), np.frombuffer(row["vocabulary"], np.uint64)
+                n = np.array(batch.column("n")[i].as_py(), np.int64)
+                learn = np.repeat(np.array([h is False for h in batch.column("held")[i].as_py()], bool), n)
+                order = np.argsort(vocabulary)
+                found = grams(vocabulary, _tokens(row["tokens"], n), n, learn)
+                singles = [vocabulary[order], np.frombuffer(row["counts"], "<u4")[order], np.frombuffer(row["tails"], np.uint8)[order]]
+                for kind, (columns, bits) in enumerate(((singles, 64), ([found.keys, found.learned], GRAM_BITS))):
+                    edges = _edges(columns[0], parts[kind], bits)
+                    used = np.flatnonzero(np.diff(edges))
+                    data = []
+                    for p in used:
+                        own = [c[edges[p] : edges[p + 1]] for c in columns]
+                        data.append(_pack([np.diff(own[0], prepend=np.uint64(0)), *own[1:]], WIDTHS[kind]))
+                    columns = [np.full(len(used), kind, np.int32), used, np.full(len(used), block), np.diff(edges)[used].astype(np.int32)]
+                    yield pa.record_batch([*map(pa.array, columns), pa.array(data, pa.binary())], ["kind", "part", "block", "n", "packed"])
+
+    return table.select("block", "held", "n", "tokens", "vocabulary", "counts", "tails").mapInArrow(run, REQUEST_SCHEMA)
+
+
+def _edges(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of the key space begins in the ordered ``keys``."""
+    bounds = np.array([(k << bits) // parts for k in range(parts)], np.uint64)
+    return np.append(np.searchsorted(keys, bounds), len(keys))
+
+
+STATS = "tail_tokens array<long>, tail_types array<long>, top_h array<long>, top_n array<long>, top_tail array<int>"
+ANSWER_SCHEMA = f"of long, kind int, part long, n int, totals binary, {STATS}"
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """The corpus counts of every request's keys, in its order. With single tokens, the range's sums by tail class and its most frequent tokens.
+
+    A group is one range of keys: about ``PART`` entries, a frequent key having one entry a block, however often it occurs.
+    """
 
-    return table.select("block", "vocabulary", "counts", "tails").mapInArrow(run, "h long, n long, tail int, block long, k int")
+    def answer(key: tuple, group: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        n = group["n"].to_numpy()
+        rows = [_unpack(b.as_buffer(), k, WIDTHS[kind]) for b, k in zip(group["packed"], n, strict=True)]
+        keys, index = np.unique(np.concatenate([np.cumsum(r[0], dtype=np.uint64) for r in rows]), return_inverse=True)
+        totals = np.bincount(index, weights=np.concatenate([r[1] for r in rows]).astype(float), minlength=len(keys)).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(n)])
+        data = [_pack([totals[index[a:b]]], [6]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        stats = [[None] * len(n) for _ in range(5)]
+        if kind == 0:
+            tail = np.empty(len(keys), np.int64)
+            tail[index] = np.concatenate([r[2] for r in rows]).astype(np.int64)
+            seen = np.flatnonzero(totals)
+            top = seen[np.lexsort((keys[seen], -totals[seen]))[:FREQUENT]]
+            sums = np.bincount(tail, weights=totals, minlength=TAILS).astype(np.int64), np.bincount(tail[seen], minlength=TAILS)
+            for column, value in zip(stats, (*sums, keys[top].view(np.int64), totals[top], tail[top]), strict=True):
+                column[0] = value.tolist()
+        kinds = pa.array(np.full(len(n), kind, np.int32)), pa.array(np.full(len(n), key[1].as_py())), pa.array(n.astype(np.int32))
+        lists = [pa.array(c, pa.list_(pa.int32() if k == 4 else pa.int64())) for k, c in enumerate(stats)]
+        names = ["of", "kind", "part", "n", "totals", "tail_tokens", "tail_types", "top_h", "top_n", "top_tail"]
+        return pa.table([group["block"], *kinds, pa.array(data, pa.binary()), *lists], names)
+
+    return asked.groupBy("kind", "part").applyInArrow(answer, ANSWER_SCHEMA)
+
+
+def counted(table: DataFrame) -> DataFrame:
+    """The blocks with the corpus counts of their tokens and n-grams: an array of answers, by kind and key range."""
+    size = table.agg(F.sum(F.length("tails")), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    parts = [max(1, -(-(size[0] or 0) // PART)), max(1, -(-3 * (size[1] or 0) // PART))]
+    found = answers(requests(table, parts))
+    # As many answers as key ranges, all together as long as the block's own keys.
+    by_block = found.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("kind", "part", "n", "totals", *[c.split()[0] for c in STATS.split(", ")]))).alias("answers"))
+    return table.drop("counts").join(by_block, F.col("block") == F.col("of")).drop("of")
+
+
+def _answered(found: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a block's tokens in the order of their hashes, and of its n-grams in the order of their keys."""
+    out: tuple[list, list] = ([], [])
+    for a in found.values:
+        n = a["n"].as_py()
+        out[a["kind"].as_py()].append(_unpack(a["totals"].as_buffer(), n, [6])[0].astype(np.int64))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
 @dataclass
@@ -159,49 +293,8 @@ def class_of(symbols: np.ndarray, tails: np.ndarray) -> np.ndarray:
     return np.where(symbols < SINGLES, symbols, SINGLES + tails.astype(np.int64))
 
 
-PACKED_SCHEMA = "of long, totals binary, tail_tokens array<long>, tail_types array<long>, top_h array<long>, top_n array<long>, top_tail array<int>"
-
-
-def packed_totals(rows: DataFrame) -> DataFrame:
-    """For each block the corpus counts of its vocabulary; besides, each token's count once, in the first block that has it.
-
-    Sums by class and the FREQUENT most frequent tokens follow from what every block adds of the latter.
-    """
-
-    def pack(key: tuple, group: pa.Table) -> pa.Table:
-        k, c = group["k"].to_numpy(), group["c"].to_numpy()
-        totals = np.zeros(len(k), "<i8")
-        totals[k] = c
-        first = np.flatnonzero(group["first"].to_numpy() & (c > 0))
-        h, tail, c = group["h"].to_numpy(zero_copy_only=False)[first].astype(np.int64), group["tail"].to_numpy()[first], c[first]
-        top = np.lexsort((h, -c))[:FREQUENT]
-        planes = totals.view(np.uint8).reshape(-1, 8).T.tobytes()
-        row = {
-            "of": pa.array([key[0].as_py()], pa.int64()),
-            "totals": pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary()),
-            "tail_tokens": pa.array([np.bincount(tail, weights=c, minlength=TAILS).astype(np.int64)], pa.list_(pa.int64())),
-            "tail_types": pa.array([np.bincount(tail, minlength=TAILS)], pa.list_(pa.int64())),
-            "top_h": pa.array([h[top]], pa.list_(pa.int64())),
-            "top_n": pa.array([c[top]], pa.list_(pa.int64())),
-            "top_tail": pa.array([tail[top]], pa.list_(pa.int32())),
-        }
-        return pa.table(row)
-
-    # A token has one row a block at most, so its rows are as many as the corpus has blocks.
-    of_token = Window.partitionBy("h").orderBy("block")
-    everywhere = of_token.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = rows.withColumn("c", F.sum("n").over(everywhere)).withColumn("first", F.row_number().over(of_token) == 1)
-    narrow = summed.select("block", "k", "c", "tail", "first", F.when(F.col("first"), F.col("h")).otherwise(F.lit(0).cast("long")).alias("h"))
-    # One group is the vocabulary of one block, bounded by the block's bytes.
-    return narrow.groupBy("block").applyInArrow(pack, PACKED_SCHEMA)
-
-
-def _totals(packed: pa.Buffer, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view("<i8").ravel()
-
-
-def count_tables(packed: DataFrame) -> Tables:
+def count_tables(table: DataFrame) -> Tables:
+    packed = table.select(F.explode("answers").alias("a")).select(*[f"a.{c.split()[0]}" for c in STATS.split(", ")]).where("tail_tokens IS NOT NULL")
     top = packed.select(F.explode(F.arrays_zip("top_h", "top_n", "top_tail")).alias("t")).select("t.*")
     top = top.orderBy(F.desc("top_n"), "top_h").limit(FREQUENT).collect()
     hashes = np.array([r["top_h"] for r in top], np.int64).view(np.uint64)
@@ -272,11 +365,14 @@ def train_block(history: np.ndarray, classes: np.ndarray, weights: np.ndarray, s
 
 
 def train_round(table: DataFrame, tables: Tables, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Weights after one pass of every task over its blocks, averaged by what each task has seen of a feature."""
+    """Weights after one pass over every block, averaged by what each block has seen of a feature.
+
+    Every block starts at the round's weights, so the result doesn't depend on how blocks fall into tasks.
+    """
     step = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, squares, seen = weights.copy(), np.zeros_like(weights), np.zeros(ROWS, np.float64)
+        total, seen = np.zeros(weights.shape), np.zeros(ROWS)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_buffer() for c in ("tokens", "vocabulary", "tails")}
@@ -286,9 +382,12 @@ def train_round(table: DataFrame, tables: Tables, weights: np.ndarray, bias: np.
                 local = _tokens(row["tokens"], n)
                 learn = np.repeat(np.array([h is False for h in batch.column("held")[i].as_py()], bool), n)
                 if learn.any():
-                    train_block(histories(local, n, symbols)[learn], class_of(symbols, tails)[local][learn], own, squares, seen, bias)
+                    own, squares, here = weights.copy(), np.zeros_like(weights), np.zeros(ROWS)
+                    train_block(histories(local, n, symbols)[learn], class_of(symbols, tails)[local][learn], own, squares, here, bias)
+                    total += own * here[:, None]
+                    seen += here
         if seen.any():
-            scaled = np.concatenate([own * seen[:, None], seen[:, None]], axis=1).astype(np.float32)
+            scaled = np.concatenate([total, seen[:, None]], axis=1).astype(np.float32)
             parts = [scaled[a : a + step].tobytes() for a in range(0, ROWS, step)]
             yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
 
@@ -313,12 +412,11 @@ def train_round(table: DataFrame, tables: Tables, weights: np.ndarray, bias: np.
     return out
 
 
-def score_block(local: np.ndarray, n: np.ndarray, counts: np.ndarray, symbols: np.ndarray, tails: np.ndarray, tables: Tables, weights: np.ndarray, bias: np.ndarray):
-    """n_known, base score and score (both log10) of each text of a block."""
-    text = np.repeat(np.arange(len(n)), n)
-    base = np.log10((counts + 1.0) / (tables.tokens + tables.types + 1.0))
+def class_scores(local: np.ndarray, n: np.ndarray, counts: np.ndarray, symbols: np.ndarray, tails: np.ndarray, tables: Tables, weights: np.ndarray, bias: np.ndarray, own: int = 0) -> np.ndarray:
+    """log P(class | history) + log P(token | class) of every token; ``own`` occurrences of the token itself are taken off its count."""
     classes = class_of(symbols, tails)
-    inside = np.log((counts + 1.0) / (tables.class_tokens + tables.class_types + 1.0)[classes])
+    sums = (tables.class_tokens + tables.class_types + 1.0)[classes] - own
+    inside = np.log(np.maximum(counts + 1.0 - own, 1.0) / np.maximum(sums, 1.0))
     inside[symbols < SINGLES] = 0.0  # a class of one token
     token_class = classes[local]
     known, index = np.unique(histories(local, n, symbols), return_inverse=True)
@@ -329,56 +427,167 @@ def score_block(local: np.ndarray, n: np.ndarray, counts: np.ndarray, symbols: n
         logs = log_softmax(weights, bias, feature_rows(known[a : a + BATCH]))
         these = order[edges[b] : edges[b + 1]]
         of_class[these] = logs[index[these] - a, token_class[these]]
-    size = len(n)
-    return (
-        np.bincount(text, weights=(counts > 0)[local], minlength=size).astype(np.int64),
-        np.bincount(text, weights=base[local], minlength=size),
-        np.bincount(text, weights=of_class + inside[local], minlength=size) / np.log(10),
-    )
+    return of_class + inside[local]
 
 
-def score(docs: DataFrame, held_out: int = 2, folds: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; texts of the held-out fold are not learned from."""
-    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    source = source.withColumn("held", fold_of(F.col("id"), folds) == held_out)
-    table = staged(blocks(source), "lm-blocks")
-    packed = staged(packed_totals(vocabulary_rows(table)), "lm-totals")
-    tables = count_tables(packed)
+@dataclass
+class Evidence:
+    """What the corpus says of each token: shares of it after its histories, how often these occur, and the gate's features."""
+
+    shares: np.ndarray  # tokens x EXPERTS, the first one from the classes
+    there: np.ndarray  # which of them have a history at all
+    rows: np.ndarray  # gate features x tokens
+
+
+def evidence(local: np.ndarray, n: np.ndarray, counts: np.ndarray, gram_counts: np.ndarray, found: Grams, symbols: np.ndarray, by_class: np.ndarray, texts: int, own: int = 0) -> Evidence:
+    """Shares of every token among what followed its histories; with ``own`` = 1 its own occurrence is left out of all counts."""
+    first = np.cumsum(n) - n
+    second = first[n > 1] + 1
+    # A word is followed by a token wherever it occurs, a pair of words as well; a text's first token follows its beginning.
+    pairs = gram_counts[found.bigram]
+    seen = np.empty((3, len(local)), np.int64)
+    seen[0, 1:], seen[1, 1:] = counts[local[:-1]], pairs[:-1]
+    seen[2] = gram_counts[found.skip_history]
+    seen[0, first], seen[1, first] = texts, 0
+    seen[2, first] = seen[2, second] = 0
+    seen = np.maximum(seen - own, 0)
+    hits = np.maximum(np.stack([pairs, gram_counts[found.trigram], gram_counts[found.skip]]) - own, 0)
+    there = seen > 0
+    shares = np.where(there, np.minimum(hits, seen) / np.maximum(seen, 1), 0.0)
+    history = histories(local, n, symbols)
+    one, two = np.divmod(history, SYMBOLS)
+    level = np.frexp(seen.astype(float))[1]  # 0 for a history that never occurs
+    rows = np.concatenate([[one, SYMBOLS + two], 2 * SYMBOLS + np.arange(3)[:, None] * LEVELS + np.minimum(level, LEVELS - 1)])
+    always = np.ones((1, len(local)), bool)
+    return Evidence(np.concatenate([[np.exp(by_class)], shares]).T, np.concatenate([always, there]).T, rows)
+
+
+def gate_of(gate: np.ndarray, rows: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Softmax over the kinds of evidence that a history has."""
+    logits = np.where(there, gate[rows].sum(0), -np.inf)
+    logits = np.exp(logits - logits.max(1, keepdims=True))
+    return logits / logits.sum(1, keepdims=True)
+
+
+def gate_gradient(gate: np.ndarray, e: Evidence, some: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of the negative log-likelihood of the tokens ``some``, by logit; and its value."""
+    g = gate_of(gate, e.rows[:, some], e.there[some])
+    joint = g * e.shares[some]
+    total = np.maximum(joint.sum(1, keepdims=True), 1e-300)
+    return g - joint / total, float(-np.log(total).sum())
+
+
+def train_gate_block(gate: np.ndarray, e: Evidence, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gate after one AdaGrad pass over the block's learned tokens, and how often each feature was seen."""
+    own, squares, seen = gate.copy(), np.zeros_like(gate), np.zeros(len(gate))
+    some = np.flatnonzero(learn)
+    some = some[np.argsort(words.mix(some.astype(np.uint64)), kind="stable")]
+    for a in range(0, len(some), BATCH):
+        part = some[a : a + BATCH]
+        error, _ = gate_gradient(own, e, part)
+        for rows in e.rows[:, part]:
+            gradient = np.stack([np.bincount(rows, weights=error[:, k], minlength=len(gate)) for k in range(EXPERTS)], axis=1)
+            squares += gradient**2
+            own -= RATE * gradient / np.sqrt(squares + 1.0)
+            seen += np.bincount(rows, minlength=len(gate))
+    return own, seen
+
+
+@dataclass
+class Model:
+    tables: Tables
+    texts: int
+    weights: np.ndarray
+    bias: np.ndarray
+    gate: np.ndarray
+
+
+@dataclass
+class Block:
+    """A counted block, read back."""
+
+    ids: list
+    held: list
+    n: np.ndarray
+    local: np.ndarray
+    counts: np.ndarray
+    e: Evidence
+
+
+def counted_blocks(batches: Iterator[pa.RecordBatch], model: Model, own: int = 0) -> Iterator[Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_buffer() for c in ("tokens", "vocabulary", "tails")}
+            vocabulary, tails = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["tails"], np.uint8)
+            ids, held = batch.column("ids")[i].as_py(), batch.column("held")[i].as_py()
+            n = np.array(batch.column("n")[i].as_py(), np.int64)
+            local, symbols = _tokens(row["tokens"], n), model.tables.symbols(vocabulary, tails)
+            singles, several = _answered(batch.column("answers")[i])
+            counts = np.empty(len(vocabulary), np.int64)
+            counts[np.argsort(vocabulary)] = singles
+            found = grams(vocabulary, local, n, np.zeros(len(local), bool))
+            by_class = class_scores(local, n, counts, symbols, tails, model.tables, model.weights, model.bias, own)
+            yield Block(ids, held, n, local, counts, evidence(local, n, counts, several, found, symbols, by_class, model.texts, own))
+
+
+def train_gate(table: DataFrame, model: Model) -> np.ndarray:
+    """The gate after one pass over every block, averaged over blocks. A learned token's own occurrence is left out of what it is judged by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in counted_blocks(batches, model, own=1):
+            learn = np.repeat(np.array([h is False for h in b.held], bool), b.n)
+            if learn.any():
+                own, seen = train_gate_block(model.gate, b.e, learn)
+                row, part = np.nonzero(np.repeat(seen[:, None] > 0, EXPERTS, 1))
+                yield pa.record_batch([pa.array(x) for x in (row, part, own[row, part] * seen[row], seen[row])], ["row", "expert", "w", "n"])
+
+    sums = table.select("ids", "held", "n", "tokens", "vocabulary", "tails", "answers").mapInArrow(run, "row long, expert long, w double, n double")
+    out = model.gate.copy()
+    for r in sums.groupBy("row", "expert").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():
+        out[r["row"], r["expert"]] = r["w"] / r["n"]
+    return out
+
+
+def score_block(b: Block, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n_known, base score and score (both log10) of each text of a block."""
+    text, size = np.repeat(np.arange(len(b.n)), b.n), len(b.n)
+    base = np.log10((b.counts + 1.0) / (model.tables.tokens + model.tables.types + 1.0))
+    logs = np.empty(len(b.local))
+    for a in range(0, len(logs), BATCH):
+        some = slice(a, a + BATCH)
+        logs[some] = np.log10((gate_of(model.gate, b.e.rows[:, some], b.e.there[some]) * b.e.shares[some]).sum(1))
+    known = np.bincount(text, weights=(b.counts > 0)[b.local], minlength=size).astype(np.int64)
+    return known, np.bincount(text, weights=base[b.local], minlength=size), np.bincount(text, weights=logs, minlength=size)
+
+
+def fit(table: DataFrame) -> Model:
+    """The model of the counted blocks: class weights by ``ROUNDS`` passes, then the gate by one."""
+    tables = count_tables(table)
+    texts = table.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     bias = np.log(tables.class_tokens + tables.class_types + 1.0)
     bias = (bias - bias.max()).astype(np.float32)
     weights = np.zeros((ROWS, CLASSES), np.float32)
     for _ in range(ROUNDS):
         weights = train_round(table, tables, weights, bias)
+    model = Model(tables, texts, weights, bias, np.zeros((GATE_ROWS, EXPERTS)))
+    model.gate = train_gate(table, model)
+    return model
+
 
-    joined = _with_symbols(table, tables).join(packed.select("of", "totals"), F.col("block") == F.col("of"))
+def score(docs: DataFrame, held_out: int = 2, folds: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; texts of the held-out fold are not learned from."""
+    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    source = source.withColumn("held", fold_of(F.col("id"), folds) == held_out)
+    table = staged(counted(staged(blocks(source), "lm-blocks")), "lm-counted")
+    model = fit(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_buffer() for c in ("tokens", "symbols", "tails", "totals")}
-                n = np.array(batch.column("n")[i].as_py(), np.int64)
-                tails, symbols = np.frombuffer(row["tails"], np.uint8), np.frombuffer(row["symbols"], "<u2").astype(np.int64)
-                got = score_block(_tokens(row["tokens"], n), n, _totals(row["totals"], len(tails)), symbols, tails, tables, weights, bias)
-                held = pa.array([h is True for h in batch.column("held")[i].as_py()], pa.bool_())
-                columns = [pa.array(batch.column("ids")[i].as_py(), pa.int64()), held, pa.array(n), pa.array(got[0]), pa.array(np.full(len(n), tables.tokens))]
-                yield pa.record_batch([*columns, pa.array(got[1]), pa.array(got[2])], OUT)
+        for b in counted_blocks(batches, model):
+            got = score_block(b, model)
+            held = pa.array([h is True for h in b.held], pa.bool_())
+            columns = [pa.array(b.ids, pa.int64()), held, pa.array(b.n), pa.array(got[0]), pa.array(np.full(len(b.n), model.tables.tokens))]
+            yield pa.record_batch([*columns, pa.array(got[1]), pa.array(got[2])], OUT)
 
     OUT = [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"{id_column} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return joined.select("ids", "held", "n", "tokens", "symbols", "tails", "totals").mapInArrow(run, schema)
-
-
-def _with_symbols(table: DataFrame, tables: Tables) -> DataFrame:
-    """The blocks with two-byte history symbols in place of their vocabulary and counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                tails = np.frombuffer(one.column("tails")[0].as_buffer(), np.uint8)
-                symbols = tables.symbols(np.frombuffer(one.column("vocabulary")[0].as_buffer(), np.uint64), tails)
-                kept = [c for c in one.schema.names if c != "vocabulary"]
-                yield pa.record_batch([*(one.column(c) for c in kept), pa.array([symbols.astype("<u2").tobytes()], pa.binary())], [*kept, "symbols"])
-
-    schema = "block long, ids array<long>, held array<boolean>, n array<long>, tokens binary, tails binary, symbols binary"
-    return table.select("block", "ids", "held", "n", "tokens", "vocabulary", "tails").mapInArrow(run, schema)
+    return table.select("ids", "held", "n", "tokens", "vocabulary", "tails", "answers").mapInArrow(run, schema)
