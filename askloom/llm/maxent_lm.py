@@ -26,11 +26,12 @@ and are scored each; without learning texts, base_score is 0 and all classes are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.llm import words
@@ -85,6 +86,8 @@ def _block(ids: list, held: list, texts: pa.Array, number: int) -> pa.RecordBatc
     place[order] = np.arange(len(order))
     local, known, first = place[local], known[order], first[order]
     counts = np.bincount(local[learn], minlength=len(known))
+    before_end = last[(n > 1) & learn[last]] - 1
+    lasts = np.bincount(local[before_end], minlength=len(known))
     tails = np.full(len(known), END_TAIL, np.uint8)
     word_at = np.cumsum(is_word) - 1
     real = is_word[first]
@@ -98,12 +101,13 @@ def _block(ids: list, held: list, texts: pa.Array, number: int) -> pa.RecordBatc
         "tokens": pa.array([pa.compress(local.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)], pa.binary()),
         "vocabulary": pa.array([known.tobytes()], pa.binary()),
         "counts": pa.array([counts.astype("<u4").tobytes()], pa.binary()),
+        "lasts": pa.array([lasts.astype("<u4").tobytes()], pa.binary()),
         "tails": pa.array([tails.tobytes()], pa.binary()),
     }
     return pa.record_batch(list(row.values()), list(row))
 
 
-BLOCK_SCHEMA = "block long, ids array<long>, held array<boolean>, n array<long>, tokens binary, vocabulary binary, counts binary, tails binary"
+BLOCK_SCHEMA = "block long, ids array<long>, held array<boolean>, n array<long>, tokens binary, vocabulary binary, counts binary, lasts binary, tails binary"
 
 
 def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -146,22 +150,10 @@ def _unpack(packed: pa.Buffer, n: int, widths: list[int]) -> list[np.ndarray]:
     return out
 
 
-@dataclass
-class Grams:
-    """Keys of a run of texts' n-grams: the distinct ones in order, how often learned, and the place of each token's own."""
-
-    keys: np.ndarray
-    learned: np.ndarray
-    bigram: np.ndarray
-    trigram: np.ndarray
-    skip: np.ndarray
-    skip_history: np.ndarray
-
-
-def grams(vocabulary: np.ndarray, local: np.ndarray, n: np.ndarray, learn: np.ndarray) -> Grams:
-    """n-gram keys of every token: with the token before it, with the two before it, with the one before that (skip), and the latter alone.
+def gram_keys(kind: int, vocabulary: np.ndarray, local: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Key of every token's n-gram: with the token before it (1), the two before it (2), or the one before that (3, skip).
 
-    Keys are hashes of ``GRAM_BITS`` bits of the words' own hashes; they are as many as the corpus has different n-grams.
+    Keys are hashes of ``GRAM_BITS`` bits of the words' own hashes; there are as many as the corpus has different n-grams.
     """
     h = vocabulary[local]
     first = np.cumsum(n) - n
@@ -170,42 +162,50 @@ def grams(vocabulary: np.ndarray, local: np.ndarray, n: np.ndarray, learn: np.nd
     two[:2] = START
     one[first] = two[first] = START
     two[first[n > 1] + 1] = START
-    pair = words.mix(one * FACTORS[0] + h)
-    shift = np.uint64(64 - GRAM_BITS)
-    every = [pair, words.mix(pair * FACTORS[1] + two), words.mix(two * FACTORS[2] + h), words.mix(two * FACTORS[3])]
-    keys, index = np.unique(np.concatenate(every) >> shift, return_inverse=True)
-    learned = np.bincount(index, weights=np.tile(learn, len(every)), minlength=len(keys)).astype(np.int64)
-    return Grams(keys, learned, *index.reshape(len(every), -1))
+    key = words.mix(two * FACTORS[2] + h) if kind == 3 else words.mix(one * FACTORS[0] + h)
+    return (words.mix(key * FACTORS[1] + two) if kind == 2 else key) >> np.uint64(64 - GRAM_BITS)
 
 
-REQUEST_SCHEMA = "kind int, part long, block long, n int, packed binary"
-WIDTHS = [[8, 4, 1], [8, 4]]  # keys, counts, and for single tokens the tail class
+def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how many of each are learned."""
+    both = np.sort(keys << np.uint64(1) | learn)
+    key = both >> np.uint64(1)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[begin], np.add.reduceat((both & np.uint64(1)).astype(np.int64), begin)
 
 
-def requests(table: DataFrame, parts: list[int]) -> DataFrame:
-    """For every block and key range one row with the block's keys of that range, in order, and their counts in it."""
+REQUEST_SCHEMA = "part long, block long, n int, packed binary"
+SINGLE = [8, 4, 4, 1]  # bytes of a request's keys, counts, counts as last word, and tail class
+GRAM = [8, 4]
+
+
+def requests(table: DataFrame, kind: int, parts: int) -> DataFrame:
+    """For every block and key range one row with the block's keys of that range, in order, and their counts in it. Kind 0 is single tokens."""
+    bits, widths = (GRAM_BITS, GRAM) if kind else (64, SINGLE)
+    source = ["block", "held", "n", "tokens", "vocabulary"] if kind else ["block", "vocabulary", "counts", "lasts", "tails"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_buffer() for c in ("tokens", "vocabulary", "counts", "tails")}
-                block, vocabulary = batch.column("block")[i].as_py(), np.frombuffer(row["vocabulary"], np.uint64)
-                n = np.array(batch.column("n")[i].as_py(), np.int64)
-                learn = np.repeat(np.array([h is False for h in batch.column("held")[i].as_py()], bool), n)
-                order = np.argsort(vocabulary)
-                found = grams(vocabulary, _tokens(row["tokens"], n), n, learn)
-                singles = [vocabulary[order], np.frombuffer(row["counts"], "<u4")[order], np.frombuffer(row["tails"], np.uint8)[order]]
-                for kind, (columns, bits) in enumerate(((singles, 64), ([found.keys, found.learned], GRAM_BITS))):
-                    edges = _edges(columns[0], parts[kind], bits)
-                    used = np.flatnonzero(np.diff(edges))
-                    data = []
-                    for p in used:
-                        own = [c[edges[p] : edges[p + 1]] for c in columns]
-                        data.append(_pack([np.diff(own[0], prepend=np.uint64(0)), *own[1:]], WIDTHS[kind]))
-                    columns = [np.full(len(used), kind, np.int32), used, np.full(len(used), block), np.diff(edges)[used].astype(np.int32)]
-                    yield pa.record_batch([*map(pa.array, columns), pa.array(data, pa.binary())], ["kind", "part", "block", "n", "packed"])
-
-    return table.select("block", "held", "n", "tokens", "vocabulary", "counts", "tails").mapInArrow(run, REQUEST_SCHEMA)
+                row = {c: batch.column(c)[i] for c in source}
+                vocabulary = np.frombuffer(row["vocabulary"].as_buffer(), np.uint64)
+                if kind:
+                    n, learn = np.array(row["n"].as_py(), np.int64), [h is False for h in row["held"].as_py()]
+                    columns = distinct(gram_keys(kind, vocabulary, _tokens(row["tokens"].as_buffer(), n), n), np.repeat(np.array(learn, bool), n))
+                else:
+                    order = np.argsort(vocabulary)
+                    counts = [np.frombuffer(row[c].as_buffer(), "<u4")[order] for c in ("counts", "lasts")]
+                    columns = (vocabulary[order], *counts, np.frombuffer(row["tails"].as_buffer(), np.uint8)[order])
+                edges = _edges(columns[0], parts, bits)
+                used = np.flatnonzero(np.diff(edges))
+                data = []
+                for p in used:
+                    own = [c[edges[p] : edges[p + 1]] for c in columns]
+                    data.append(_pack([np.diff(own[0], prepend=np.uint64(0)), *own[1:]], widths))
+                block = np.full(len(used), row["block"].as_py())
+                yield pa.record_batch([*map(pa.array, (used, block, np.diff(edges)[used].astype(np.int32))), pa.array(data, pa.binary())], ["part", "block", "n", "packed"])
+
+    return table.select(*source).mapInArrow(run, REQUEST_SCHEMA)
 
 
 def _edges(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
@@ -218,54 +218,101 @@ STATS = "tail_tokens array<long>, tail_types array<long>, top_h array<long>, top
 ANSWER_SCHEMA = f"of long, kind int, part long, n int, totals binary, {STATS}"
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, kind: int) -> DataFrame:
     """The corpus counts of every request's keys, in its order. With single tokens, the range's sums by tail class and its most frequent tokens.
 
     A group is one range of keys: about ``PART`` entries, a frequent key having one entry a block, however often it occurs.
     """
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
-        kind = key[0].as_py()
         n = group["n"].to_numpy()
-        rows = [_unpack(b.as_buffer(), k, WIDTHS[kind]) for b, k in zip(group["packed"], n, strict=True)]
+        rows = [_unpack(b.as_buffer(), k, GRAM if kind else SINGLE) for b, k in zip(group["packed"], n, strict=True)]
         keys, index = np.unique(np.concatenate([np.cumsum(r[0], dtype=np.uint64) for r in rows]), return_inverse=True)
-        totals = np.bincount(index, weights=np.concatenate([r[1] for r in rows]).astype(float), minlength=len(keys)).astype(np.int64)
+        counts = range(1, 2 if kind else 3)
+        totals = [np.bincount(index, weights=np.concatenate([r[c] for r in rows]).astype(float), minlength=len(keys)).astype(np.int64) for c in counts]
         at = np.concatenate([[0], np.cumsum(n)])
-        data = [_pack([totals[index[a:b]]], [6]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        data = [_pack([t[index[a:b]] for t in totals], [6 for _ in totals]) for a, b in zip(at[:-1], at[1:], strict=True)]
         stats = [[None] * len(n) for _ in range(5)]
         if kind == 0:
             tail = np.empty(len(keys), np.int64)
-            tail[index] = np.concatenate([r[2] for r in rows]).astype(np.int64)
-            seen = np.flatnonzero(totals)
-            top = seen[np.lexsort((keys[seen], -totals[seen]))[:FREQUENT]]
-            sums = np.bincount(tail, weights=totals, minlength=TAILS).astype(np.int64), np.bincount(tail[seen], minlength=TAILS)
-            for column, value in zip(stats, (*sums, keys[top].view(np.int64), totals[top], tail[top]), strict=True):
+            tail[index] = np.concatenate([r[3] for r in rows]).astype(np.int64)
+            seen = np.flatnonzero(totals[0])
+            top = seen[np.lexsort((keys[seen], -totals[0][seen]))[:FREQUENT]]
+            sums = np.bincount(tail, weights=totals[0], minlength=TAILS).astype(np.int64), np.bincount(tail[seen], minlength=TAILS)
+            for column, value in zip(stats, (*sums, keys[top].view(np.int64), totals[0][top], tail[top]), strict=True):
                 column[0] = value.tolist()
-        kinds = pa.array(np.full(len(n), kind, np.int32)), pa.array(np.full(len(n), key[1].as_py())), pa.array(n.astype(np.int32))
+        where = pa.array(np.full(len(n), kind, np.int32)), pa.array(np.full(len(n), key[0].as_py())), pa.array(n.astype(np.int32))
         lists = [pa.array(c, pa.list_(pa.int32() if k == 4 else pa.int64())) for k, c in enumerate(stats)]
         names = ["of", "kind", "part", "n", "totals", "tail_tokens", "tail_types", "top_h", "top_n", "top_tail"]
-        return pa.table([group["block"], *kinds, pa.array(data, pa.binary()), *lists], names)
+        return pa.table([group["block"], *where, pa.array(data, pa.binary()), *lists], names)
 
-    return asked.groupBy("kind", "part").applyInArrow(answer, ANSWER_SCHEMA)
+    return asked.groupBy("part").applyInArrow(answer, ANSWER_SCHEMA)
 
 
-def counted(table: DataFrame) -> DataFrame:
-    """The blocks with the corpus counts of their tokens and n-grams: an array of answers, by kind and key range."""
-    size = table.agg(F.sum(F.length("tails")), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    parts = [max(1, -(-(size[0] or 0) // PART)), max(1, -(-3 * (size[1] or 0) // PART))]
-    found = answers(requests(table, parts))
-    # As many answers as key ranges, all together as long as the block's own keys.
-    by_block = found.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("kind", "part", "n", "totals", *[c.split()[0] for c in STATS.split(", ")]))).alias("answers"))
-    return table.drop("counts").join(by_block, F.col("block") == F.col("of")).drop("of")
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query are deleted as soon as its table is written, so that its steps don't add up on disk."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+COUNTED_SCHEMA = "block long, ids array<long>, held array<boolean>, n array<long>, tokens binary, tails binary, symbols binary, totals binary, hits binary"
 
 
-def _answered(found: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of a block's tokens in the order of their hashes, and of its n-grams in the order of their keys."""
-    out: tuple[list, list] = ([], [])
-    for a in found.values:
-        n = a["n"].as_py()
-        out[a["kind"].as_py()].append(_unpack(a["totals"].as_buffer(), n, [6])[0].astype(np.int64))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+def counted(table: DataFrame) -> tuple[DataFrame, Tables]:
+    """The written blocks with corpus counts in place of their words: of every token of the vocabulary (all, and as last word), and of every token's n-grams.
+
+    The kinds of n-grams are counted one after another, each in a shuffle of its own.
+    """
+    size = table.agg(F.sum(F.length("tails")), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    with shuffles_dropped(table.sparkSession):
+        found = []
+        for kind in range(EXPERTS):
+            parts = max(1, -(-(size[min(kind, 1)] or 0) // PART))
+            found.append(staged(answers(requests(table, kind, parts), kind), "lm-answers"))
+        tables = count_tables(found[0])
+        every = found[0].select("of", "kind", "part", "n", "totals")
+        for f in found[1:]:
+            every = every.unionByName(f.select("of", "kind", "part", "n", "totals"))
+        # As many answers as key ranges, all together as long as the block's own keys.
+        by_block = every.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("kind", "part", "n", "totals"))).alias("answers"))
+        joined = table.drop("counts", "lasts").join(by_block, F.col("block") == F.col("of"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    vocabulary, tails = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("vocabulary", np.uint64), ("tails", np.uint8)))
+                    n = np.array(batch.column("n")[i].as_py(), np.int64)
+                    local = _tokens(batch.column("tokens")[i].as_buffer(), n)
+                    got: list[list[np.ndarray]] = [[], [], [], [], []]  # counts as last word come last
+                    for a in batch.column("answers")[i].values:
+                        kind = a["kind"].as_py()
+                        values = _unpack(a["totals"].as_buffer(), a["n"].as_py(), [6] if kind else [6, 6])
+                        for k, v in zip((kind,) if kind else (0, 4), values, strict=True):
+                            got[k].append(v)
+                    answered = [np.concatenate(g) for g in got]
+                    place = np.empty(len(vocabulary), np.int64)
+                    place[np.argsort(vocabulary)] = np.arange(len(vocabulary))
+                    hits = []
+                    for kind in range(1, EXPERTS):
+                        index = np.unique(gram_keys(kind, vocabulary, local, n), return_inverse=True)[1]
+                        hits.append(answered[kind][index])
+                    data = tables.symbols(vocabulary, tails).astype("<u2").tobytes(), _pack([answered[0][place], answered[4][place]], [6, 6]), _pack(hits, [6] * len(hits))
+                    one = batch.slice(i, 1)
+                    yield pa.record_batch([*(one.column(c) for c in KEPT), *(pa.array([d], pa.binary()) for d in data)], [*KEPT, "symbols", "totals", "hits"])
+
+        return staged(joined.mapInArrow(run, COUNTED_SCHEMA), "lm-counted"), tables
+
+
+KEPT = ["block", "ids", "held", "n", "tokens", "tails"]
 
 
 @dataclass
@@ -293,8 +340,8 @@ def class_of(symbols: np.ndarray, tails: np.ndarray) -> np.ndarray:
     return np.where(symbols < SINGLES, symbols, SINGLES + tails.astype(np.int64))
 
 
-def count_tables(table: DataFrame) -> Tables:
-    packed = table.select(F.explode("answers").alias("a")).select(*[f"a.{c.split()[0]}" for c in STATS.split(", ")]).where("tail_tokens IS NOT NULL")
+def count_tables(singles: DataFrame) -> Tables:
+    packed = singles.where("tail_tokens IS NOT NULL")
     top = packed.select(F.explode(F.arrays_zip("top_h", "top_n", "top_tail")).alias("t")).select("t.*")
     top = top.orderBy(F.desc("top_n"), "top_h").limit(FREQUENT).collect()
     hashes = np.array([r["top_h"] for r in top], np.int64).view(np.uint64)
@@ -364,7 +411,7 @@ def train_block(history: np.ndarray, classes: np.ndarray, weights: np.ndarray, s
             seen[touched] += np.add.reduceat(totals[by, 0], begin)
 
 
-def train_round(table: DataFrame, tables: Tables, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def train_round(table: DataFrame, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Weights after one pass over every block, averaged by what each block has seen of a feature.
 
     Every block starts at the round's weights, so the result doesn't depend on how blocks fall into tasks.
@@ -375,9 +422,8 @@ def train_round(table: DataFrame, tables: Tables, weights: np.ndarray, bias: np.
         total, seen = np.zeros(weights.shape), np.zeros(ROWS)
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_buffer() for c in ("tokens", "vocabulary", "tails")}
-                tails = np.frombuffer(row["tails"], np.uint8)
-                symbols = tables.symbols(np.frombuffer(row["vocabulary"], np.uint64), tails)
+                row = {c: batch.column(c)[i].as_buffer() for c in ("tokens", "symbols", "tails")}
+                tails, symbols = np.frombuffer(row["tails"], np.uint8), np.frombuffer(row["symbols"], "<u2").astype(np.int64)
                 n = np.array(batch.column("n")[i].as_py(), np.int64)
                 local = _tokens(row["tokens"], n)
                 learn = np.repeat(np.array([h is False for h in batch.column("held")[i].as_py()], bool), n)
@@ -402,7 +448,7 @@ def train_round(table: DataFrame, tables: Tables, weights: np.ndarray, bias: np.
     schema = "part int, sums binary"
     # One copy of the weights comes from every task, so there are about as many tasks as cores.
     tasks = 2 * table.sparkSession.sparkContext.defaultParallelism
-    passed = table.select("n", "held", "tokens", "vocabulary", "tails").coalesce(tasks).mapInArrow(run, schema)
+    passed = table.select("n", "held", "tokens", "symbols", "tails").coalesce(tasks).mapInArrow(run, schema)
     summed = passed.repartition(16, "part", F.pmod(F.xxhash64("sums"), F.lit(8))).mapInArrow(add, schema).repartition(8, "part").mapInArrow(add, schema)
     out = weights.copy()
     for r in summed.collect():
@@ -439,19 +485,19 @@ class Evidence:
     rows: np.ndarray  # gate features x tokens
 
 
-def evidence(local: np.ndarray, n: np.ndarray, counts: np.ndarray, gram_counts: np.ndarray, found: Grams, symbols: np.ndarray, by_class: np.ndarray, texts: int, own: int = 0) -> Evidence:
+def evidence(local: np.ndarray, n: np.ndarray, counts: np.ndarray, lasts: np.ndarray, grams: list[np.ndarray], symbols: np.ndarray, by_class: np.ndarray, texts: int, own: int = 0) -> Evidence:
     """Shares of every token among what followed its histories; with ``own`` = 1 its own occurrence is left out of all counts."""
     first = np.cumsum(n) - n
     second = first[n > 1] + 1
     # A word is followed by a token wherever it occurs, a pair of words as well; a text's first token follows its beginning.
-    pairs = gram_counts[found.bigram]
+    # The token before the previous one is a word that something follows but the end.
     seen = np.empty((3, len(local)), np.int64)
-    seen[0, 1:], seen[1, 1:] = counts[local[:-1]], pairs[:-1]
-    seen[2] = gram_counts[found.skip_history]
+    seen[0, 1:], seen[1, 1:] = counts[local[:-1]], grams[0][:-1]
+    seen[2, 2:] = (counts - lasts)[local[:-2]]
     seen[0, first], seen[1, first] = texts, 0
     seen[2, first] = seen[2, second] = 0
     seen = np.maximum(seen - own, 0)
-    hits = np.maximum(np.stack([pairs, gram_counts[found.trigram], gram_counts[found.skip]]) - own, 0)
+    hits = np.maximum(np.stack(grams) - own, 0)
     there = seen > 0
     shares = np.where(there, np.minimum(hits, seen) / np.maximum(seen, 1), 0.0)
     history = histories(local, n, symbols)
@@ -517,17 +563,15 @@ class Block:
 def counted_blocks(batches: Iterator[pa.RecordBatch], model: Model, own: int = 0) -> Iterator[Block]:
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_buffer() for c in ("tokens", "vocabulary", "tails")}
-            vocabulary, tails = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["tails"], np.uint8)
+            row = {c: batch.column(c)[i].as_buffer() for c in ("tokens", "symbols", "tails", "totals", "hits")}
+            tails, symbols = np.frombuffer(row["tails"], np.uint8), np.frombuffer(row["symbols"], "<u2").astype(np.int64)
             ids, held = batch.column("ids")[i].as_py(), batch.column("held")[i].as_py()
             n = np.array(batch.column("n")[i].as_py(), np.int64)
-            local, symbols = _tokens(row["tokens"], n), model.tables.symbols(vocabulary, tails)
-            singles, several = _answered(batch.column("answers")[i])
-            counts = np.empty(len(vocabulary), np.int64)
-            counts[np.argsort(vocabulary)] = singles
-            found = grams(vocabulary, local, n, np.zeros(len(local), bool))
+            local = _tokens(row["tokens"], n)
+            counts, lasts = (x.astype(np.int64) for x in _unpack(row["totals"], len(tails), [6, 6]))
+            grams = [x.astype(np.int64) for x in _unpack(row["hits"], len(local), [6] * (EXPERTS - 1))]
             by_class = class_scores(local, n, counts, symbols, tails, model.tables, model.weights, model.bias, own)
-            yield Block(ids, held, n, local, counts, evidence(local, n, counts, several, found, symbols, by_class, model.texts, own))
+            yield Block(ids, held, n, local, counts, evidence(local, n, counts, lasts, grams, symbols, by_class, model.texts, own))
 
 
 def train_gate(table: DataFrame, model: Model) -> np.ndarray:
@@ -541,7 +585,7 @@ def train_gate(table: DataFrame, model: Model) -> np.ndarray:
                 row, part = np.nonzero(np.repeat(seen[:, None] > 0, EXPERTS, 1))
                 yield pa.record_batch([pa.array(x) for x in (row, part, own[row, part] * seen[row], seen[row])], ["row", "expert", "w", "n"])
 
-    sums = table.select("ids", "held", "n", "tokens", "vocabulary", "tails", "answers").mapInArrow(run, "row long, expert long, w double, n double")
+    sums = table.mapInArrow(run, "row long, expert long, w double, n double")
     out = model.gate.copy()
     for r in sums.groupBy("row", "expert").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():
         out[r["row"], r["expert"]] = r["w"] / r["n"]
@@ -560,15 +604,14 @@ def score_block(b: Block, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
     return known, np.bincount(text, weights=base[b.local], minlength=size), np.bincount(text, weights=logs, minlength=size)
 
 
-def fit(table: DataFrame) -> Model:
+def fit(table: DataFrame, tables: Tables) -> Model:
     """The model of the counted blocks: class weights by ``ROUNDS`` passes, then the gate by one."""
-    tables = count_tables(table)
     texts = table.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     bias = np.log(tables.class_tokens + tables.class_types + 1.0)
     bias = (bias - bias.max()).astype(np.float32)
     weights = np.zeros((ROWS, CLASSES), np.float32)
     for _ in range(ROUNDS):
-        weights = train_round(table, tables, weights, bias)
+        weights = train_round(table, weights, bias)
     model = Model(tables, texts, weights, bias, np.zeros((GATE_ROWS, EXPERTS)))
     model.gate = train_gate(table, model)
     return model
@@ -578,8 +621,8 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, id_column: str = "
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; texts of the held-out fold are not learned from."""
     source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
     source = source.withColumn("held", fold_of(F.col("id"), folds) == held_out)
-    table = staged(counted(staged(blocks(source), "lm-blocks")), "lm-counted")
-    model = fit(table)
+    table, tables = counted(staged(blocks(source), "lm-blocks"))
+    model = fit(table, tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in counted_blocks(batches, model):
@@ -590,4 +633,4 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, id_column: str = "
 
     OUT = [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"{id_column} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return table.select("ids", "held", "n", "tokens", "vocabulary", "tails", "answers").mapInArrow(run, schema)
+    return table.mapInArrow(run, schema)
