@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm.tables import staged
+from askloom.llm.tables import fresh, staged
 
 BLANKS = " \t\r"
 
@@ -53,8 +53,13 @@ def covered(docs: DataFrame, size: int = 3) -> DataFrame:
     return later.groupBy("id", "key").agg(F.collect_set("at").alias("starts"))
 
 
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """Names of the two columns that ``dedup_lines`` adds: _n_lines and _n_removed, with underscores behind them where ``docs`` has these."""
+    return fresh(docs, "_n_lines"), fresh(docs, "_n_removed")
+
+
 def dedup_lines(docs: DataFrame, size: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, with later occurrences removed from the text, and two columns at the end: _n_lines, _n_removed."""
+    """All rows and columns of ``docs``, with later occurrences removed from the text, and two columns at the end (see ``count_names``)."""
     text = F.col(f"`{text_column}`")
     keyed = F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("key")
     hits = covered(docs.select(*keyed, text.alias("text")).where(text.contains("\n")), size)
@@ -68,8 +73,9 @@ def dedup_lines(docs: DataFrame, size: int = 3, id_column: str = "doc_id", text_
     joined = joined.withColumn("lines", _lines(old)).withColumn("gone", gone)
     text = F.when(F.col("starts").isNull(), old).otherwise(kept).alias(text_column)
     columns = [text if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    n_lines = F.when(old.isNull(), 0).otherwise(F.size("lines")).alias("_n_lines")
-    return joined.select(*columns, n_lines, F.when(F.col("starts").isNull(), 0).otherwise(F.size("gone")).alias("_n_removed"))
+    n_lines = F.when(old.isNull(), 0).otherwise(F.size("lines"))
+    n_removed = F.when(F.col("starts").isNull(), 0).otherwise(F.size("gone"))
+    return joined.select(*columns, *(c.alias(name) for c, name in zip((n_lines, n_removed), count_names(docs), strict=True)))
 
 
 ORACLE = """

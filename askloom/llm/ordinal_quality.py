@@ -9,8 +9,8 @@ coarser classes of their bytes, lower-cased words, and a few properties of the w
 capitals, signs, digits, line lengths). Each kind is divided by its number of occurrences, so long texts don't outweigh short ones.
 
 Ratings are learned outside the held-out fold, from at most ``FIT_ROWS`` rated rows chosen by a hash of their id; that is a
-bound of the training only. Training is gradient descent by rounds: each task sums the gradient over its feature rows, the sums are added in
-the cluster, and a vector of fixed size reaches the driver. Every document is scored.
+bound of the training only. Training is gradient descent by rounds: each task sums the gradient over its feature rows, and the
+driver adds the twelve tasks' vectors, which are of fixed size. Every document is scored.
 
 Grades here come from ``labels``: 0 for low quality, 1 for good quality that is toxic, 2 for good quality that is not; so the tail at 1 is
 good quality, whatever else. A NULL in either label leaves a row out.
@@ -198,8 +198,8 @@ def score(docs: DataFrame, ratings: DataFrame, grades: int = GRADES, select: int
     if n > FIT_ROWS:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
     known = staged(known, "ratings")
-    # At most about FIT_ROWS rows of two numbers, so sending them is bounded.
-    rows = staged(training_rows(texts.join(F.broadcast(known), "id")).coalesce(12), "quality-rows")
+    # At most about FIT_ROWS rows of two numbers, so sending them is bounded. The scan of all texts keeps its own tasks.
+    rows = staged(training_rows(texts.join(F.broadcast(known), "id")).repartition(12), "quality-rows")
     weights, thresholds = fit(rows, grades)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

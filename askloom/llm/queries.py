@@ -36,8 +36,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
-    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    docs = read(spark, sf_dir, "documents")
+    n_lines, n_removed = line_dedup.count_names(docs)
+    return line_dedup.dedup_lines(docs).select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"), "text")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,11 +252,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int
     known = staged(known.withColumn("label", (F.col("label") > 0).cast("double")), "toxic-labels")
     # At most about FIT_ROWS rows of two numbers: small enough to send, so texts need no shuffle.
     marked = texts.join(F.broadcast(known), "id")
-    learned = learn_words(marked.select("text", "label"))
-    rows = staged(featurize(marked, "text", "values", learned).drop("text").coalesce(12), "toxic-features")
-    rows = rows.select("id", "label", array_to_vector("values").alias("features"))
-    # Which of the learning rows calibrate is a hash of the id, independent of the fold.
+    # Which of the learning rows calibrate is a hash of the id, independent of the fold. Neither words nor trees are learned from them.
     calibrate = F.pmod(F.xxhash64(F.col("id"), F.lit("calibrate")), F.lit(4)) == 0
+    learned = learn_words(marked.where(~calibrate).select("text", "label"))
+    # The rows are bounded, but the scan before them isn't: it keeps its own tasks, and the exchange makes few files.
+    rows = staged(featurize(marked, "text", "values", learned).drop("text").repartition(12, "id"), "toxic-features")
+    rows = rows.select("id", "label", array_to_vector("values").alias("features"))
     train, check = rows.where(~calibrate), rows.where(calibrate)
     if any(p.select("label").distinct().count() < 2 for p in (train, check)):
         rate = rows.agg(F.avg("label").alias("rate")).first()["rate"]

@@ -16,7 +16,7 @@ NASTY = [
     (9, "Y0U 1D10T! you are an idiot, you id*ot, IDIOT... <|endoftext|> <s> ▁▁  ▁ x\x00y\x1c\x85z"),
 ]
 # Names that operators use themselves.
-CLASHING = ["row", "id", "features", "features_", "score", "prediction", "label", "key", "lines", "at", "node", "n", "ids", "held", "block", "unwanted", "wanted"]
+CLASHING = ["row", "id", "features", "features_", "score", "prediction", "label", "key", "lines", "at", "node", "n", "ids", "held", "block", "unwanted", "wanted", "_n_lines", "_n_removed"]
 
 
 @pytest.fixture(scope="session")

@@ -64,10 +64,10 @@ def test_line_windows(spark):
 
 def test_line_windows_nasty(nasty, no_docs):
     out = line_dedup.dedup_lines(nasty)
-    assert out.columns == [*nasty.columns, "_n_lines", "_n_removed"]
+    assert out.columns == [*nasty.columns, "_n_lines_", "_n_removed_"]
     got = out.collect()
     assert len(got) == nasty.count()
-    assert {(r["doc_id"], r["_n_removed"]) for r in got if r["_n_removed"]} == {(5, 4)}
+    assert {(r["doc_id"], r["_n_removed_"]) for r in got if r["_n_removed_"]} == {(5, 4)}
     assert [r["text"] for r in got if r["doc_id"] == 1] == [None] and all(r["row"] == "keep row" for r in got)
     assert line_dedup.dedup_lines(no_docs).collect() == []
 
