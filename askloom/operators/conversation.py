@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from askloom.functions import text as T
+from askloom.operators.blocked import day
 
 # Cache validity and history sizes.
 CACHE_DAYS = 30
@@ -146,3 +147,25 @@ def session_owner_check(messages: DataFrame, sessions: DataFrame) -> DataFrame:
         (F.col("owner") != F.col("user_id")) | (F.col("topic") != F.col("record_id")), F.lit("session does not match")
     )
     return joined.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("owner", "topic")
+
+
+def event_sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", block=day) -> DataFrame:
+    """``key, started_at, last_at, n``: runs of events of a key whose neighbours are at most ``gap`` apart.
+
+    Events without a key or time are left out; NULL is no key. Runs are made per (key, day), and only these, one row each,
+    are joined along the key, so that a key with most of the events is split by its days.
+    """
+    width = F.expr(f"INTERVAL {gap}")
+
+    def runs(df: DataFrame, keys: list[str]) -> DataFrame:
+        order = W.partitionBy(*keys).orderBy("started_at", "last_at")
+        starts = (F.col("started_at") > F.lag("last_at").over(order) + width).cast("int")
+        numbered = df.withColumn("_run", F.sum(F.coalesce(starts, F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        totals = F.min("started_at").alias("started_at"), F.max("last_at").alias("last_at"), F.sum("n").alias("n")
+        return numbered.groupBy(*keys, "_run").agg(*totals).drop("_run")
+
+    timed = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    # Equal times are counted before they are ordered.
+    points = timed.groupBy(key, block(ts).alias("_block"), F.col(ts).alias("started_at")).agg(F.count("*").alias("n"))
+    parts = runs(points.withColumn("last_at", F.col("started_at")), [key, "_block"])
+    return runs(parts.drop("_block"), [key]).select(key, "started_at", "last_at", "n")

@@ -126,3 +126,18 @@ def _(t):
         }
     )
     return O.session_owner_check(claimed, t.sessions.filter("is_active")).select("session_id", "turn", "reason")
+
+
+D_RUNS = """pts AS (SELECT user_id, ts, ts > lag(ts) OVER u + INTERVAL 30 MINUTE AS cut, max(ts) OVER () AS newest FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+    nmb AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM pts),
+    runs AS (SELECT user_id, min(ts) AS started, max(ts) AS last, count(*) AS n, max(newest) AS newest FROM nmb GROUP BY user_id, run)"""
+
+
+@query(
+    "event_sessions",
+    oracle=f"WITH {D_RUNS} SELECT user_id, epoch_us(started) AS started_us, epoch_us(last) AS last_us, n FROM runs",
+)
+def _(t):
+    timed = t.events.withColumn("ts", C("ts").cast("timestamp"))
+    out = O.event_sessions(timed, "user_id", "ts")
+    return out.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("last_at").alias("last_us"), "n")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from askloom.functions import qa as Q
 from askloom.functions import text as T
 from askloom.functions import urls as U
+from askloom.operators import charsets
 from askloom.operators import ingest as I
+from askloom.operators.keyed_store import KeyedStore
 from askloom.plans import duck as D
 from askloom.plans.bind import AS_OF
 from askloom.plans.registry import query
-from askloom.session import staged
+from askloom.session import staged, staging_path
 from askloom.sources import files
 
 C = F.col
@@ -352,3 +356,42 @@ def _(t):
     raw = F.when(C("doc_id") % 3 == 0, F.encode("text", "utf-16be")).otherwise(F.encode("text", "utf-8"))
     docs = t.documents.select("doc_id", raw.alias("content"), charset.alias("charset"))
     return docs.select("doc_id", files.decode_bytes(C("content"), C("charset")).alias("text"))
+
+
+CHARSET_OF = [f"WHEN {k} THEN '{c}'" for k, c in enumerate(charsets.CHARSETS)]
+CHARSET_OF = f"CASE doc_id % {len(charsets.CHARSETS)} {' '.join(CHARSET_OF)} END"
+
+
+@F.pandas_udf(BinaryType())
+def _encoded(text: pd.Series, charset: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else x.encode(c, errors="replace") for x, c in zip(text, charset)], dtype=object)
+
+
+@query(
+    "detect_charset",
+    oracle=f"""SELECT charset, count(*) AS n_texts, sum(CASE WHEN strlen(text) >= 200 THEN 1 ELSE 0 END) AS n_long, true AS found
+       FROM (SELECT {CHARSET_OF} AS charset, text FROM documents) AS a GROUP BY charset""",
+)
+def _(t):
+    """Texts in six charsets, told apart by their bytes; ``found`` if of 200 bytes and more at least 98 % are decoded right."""
+    docs = t.documents.select("doc_id", "text", F.expr(CHARSET_OF).alias("charset"))
+    detector = charsets.Detector(charsets.learn_pairs(docs))
+    read = docs.withColumn("got", detector.decode_detected(_encoded("text", "charset")))
+    long = F.octet_length("text") >= 200
+    right = F.count_if(long & C("got").eqNullSafe(C("text"))) >= 0.98 * F.count_if(long)
+    return read.groupBy("charset").agg(F.count("*").alias("n_texts"), F.count_if(long).alias("n_long"), right.alias("found"))
+
+
+@query(
+    "keyed_store",
+    "incoming",
+    """SELECT url, max(seq) AS seq, arg_max(source, seq) AS source, md5(arg_max(answer, seq)) AS answer_md5 FROM incoming
+       WHERE url NOT IN (SELECT url FROM incoming JOIN labels ON doc_id = seq WHERE toxic = 1) GROUP BY url""",
+)
+def _(t):
+    store = KeyedStore(t.spark, staging_path(t.spark, "keyed-store"), "url string, seq long, source string, answer string", "url", "seq", 16)
+    early = F.coalesce(C("category"), F.lit("")) == ""
+    store.upsert(t.incoming.filter(~early))
+    store.upsert(t.incoming.filter(early))
+    store.delete(t.incoming.join(t.labels.filter("toxic = 1"), C("doc_id") == C("seq")))
+    return store.table().select("url", "seq", "source", F.md5("answer").alias("answer_md5"))

@@ -10,6 +10,7 @@ from askloom.functions import urls as U
 from askloom.operators import accounts as A
 from askloom.operators import ingest as I
 from askloom.plans.accounts import D_LATEST
+from askloom.plans.conversation import D_RUNS
 from askloom.plans.ingest import parse_pages
 from askloom.plans.registry import REGISTRY, query
 from askloom.session import checkpoint_root
@@ -69,3 +70,14 @@ def _(t):
     paid = A.subscription_valid(C("status"), C("expires_at"), C("used_at"))
     stream = O.trial_stream(uses.select("id", "user_id", C("used_at").cast("timestamp").alias("used_at"), paid.alias("paid")))
     return O.run_to_table(stream, _folder(t, "trial-stream")).select("id", "user_id", "outcome")
+
+
+@query(
+    "session_stream",
+    oracle=f"""WITH {D_RUNS} SELECT user_id, epoch_us(started) AS started_us, epoch_us(last + INTERVAL 30 MINUTE) AS closed_us, n
+       FROM runs WHERE last + INTERVAL 30 MINUTE <= newest - INTERVAL 1 HOUR""",
+)
+def _(t):
+    events = O.read_table_stream(t.spark, t.sf_dir, "events.parquet").withColumn("ts", C("ts").cast("timestamp"))
+    out = O.run_to_table(O.session_stream(events, "user_id", "ts"), _folder(t, "session-stream"))
+    return out.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("closed_at").alias("closed_us"), "n")

@@ -1,4 +1,4 @@
-"""Streaming forms: ingest of arriving pages, counts of missed searches, trial use per user."""
+"""Streaming forms: ingest of arriving pages, counts of missed searches, sessions by event time, trial use per user."""
 
 from __future__ import annotations
 
@@ -61,6 +61,17 @@ def miss_stream(misses: DataFrame, delay: str = "1 day", width: str = "1 day") -
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "query", "n")
 
 
+def session_stream(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """``key, started_at, closed_at, n`` of sessions of events at most ``gap`` apart, each once, when the watermark has passed its idle time.
+
+    ``closed_at`` is the last event's time and ``gap``. State holds the open sessions only. Events later than the watermark are dropped;
+    such a one would have opened a session of its own or changed one that is already out. Events without a key or time are left out.
+    """
+    timed = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay)
+    runs = timed.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"))
+    return runs.select(key, F.col("w.start").alias("started_at"), F.col("w.end").alias("closed_at"), "n")
+
+
 def trial_stream(uses: DataFrame, max_count: int = MAX_TRIALS) -> DataFrame:
     """Uses ``id, user_id, used_at, paid`` with ``outcome``; the state of a user is the number of uses counted.
 

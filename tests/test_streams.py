@@ -54,3 +54,61 @@ def test_late_misses_are_dropped(spark, tmp_path):
         table = streams.run_to_table(streams.miss_stream(stream), out)
     got = {(r["query"], r.n) for r in table.select("query", F.col("n")).collect()}
     assert got == {("a", 2), ("b", 1)}
+
+
+SESSION_EVENTS = "user_id long, ts timestamp"
+
+
+def at(minute, day=1):
+    import datetime as dt
+
+    return dt.datetime(2024, 1, day) + dt.timedelta(minutes=minute)
+
+
+def brute_sessions(rows, gap=30):
+    import datetime as dt
+
+    out = []
+    for user in {u for u, _ in rows if u is not None}:
+        run = []
+        for t in sorted(t for u, t in rows if u == user and t is not None):
+            if run and t - run[-1] > dt.timedelta(minutes=gap):
+                out.append((user, run[0], run[-1], len(run)))
+                run = []
+            run.append(t)
+        if run:
+            out.append((user, run[0], run[-1], len(run)))
+    return sorted(out)
+
+
+def test_sessions_over_midnight_ties_and_a_hot_user(spark):
+    import random
+
+    from askloom.operators import conversation
+
+    rnd = random.Random(3)
+    rows = [(1, at(1430)), (1, at(1440)), (1, at(1470)), (1, at(1501)), (None, at(5)), (2, None), (3, at(0)), (3, at(0))]
+    rows += [(9, at(rnd.randrange(0, 9000, 13))) for _ in range(400)]
+    events = spark.createDataFrame(rows, SESSION_EVENTS).withColumn("started_at", F.lit("x"))
+    got = conversation.event_sessions(events, "user_id", "ts").collect()
+    assert sorted(tuple(r) for r in got) == brute_sessions(rows)
+    assert conversation.event_sessions(events.limit(0), "user_id", "ts").count() == 0
+
+
+def test_session_stream_closes_once_and_drops_late_rows(spark, tmp_path):
+    import datetime as dt
+
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    batches = [
+        [(1, at(0)), (1, at(30)), (2, at(10)), (None, at(0))],
+        [(1, at(20)), (2, at(50)), (3, at(300))],  # one in the middle of a session that is open; time passes to minute 240
+        [(1, at(5)), (2, at(235, day=2))],  # the first is late: its session is out
+        [(4, at(0, day=9))],
+    ]
+    for rows in batches:
+        write(spark, rows, SESSION_EVENTS, source)
+        stream = streams.read_table_stream(spark, source, "*.parquet", files_per_batch=1)
+        table = streams.run_to_table(streams.session_stream(stream, "user_id", "ts"), out)
+    got = sorted((r.user_id, r.started_at, r.closed_at - dt.timedelta(minutes=30), r.n) for r in table.collect())
+    on_time = [r for b in batches for r in b if r != (1, at(5))]
+    assert got == [s for s in brute_sessions(on_time) if s[0] != 4]
