@@ -6,9 +6,12 @@ elsewhere. Turns of ``shared`` speakers (the system's) stand in every rendering
 
 A rendering is a sequence of segments, one row per (conversation, perspective, turn): header, content and end mark, with the
 character span of the segment and of its content in the whole rendering. Rows keep a conversation of any length out of a
-single value; ``texts`` joins the segments of conversations whose length the caller knows to be bounded. Offsets are running
-sums in two levels: within blocks of ``BLOCK`` consecutive turns, and over the blocks' totals, so a conversation that holds a
-large part of all rows is spread over many tasks.
+single value; ``texts`` joins the segments of conversations whose length the caller knows to be bounded. All turns are
+range-partitioned by their order and numbered, so a conversation that holds a large part of all rows is spread over many tasks, whatever its
+turn numbers (only turns alike in number, role and first 32 characters stay together, in a sort that spills). Offsets are running sums in two
+levels: within blocks of at most ``BLOCK`` turns, and over the blocks' totals. They are made once for a conversation, with all speakers as users; a
+perspective's own turns before a turn, counted, times the difference of the two headers gives its own. Contents are shuffled twice and meet
+the participants last, ``CHUNK`` of these in an array.
 
 Order within a conversation: turn (NULL first), then role, then text. Defined cases: a NULL role is the speaker ``unknown``;
 NULL text is an empty content; repeated rows are turns each, in any order (they are alike); a NULL conversation id is one
@@ -24,7 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from askloom.llm.tables import staged
+
 BLOCK = 64
+CHUNK = 256
+FEW_ROWS = 100_000
 START, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 
 
@@ -34,59 +41,87 @@ def speaker_name(role: Column) -> Column:
     return F.when(name == "", "unknown").otherwise(name)
 
 
+def _header(role: Column, name: Column | None = None) -> Column:
+    named = F.lit("") if name is None else F.coalesce(F.concat(F.lit(" name="), name), F.lit(""))
+    return F.concat(F.lit(START), role, named, F.lit(MIDDLE))
+
+
+def _participants(turns: DataFrame, is_shared: Column) -> DataFrame:
+    """key, given, speaker, perspective, nth (of its name), chunk: the participants of every conversation."""
+    people = turns.where(~is_shared).select("key", "given", "speaker").distinct()
+    people = people.withColumn("nth", F.row_number().over(Window.partitionBy("key", "speaker").orderBy("given")))
+    people = people.withColumn("perspective", F.when(F.col("nth") > 1, F.concat("speaker", F.lit("#"), "nth")).otherwise(F.col("speaker")))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("perspective"))
+    return staged(people.withColumn("chunk", F.floor((place - 1) / CHUNK)), "participants")
+
+
 def segments(conversations: DataFrame, shared: tuple[str, ...] = ("system",)) -> DataFrame:
     """conv_id, perspective, position, role, name, content, segment, start, content_start, content_end, mask."""
     turns = conversations.select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("given"), speaker_name(F.col("role")).alias("speaker"), F.coalesce("text", F.lit("")).alias("content")
+        "conv_id",
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key"),
+        F.col("turn").cast("long").alias("turn"),
+        F.coalesce("role", F.lit("unknown")).alias("given"),
+        speaker_name(F.col("role")).alias("speaker"),
+        F.coalesce("text", F.lit("")).alias("content"),
     )
     is_shared = F.col("speaker").isin(*shared)
-    # Blocks of turn numbers; numbers may have gaps and repeats.
-    turns = turns.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    people = turns.where(~is_shared).select(F.col("conv_id").alias("p_conv"), F.col("given").alias("p_given"), F.col("speaker").alias("perspective")).distinct()
-    nth = F.row_number().over(Window.partitionBy("p_conv", "perspective").orderBy("p_given"))
-    people = people.withColumn("nth", nth).withColumn("perspective", F.when(F.col("nth") > 1, F.concat("perspective", F.lit("#"), "nth")).otherwise(F.col("perspective")))
+    people = _participants(turns, is_shared)
     # Only speakers whose name another one has need a new one.
-    renamed = people.where("nth > 1").select(F.col("p_conv").alias("r_conv"), F.col("p_given").alias("r_given"), F.col("perspective").alias("r_name"))
-    turns = turns.join(renamed, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("given") == F.col("r_given")), "left")
-    turns = turns.withColumn("speaker", F.coalesce("r_name", "speaker")).drop("given", "r_conv", "r_given", "r_name")
-    people = people.select("p_conv", "perspective")
-    own = F.col("speaker") == F.col("perspective")
-    role = F.when(is_shared, F.col("speaker")).when(own, "assistant").otherwise("user")
-    name = F.when(F.col("role") == "user", F.col("speaker"))
-    rendered = (
-        turns.join(people, F.col("conv_id").eqNullSafe(F.col("p_conv")))
-        .drop("p_conv")
-        .withColumn("role", role)
-        .withColumn("name", name)
-        .withColumn("mask", own.cast("int"))
-        .withColumn("header", F.concat(F.lit(START), F.col("role"), F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit(MIDDLE)))
-        .withColumn("size", F.length("header") + F.length("content") + len(END))
-    )
-    key = ["conv_id", "perspective"]
-    totals = rendered.groupBy(*key, "block").agg(F.sum("size").alias("sizes"), F.count("*").alias("turns"))
-    earlier = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        *[F.col(c).alias(f"t_{c}") for c in [*key, "block"]],
+    renamed = people.where("nth > 1").select("key", "given", F.col("perspective").alias("new_name"))
+    renamed = F.broadcast(renamed) if renamed.count() <= FEW_ROWS else renamed
+    turns = turns.join(renamed, ["key", "given"], "left").withColumn("speaker", F.coalesce("new_name", "speaker"))
+
+    # Order: contents are cut for the ranges, because samples of these go to the driver; beginnings sort as the whole texts do.
+    ranged = turns.repartitionByRange("key", "turn", "speaker", F.substring("content", 1, 32))
+    ranged = ranged.sortWithinPartitions("key", "turn", "speaker", "content")
+    # The numbers depend on the ranges, so they are written once.
+    at = F.monotonically_increasing_id()
+    turns = staged(ranged.select("conv_id", "key", "speaker", "content", at.alias("at")), "turns").withColumn("block", F.floor(F.col("at") / BLOCK))
+    header = F.when(is_shared, _header(F.col("speaker"))).otherwise(_header(F.lit("user"), F.col("speaker")))
+    turns = turns.withColumn("size", F.length(header) + F.length("content") + len(END))
+
+    # What precedes each block: sizes and turns of the conversation, and each participant's own turns.
+    earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = turns.groupBy("key", "block").agg(F.sum("size").alias("sizes"), F.count("*").alias("turns")).select(
+        "key",
+        "block",
         F.coalesce(F.sum("sizes").over(earlier), F.lit(0)).alias("size_before"),
         F.coalesce(F.sum("turns").over(earlier), F.lit(0)).alias("turns_before"),
     )
-    inside = Window.partitionBy(*key, "block").orderBy("turn", "speaker", "content")
+    own = turns.groupBy("key", "block", F.col("speaker").alias("perspective")).agg(F.count("*").alias("own"))
+    own_earlier = Window.partitionBy("key", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    views = blocks.join(people.select("key", "perspective", "chunk"), "key").join(own, ["key", "block", "perspective"], "left")
+    views = views.withColumn("own_before", F.coalesce(F.sum("own").over(own_earlier), F.lit(0)))
+    views = views.groupBy("key", "block", "chunk", "size_before", "turns_before").agg(F.collect_list(F.struct("perspective", "own_before")).alias("views"))
+
+    # Contents meet the participants last, as arrays, and are multiplied where they lie.
+    inside = Window.partitionBy("key", "block").orderBy("at")
     through = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rendered = rendered.withColumn("size_through", F.sum("size").over(through)).withColumn("turns_through", F.row_number().over(inside))
-    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in ("conv_id", "block")] + [F.col("perspective") == F.col("t_perspective")]
-    joined = rendered.join(totals, same[0] & same[1] & same[2])
-    start = F.col("size_before") + F.col("size_through") - F.col("size")
-    return joined.select(
-        *key,
+    rows = turns.withColumn("size_through", F.sum("size").over(through)).withColumn("turns_through", F.row_number().over(inside))
+    rows = rows.withColumn("spoken", F.collect_list("speaker").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    rendered = rows.join(views, ["key", "block"]).select("*", F.explode("views").alias("view")).select("*", "view.*")
+    is_own = F.col("speaker") == F.col("perspective")
+    n_own = F.col("own_before") + F.size(F.filter("spoken", lambda s: s == F.col("perspective")))
+    shorter = F.length(_header(F.lit("assistant"))) - F.length(_header(F.lit("user"), F.col("perspective")))
+    rendered = (
+        rendered.withColumn("role", F.when(is_shared, F.col("speaker")).when(is_own, "assistant").otherwise("user"))
+        .withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
+        .withColumn("header", _header(F.col("role"), F.col("name")))
+        .withColumn("start", F.col("size_before") + F.col("size_through") - F.col("size") + n_own * shorter)
+    )
+    return rendered.select(
+        "conv_id",
+        "perspective",
         (F.col("turns_before") + F.col("turns_through") - 1).alias("position"),
         "role",
         "name",
         "content",
         F.concat("header", "content", F.lit(END)).alias("segment"),
-        start.alias("start"),
-        (start + F.length("header")).alias("content_start"),
-        (start + F.length("header") + F.length("content")).alias("content_end"),
-        "mask",
+        "start",
+        (F.col("start") + F.length("header")).alias("content_start"),
+        (F.col("start") + F.length("header") + F.length("content")).alias("content_end"),
+        is_own.cast("int").alias("mask"),
     )
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from askloom import session
 from askloom.llm import chat_rotation, components, decontamination, line_dedup, ngram_join, queries, topk, words
 from tools.check import rows
 
@@ -372,3 +373,24 @@ def test_rotation_tells_apart_speakers_of_one_name(spark):
     assert {k[:2] for k in got} == {(1, "ann_b"), (1, "ann_b#2"), (2, "ann_b"), (None, "_"), (None, "_#2")} and len(got) == len(out) == 13
     assert got[1, "ann_b", "x"] == got[1, "ann_b", "z"] == got[1, "ann_b#2", "y"] == ("assistant", None, 1)
     assert got[1, "ann_b", "y"] == ("user", "ann_b#2", 0) and got[1, "ann_b#2", "z"] == ("user", "ann_b", 0) and got[1, "ann_b", "s"] == ("system", None, 0)
+
+
+def test_rotation_of_one_conversation_without_turn_numbers(spark, tmp_path):
+    """Most rows are one conversation's, without or with equal numbers: spread over blocks of bounded size, equal to SQL."""
+    rows = spark.range(6_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id") % 40).cast("long").alias("conv_id"),
+        F.when(F.col("id") % 2 > 0, F.lit(4)).cast("long").alias("turn"),
+        F.concat(F.lit("p"), F.col("id") % 5).alias("role"),
+        F.concat(F.repeat(F.lit("same beginning "), 4), F.col("id") % 1_500).alias("text"),
+    )
+    rows.write.parquet(f"{tmp_path}/c")
+    before = len(session._staged_paths)
+    out = chat_rotation.segments(spark.read.parquet(f"{tmp_path}/c"))
+    numbered = [spark.read.parquet(p) for p in session._staged_paths[before:] if "/turns-" in p]
+    sizes = numbered[0].groupBy("key", F.floor(F.col("at") / chat_rotation.BLOCK)).count()
+    assert sizes.agg(F.max("count")).first()[0] <= chat_rotation.BLOCK
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    rel = con.execute(chat_rotation.ORACLE)
+    columns = [d[0] for d in rel.description]
+    assert sorted(map(tuple, out.select(*columns).collect()), key=repr) == sorted(rel.fetchall(), key=repr)
