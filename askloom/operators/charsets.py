@@ -47,6 +47,15 @@ def learn_pairs(texts: DataFrame, column: str = "text", charsets: Sequence[str]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {c: np.zeros(PAIRS, dtype=np.int64) for c in charsets}
+        waiting: dict[str, list[np.ndarray]] = {c: [] for c in charsets}
+
+        def add() -> None:
+            for c, parts in waiting.items():
+                if parts:
+                    seen[c] += np.bincount(np.concatenate(parts), minlength=PAIRS)
+                    parts.clear()
+
+        held = 0
         for batch in batches:
             for text in batch.column(0):
                 value = text.as_py()
@@ -56,7 +65,12 @@ def learn_pairs(texts: DataFrame, column: str = "text", charsets: Sequence[str]
                     except UnicodeEncodeError:
                         continue
                     for numbers in _pairs(content):
-                        seen[c] += np.bincount(numbers, minlength=PAIRS)
+                        waiting[c].append(numbers)
+                        held += len(numbers)
+                        if held >= SLICE:
+                            add()
+                            held = 0
+        add()
         for c, counts in seen.items():
             at = np.nonzero(counts)[0]
             yield pa.RecordBatch.from_arrays([pa.array([c] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["charset", "pair", "n"])
