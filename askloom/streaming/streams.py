@@ -15,7 +15,10 @@ from askloom.session import staged
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream over the parquet files ``name`` below ``folder``."""
+    """Stream over the parquet files ``name`` below ``folder``; where ``name`` is itself a folder of files, over those."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(path):
+        folder, name = f"{folder}/{name}", "*"
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
     if files_per_batch:

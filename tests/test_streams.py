@@ -25,6 +25,21 @@ def test_ingest_over_batches_and_restart(spark, tmp_path):
     assert sorted(r.url for r in spark.read.parquet(f"{store}/records").collect()) == ["u", "w"]
 
 
+def test_a_table_of_several_files_is_a_stream_as_one_file_is(spark, tmp_path):
+    import uuid
+
+    from askloom.plans import registry
+
+    rows = [(k, f"https://www.Site{k % 3}.org/en/p/{k}", f"<p>Ques tion is this one, number {k}</p>") for k in range(12)]
+    for part in (rows[:7], rows[7:]):
+        spark.createDataFrame(part, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages.parquet")
+    spark.range(3).write.parquet(f"{tmp_path}/other{uuid.uuid4().hex}.parquet")
+    hosts = registry.queries()["ingest_recent"](spark, str(tmp_path)).collect()
+    assert len(hosts) == len({r.host for r in hosts}) == 3
+    by_status = registry.queries()["ingest_stream"](spark, str(tmp_path))
+    assert sorted(map(tuple, by_status.collect())) == sorted(map(tuple, registry.queries()["flagship"](spark, str(tmp_path)).collect()))
+
+
 def test_trial_state_survives_batches(spark, tmp_path):
     source, out = f"{tmp_path}/in", f"{tmp_path}/out"
     schema = "id long, user_id long, used_at timestamp, paid boolean"
