@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloom.sources.files import decode_bytes
+from askloom.sources.files import decode_other
 
 CHARSETS = ("utf-8", "utf-16-le", "utf-16-be", "cp1252", "cp850", "mac-roman")
 MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
@@ -105,7 +105,22 @@ class Detector:
     def decode_detected(self, content: Column, declared: Column | None = None) -> Column:
         """Text of ``content``: by the charset found, else the declared one, else UTF-8 with U+FFFD for bad bytes."""
         declared = F.lit(None).cast("string") if declared is None else declared
-        return decode_bytes(content, F.coalesce(self.detect(content), declared))
+        tables = self._tables
+
+        # One visit to Python finds the charset and decodes; UTF-8 is decoded natively and does not come back.
+        @F.pandas_udf("charset string, text string")
+        def found(values: pd.Series, named: pd.Series) -> pd.DataFrame:
+            charsets, texts = [], []
+            for value, name in zip(values, named):
+                content = None if value is None else bytes(value)
+                charset = None if content is None else charset_of(content, tables.value)
+                charset = charset or name
+                charsets.append(charset)
+                texts.append(None if content is None else decode_other(content, charset))
+            return pd.DataFrame({"charset": pd.Series(charsets, dtype=object), "text": pd.Series(texts, dtype=object)})
+
+        got = found(content, declared)
+        return F.coalesce(got["text"], F.when(content.isNotNull() & got["text"].isNull(), F.make_valid_utf8(content.cast("string"))))
 
 
 def _decodes(content: bytes, charset: str) -> bool:

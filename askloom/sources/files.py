@@ -97,17 +97,22 @@ def sitemap_urls(docs: DataFrame, keep, roots: Column) -> DataFrame:
     return urls.filter(keep(F.col("url")))
 
 
+NATIVE = ("utf-8", "utf8", "us-ascii", "ascii")
+
+
+def decode_other(content: bytes, charset: str | None) -> str | None:
+    """Text by a charset that Spark does not decode, UTF-8 where it is unknown; NULL for those that it does."""
+    if charset is None or charset.lower() in NATIVE:
+        return None
+    try:
+        return content.decode(charset.lower(), errors="replace")
+    except LookupError:
+        return content.decode("utf-8", errors="replace")
+
+
 @F.pandas_udf(StringType())
 def _decode_other(content: pd.Series, charset: pd.Series) -> pd.Series:
-    def one(b, cs):
-        if b is None or cs is None:
-            return None
-        try:
-            return bytes(b).decode(cs, errors="replace")
-        except LookupError:
-            return bytes(b).decode("utf-8", errors="replace")
-
-    return pd.Series([one(b, cs) for b, cs in zip(content, charset)], dtype=object)
+    return pd.Series([None if b is None else decode_other(bytes(b), cs) for b, cs in zip(content, charset)], dtype=object)
 
 
 def decode_bytes(content: Column, charset: Column) -> Column:
@@ -116,7 +121,7 @@ def decode_bytes(content: Column, charset: Column) -> Column:
     UTF-8 is decoded natively. Other charsets go to Python; UTF-8 rows travel there as NULL.
     """
     cs = F.lower(F.coalesce(charset, F.lit("utf-8")))
-    native = cs.isin("utf-8", "utf8", "us-ascii", "ascii")
+    native = cs.isin(*NATIVE)
     return F.coalesce(
         F.when(native, F.make_valid_utf8(content.cast("string"))),
         _decode_other(F.when(~native, content), F.when(~native, cs)),

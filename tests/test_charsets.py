@@ -79,3 +79,9 @@ def test_nothing_learned(spark):
     detector = charsets.Detector(charsets.learn_pairs(empty))
     row = spark.createDataFrame([(bytearray("é".encode("cp1252") * 3),)], "b binary").select(detector.detect(F.col("b"))).first()
     assert row[0] in charsets.CHARSETS
+
+
+def test_detecting_and_decoding_is_one_visit_to_python(docs, detector):
+    read = docs.select(detector.decode_detected(F.encode("text", "utf-16be"), F.lit("cp1252")).alias("got"))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
