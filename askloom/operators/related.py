@@ -85,7 +85,12 @@ def related_records(df: DataFrame, limit: int = 5, seed: int | None = 0, stop=T.
         raise ValueError("limit must be between 1 and 10")
     by_category = related_by_category(df, seed)
     kws = T.keywords(F.coalesce("question", F.lit("")), stop)
-    asked = staged(df.select("id", F.transform(kws, T.fold_ascii).alias("kws")), "keywords")
+    # A record whose category has enough others needs no keywords. Ids that repeat or are NULL leave a ring short, so such categories ask.
+    named = df.filter(F.coalesce("category", F.lit("")) != "")
+    rings = named.groupBy(F.col("category").alias("c")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    filled = rings.filter((F.col("n") == F.col("ids")) & (F.col("n") > limit)).select("c")
+    short = df.select("id", "category").join(filled, F.col("category") == F.col("c"), "left_anti").select("id")
+    asked = staged(df.join(short, "id", "left_semi").select("id", F.transform(kws, T.fold_ascii).alias("kws")), "keywords")
     words = asked.select(F.explode("kws").alias("keyword")).distinct()
     matches = keyword_matches(df, words, limit + KEYWORD_STEP)
     per_word = asked.select("id", F.posexplode("kws").alias("pos", "keyword")).join(matches, "keyword")

@@ -152,3 +152,20 @@ def test_category_rings_do_not_depend_on_their_ranges(spark):
     at = {i: k for k, i in enumerate(ring)}
     by_id = {r["id"]: [x["id"] for x in r["found"]] for r in related.related_by_category(df, None, 10, 7).collect()}
     assert all(by_id[i] == [ring[(at[i] + d) % len(ring)] for d in range(1, 11)] for i in ring)
+
+
+def test_keywords_are_asked_only_where_the_category_gives_too_few(spark, monkeypatch):
+    rows = [(k, f"word{k} shared", "text", "s", "big" if k < 20 else "tiny" if k < 23 else "twice" if k < 33 else None) for k in range(36)]
+    rows += [r for r in rows if r[4] == "twice"]
+    df = spark.createDataFrame(rows, "id long, question string, answer string, source string, category string")
+    kept, staged = {}, related.staged
+
+    def counted(table, label):
+        out = staged(table, label)
+        kept[label] = {r[0] for r in out.select(out.columns[0]).collect()}
+        return out
+
+    monkeypatch.setattr(related, "staged", counted)
+    got = related.related_records(df, 5, seed=None).collect()
+    assert kept["keywords"] == set(range(20, 36))
+    assert {r.score for r in got if r.id < 20} == {0.8} and {r.score for r in got if r.id in (20, 34)} >= {0.5}
