@@ -76,6 +76,7 @@ def _index(t, merged: bool = False) -> X.Index:
     index.delete(t.labels.filter(C("quality") == 0).select(C("doc_id").alias("id")))
     if merged:
         index.merge(first[1:])
+        index.vacuum()
     return index
 
 
