@@ -18,12 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
@@ -31,6 +29,12 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from askloom.llm import words
 from askloom.llm.tables import fold_of, fresh, staged
 
+# Tasks import this module for the features only; Spark ML would take 50 MB of every Python worker.
+if TYPE_CHECKING:
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+
+SLICE = 1 << 20  # bytes of text whose features are made at once; work arrays hold about 50 times as much
 FIT_ROWS = 60_000
 LEARNED_WORDS = 500
 LEAST_DOCS = 4
@@ -205,7 +209,7 @@ def featurize(docs: DataFrame, text_column: str, name: str, learned: tuple[np.nd
     """All rows and columns of ``docs`` and a last column ``name`` with the features (ARRAY<FLOAT>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in words.slices(b, text_column)):
+        for part in (p for b in batches for p in words.slices(b, text_column, SLICE)):
             rows = features_of(part, text_column, *learned)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.record_batch([*part.columns, flat], [*part.schema.names, name])
@@ -225,6 +229,8 @@ class Scorer:
 
     def apply(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
         """row (all columns of ``docs`` as they are) and score of every row."""
+        from pyspark.ml.functions import array_to_vector
+
         if self.trees is None or self.steps is None:
             return docs.select(F.struct("*").alias("row"), F.lit(self.rate).alias("score"))
         name = fresh(docs, "features")
@@ -238,11 +244,17 @@ class Scorer:
 
 def margin(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     """``rows`` (with features) and margin, the trees' probability of label 1."""
+    from pyspark.ml.functions import vector_to_array
+
     return trees.transform(rows).withColumn("margin", vector_to_array("probability")[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, folds: int = 5, id_column: str = "doc_id", text_column: str = "text") -> Scorer:
     """Learns from rows whose fold (crc32 of the id, modulo ``folds``) is not ``held_out``; ``labels`` has doc_id and ``label``."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import IsotonicRegression
+
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL AND NOT isnan(label)")
     known = known.where(fold_of(F.col("id"), folds) != held_out).groupBy("id").agg(F.max("label").alias("label"))

@@ -2,6 +2,9 @@
 
 import math
 import re
+import subprocess
+import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -50,6 +53,32 @@ def test_toxicity_features():
     assert rows["exclamations"][0] > 0 == rows["exclamations"][2]
 
 
+def test_toxicity_features_take_little_memory():
+    texts = ["You are an idiot! calm words, 1d10t " * 60] * 4000
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    made = []
+
+    class Docs:
+        schema = toxicity.StructType()
+
+        def mapInArrow(self, run, _):
+            made.extend(b.num_rows for b in run(iter([batch])))
+
+    tracemalloc.start()
+    try:
+        toxicity.featurize(Docs(), "text", "features", (np.zeros(0, np.uint64), np.zeros(0)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(made) == len(texts)
+    assert batch.nbytes > 8 << 20 and peak < 100 << 20, peak
+
+
+def test_toxicity_tasks_load_no_spark_ml():
+    code = "import sys, askloom.llm.toxicity; print([m for m in sys.modules if m.startswith('pyspark.ml')])"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=toxicity.__file__.split("/askloom/")[0]).stdout.strip() == "[]"
+
+
 def test_toxicity_nasty(spark, nasty, no_docs, some_labels):
     rows = toxicity.score(nasty, some_labels).collect()
     assert len(rows) == nasty.count() and all(0 <= r["score"] <= 1 for r in rows)
