@@ -50,9 +50,13 @@ PART = 1 << 22  # entries of a key range
 EXPERTS = 4  # classes, bigram, trigram, skip
 LEVELS = 48  # of a history's count, by powers of two
 GATE_ROWS = 2 * SYMBOLS + 3 * LEVELS
+# The gate features of a token's two tokens before it and of its three histories' levels, from and to.
+GATE_RANGES = [(0, SYMBOLS), (SYMBOLS, 2 * SYMBOLS), *((2 * SYMBOLS + k * LEVELS, 2 * SYMBOLS + (k + 1) * LEVELS) for k in range(3))]
+GATE_STARTS = np.array([[begin] for begin, _ in GATE_RANGES])
 ROUNDS = 2
 RATE = 0.15
 BATCH = 8192
+HISTORIES = 1024  # whose logits stay in a core's cache
 
 END_HASH = words.mix(np.array([0x5851F42D4C957F2D], np.uint64))[0]
 END_TAIL = 0
@@ -80,8 +84,12 @@ def _block(ids: list, held: list, texts: pa.Array, number: int) -> pa.RecordBatc
     is_word[last] = False
     hashes[is_word] = w.hashes
     learn = np.repeat(np.array([h is False for h in held], bool), n)
-    known, first, local = np.unique(hashes, return_index=True, return_inverse=True)
-    order = np.argsort(-np.bincount(local, minlength=len(known)), kind="stable")
+    codes = pa.array(hashes).dictionary_encode()  # a hash table: far less work than to sort all tokens
+    local, known = codes.indices.to_numpy(), codes.dictionary.to_numpy()
+    first = np.empty(len(known), np.int64)
+    first[local[::-1]] = np.arange(len(local))[::-1]
+    order = np.argsort(known)
+    order = order[np.argsort(-np.bincount(local, minlength=len(known))[order], kind="stable")]
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     local, known, first = place[local], known[order], first[order]
@@ -130,7 +138,16 @@ def _tokens(packed: pa.Buffer, n: np.ndarray) -> np.ndarray:
     """Token numbers of a block whose texts have ``n`` tokens; they are kept byte plane by byte plane, compressed."""
     total = int(n.sum())
     planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * total, codec="zstd"), np.uint8).reshape(4, total)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return _joined(planes).view(np.int64)
+
+
+def _joined(planes: np.ndarray) -> np.ndarray:
+    """Integers of byte planes, the lowest first; the upper ones are mostly empty."""
+    out = planes[0].astype(np.uint64)
+    for k, plane in enumerate(planes[1:], 1):
+        if plane.any():
+            out |= plane.astype(np.uint64) << np.uint64(8 * k)
+    return out
 
 
 def _pack(columns: list[np.ndarray], widths: list[int]) -> bytes:
@@ -143,25 +160,29 @@ def _unpack(packed: pa.Buffer, n: int, widths: list[int]) -> list[np.ndarray]:
     raw = np.frombuffer(pa.decompress(packed, decompressed_size=n * sum(widths), codec="zstd"), np.uint8)
     out, at = [], 0
     for w in widths:
-        whole = np.zeros((n, 8), np.uint8)
-        whole[:, :w] = raw[at : at + n * w].reshape(w, n).T
-        out.append(whole.view("<u8").ravel())
+        out.append(_joined(raw[at : at + n * w].reshape(w, n)))
         at += n * w
     return out
 
 
+def before(values: np.ndarray, n: np.ndarray, start: int | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the token before each token and of the one before that; ``start`` where its text has none."""
+    first = np.cumsum(n) - n
+    one, two = np.empty_like(values), np.empty_like(values)
+    one[1:], two[2:] = values[:-1], values[:-2]
+    two[:2] = start
+    one[first] = two[first] = start
+    two[first[n > 1] + 1] = start
+    return one, two
+
+
 def gram_keys(kind: int, vocabulary: np.ndarray, local: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Key of every token's n-gram: with the token before it (1), the two before it (2), or the one before that (3, skip).
 
     Keys are hashes of ``GRAM_BITS`` bits of the words' own hashes; there are as many as the corpus has different n-grams.
     """
     h = vocabulary[local]
-    first = np.cumsum(n) - n
-    one, two = np.empty_like(h), np.empty_like(h)
-    one[1:], two[2:] = h[:-1], h[:-2]
-    two[:2] = START
-    one[first] = two[first] = START
-    two[first[n > 1] + 1] = START
+    one, two = before(h, n, START)
     key = words.mix(two * FACTORS[2] + h) if kind == 3 else words.mix(one * FACTORS[0] + h)
     return (words.mix(key * FACTORS[1] + two) if kind == 2 else key) >> np.uint64(64 - GRAM_BITS)
 
@@ -174,6 +195,15 @@ def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key[begin], np.add.reduceat((both & np.uint64(1)).astype(np.int64), begin)
 
 
+def spread(counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For every key its count, where ``counts`` has one for each of the different keys, in order."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), counts.dtype)
+    out[order] = counts[np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))]
+    return out
+
+
 REQUEST_SCHEMA = "part long, block long, n int, packed binary"
 SINGLE = [8, 4, 4, 1]  # bytes of a request's keys, counts, counts as last word, and tail class
 GRAM = [8, 4]
@@ -303,8 +333,7 @@ def counted(table: DataFrame) -> tuple[DataFrame, Tables]:
                     place[np.argsort(vocabulary)] = np.arange(len(vocabulary))
                     hits = []
                     for kind in range(1, EXPERTS):
-                        index = np.unique(gram_keys(kind, vocabulary, local, n), return_inverse=True)[1]
-                        hits.append(answered[kind][index])
+                        hits.append(spread(answered[kind], gram_keys(kind, vocabulary, local, n)))
                     data = tables.symbols(vocabulary, tails).astype("<u2").tobytes(), _pack([answered[0][place], answered[4][place]], [6, 6]), _pack(hits, [6] * len(hits))
                     one = batch.slice(i, 1)
                     yield pa.record_batch([*(one.column(c) for c in KEPT), *(pa.array([d], pa.binary()) for d in data)], [*KEPT, "symbols", "totals", "hits"])
@@ -360,16 +389,17 @@ def count_tables(singles: DataFrame) -> Tables:
 
 def histories(local: np.ndarray, n: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Number of the history of each token: the symbols of the two tokens before it in its text."""
-    s = symbols[local]
-    first = np.cumsum(n) - n
-    one, two = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
-    one[1:], two[2:] = s[:-1], s[:-2]
-    two[:2] = SYMBOLS - 1
-    one[first] = two[first] = SYMBOLS - 1
-    two[first[n > 1] + 1] = SYMBOLS - 1
+    one, two = before(symbols[local], n, SYMBOLS - 1)
     return one * SYMBOLS + two
 
 
+def different(history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different histories in order, and the place of each token's among them: by a table of all histories, as tokens are many."""
+    there = np.zeros(SYMBOLS * SYMBOLS, bool)
+    there[history] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[history]
+
+
 def feature_rows(history: np.ndarray) -> np.ndarray:
     """Rows of the weight table for each history: bigram, skip and trigram feature."""
     one, two = np.divmod(history, SYMBOLS)
@@ -377,37 +407,51 @@ def feature_rows(history: np.ndarray) -> np.ndarray:
     return np.stack([one, SYMBOLS + two, 2 * SYMBOLS + pair])
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[0]] + weights[rows[1]] + weights[rows[2]] + bias
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+def class_logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of all classes less their highest, the highest, and the logarithm of the sum of their powers."""
+    logits = weights.take(rows[0], axis=0)
+    logits += weights.take(rows[1], axis=0)
+    logits += weights.take(rows[2], axis=0)
+    logits += bias
+    highest = logits.max(1, keepdims=True)
+    logits -= highest
+    return logits, highest, np.log(np.exp(logits).sum(1, keepdims=True))
 
 
 def train_block(history: np.ndarray, classes: np.ndarray, weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, bias: np.ndarray) -> None:
     """One pass of AdaGrad over the block's (history, class) counts, in place."""
-    pairs, counts = np.unique(history * CLASSES + classes, return_counts=True)
-    owners, cls = np.divmod(pairs, CLASSES)
-    known, index, n = np.unique(owners, return_inverse=True, return_counts=True)
-    edges = np.concatenate([[0], np.cumsum(n)])
+    pairs, counts = np.unique((history * CLASSES + classes).astype(np.uint32), return_counts=True)
+    owners, cls = np.divmod(pairs.astype(np.int64), CLASSES)
+    begin = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+    known, edges = owners[begin], np.append(begin, len(owners))
     # Batches in a fixed mixed order, so that a batch isn't one word's histories.
-    order = np.argsort(words.mix(known.astype(np.uint64)), kind="stable")
+    order = np.argsort(words.mix(known.astype(np.uint64)))
     for a in range(0, len(order), BATCH):
         some = order[a : a + BATCH]
         rows = feature_rows(known[some])
         lengths = edges[some + 1] - edges[some]
         source = np.repeat(edges[some] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         error = np.zeros((len(some), CLASSES), np.float32)
-        np.add.at(error, (np.repeat(np.arange(len(some)), lengths), cls[source]), -counts[source].astype(np.float32))
+        error[np.repeat(np.arange(len(some)), lengths), cls[source]] = -counts[source].astype(np.float32)
         totals = -error.sum(1, keepdims=True)
-        error += totals * np.exp(log_softmax(weights, bias, rows))
+        for b in range(0, len(some), HISTORIES):
+            logits, _, log_sum = class_logits(weights, bias, rows[:, b : b + HISTORIES])
+            logits -= log_sum
+            np.exp(logits, out=logits)
+            logits *= totals[b : b + HISTORIES]
+            error[b : b + HISTORIES] += logits
         for r in rows:
-            by = np.argsort(r, kind="stable")
+            by = np.argsort(r.astype(np.uint16), kind="stable")  # of two bytes: counted, not compared
             sorted_rows = r[by]
             begin = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
             touched = sorted_rows[begin]
             gradient = np.add.reduceat(error[by], begin, axis=0)
-            squares[touched] += gradient**2
-            weights[touched] -= RATE * gradient / np.sqrt(squares[touched] + 1.0)
+            moved = squares[touched] + gradient**2
+            squares[touched] = moved
+            moved += 1.0
+            gradient *= RATE
+            gradient /= np.sqrt(moved, out=moved)
+            weights[touched] -= gradient
             seen[touched] += np.add.reduceat(totals[by, 0], begin)
 
 
@@ -465,14 +509,21 @@ def class_scores(local: np.ndarray, n: np.ndarray, counts: np.ndarray, symbols:
     inside = np.log(np.maximum(counts + 1.0 - own, 1.0) / np.maximum(sums, 1.0))
     inside[symbols < SINGLES] = 0.0  # a class of one token
     token_class = classes[local]
-    known, index = np.unique(histories(local, n, symbols), return_inverse=True)
-    order = np.argsort(index, kind="stable")
-    edges = np.searchsorted(index[order], np.arange(0, len(known) + BATCH, BATCH))
-    of_class = np.empty(len(local))
-    for b, a in enumerate(range(0, len(known), BATCH)):
-        logs = log_softmax(weights, bias, feature_rows(known[a : a + BATCH]))
-        these = order[edges[b] : edges[b + 1]]
-        of_class[these] = logs[index[these] - a, token_class[these]]
+    known, index = different(histories(local, n, symbols))
+    rows = feature_rows(known)
+    highest, log_sum = np.empty(len(known), np.float32), np.empty(len(known), np.float32)
+    for a in range(0, len(known), HISTORIES):
+        some = slice(a, a + HISTORIES)
+        _, top, total = class_logits(weights, bias, rows[:, some])
+        highest[some], log_sum[some] = top[:, 0], total[:, 0]
+    # A token needs one of its history's logits only.
+    flat, cells = weights.ravel(), rows * CLASSES
+    of_class = flat.take(cells[0][index] + token_class)
+    of_class += flat.take(cells[1][index] + token_class)
+    of_class += flat.take(cells[2][index] + token_class)
+    of_class += bias[token_class]
+    of_class -= highest[index]
+    of_class -= log_sum[index]
     return of_class + inside[local]
 
 
@@ -480,10 +531,13 @@ def class_scores(local: np.ndarray, n: np.ndarray, counts: np.ndarray, symbols:
 class Evidence:
     """What the corpus says of each token: shares of it after its histories, how often these occur, and the gate's features."""
 
-    shares: np.ndarray  # tokens x EXPERTS, the first one from the classes
-    there: np.ndarray  # which of them have a history at all
+    shares: np.ndarray  # tokens x EXPERTS, the first one from the classes; laid out kind by kind
+    there: np.ndarray  # which of them have a history at all; laid out in the same way
     rows: np.ndarray  # gate features x tokens
 
+    def of(self, some: np.ndarray) -> Evidence:
+        return Evidence(self.shares.T.take(some, axis=1).T, self.there.T.take(some, axis=1).T, self.rows.take(some, axis=1))
+
 
 def evidence(local: np.ndarray, n: np.ndarray, counts: np.ndarray, lasts: np.ndarray, grams: list[np.ndarray], symbols: np.ndarray, by_class: np.ndarray, texts: int, own: int = 0) -> Evidence:
     """Shares of every token among what followed its histories; with ``own`` = 1 its own occurrence is left out of all counts."""
@@ -496,46 +550,58 @@ def evidence(local: np.ndarray, n: np.ndarray, counts: np.ndarray, lasts: np.nda
     seen[2, 2:] = (counts - lasts)[local[:-2]]
     seen[0, first], seen[1, first] = texts, 0
     seen[2, first] = seen[2, second] = 0
-    seen = np.maximum(seen - own, 0)
-    hits = np.maximum(np.stack(grams) - own, 0)
-    there = seen > 0
-    shares = np.where(there, np.minimum(hits, seen) / np.maximum(seen, 1), 0.0)
-    history = histories(local, n, symbols)
-    one, two = np.divmod(history, SYMBOLS)
-    level = np.frexp(seen.astype(float))[1]  # 0 for a history that never occurs
-    rows = np.concatenate([[one, SYMBOLS + two], 2 * SYMBOLS + np.arange(3)[:, None] * LEVELS + np.minimum(level, LEVELS - 1)])
-    always = np.ones((1, len(local)), bool)
-    return Evidence(np.concatenate([[np.exp(by_class)], shares]).T, np.concatenate([always, there]).T, rows)
+    there, shares = np.ones((EXPERTS, len(local)), bool), np.empty((EXPERTS, len(local)))
+    np.exp(by_class, out=shares[0])
+    rows = np.empty((len(GATE_RANGES), len(local)), np.int64)
+    rows[0], rows[1] = before(symbols[local], n, SYMBOLS - 1)
+    rows[1] += SYMBOLS
+    for a in range(0, len(local), BATCH):
+        some = slice(a, a + BATCH)
+        known = np.maximum(seen[:, some] - own, 0)
+        hits = np.maximum(np.stack([g[some] for g in grams]) - own, 0)
+        np.greater(known, 0, out=there[1:, some])
+        shares[1:, some] = np.minimum(hits, known) / np.maximum(known, 1)  # 0 for a history that never occurs
+        # The level is the number of binary digits, as the exponent of a double has it; 0 for 0.
+        level = np.clip((known.astype(float).view(np.int64) >> 52) - 1022, 0, LEVELS - 1)
+        np.add(level, GATE_STARTS[2:], out=rows[2:, some])
+    return Evidence(shares.T, there.T, rows)
 
 
 def gate_of(gate: np.ndarray, rows: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """Softmax over the kinds of evidence that a history has."""
-    logits = np.where(there, gate[rows].sum(0), -np.inf)
-    logits = np.exp(logits - logits.max(1, keepdims=True))
-    return logits / logits.sum(1, keepdims=True)
+    """Softmax over the kinds of evidence that a history has; kinds x tokens, as ``there`` is."""
+    logits = gate.take(rows[0], axis=0)
+    for r in rows[1:]:
+        logits += gate.take(r, axis=0)
+    out = np.where(there, np.ascontiguousarray(logits.T), -np.inf)
+    out -= out.max(0)
+    np.exp(out, out=out)
+    out /= out.sum(0)
+    return out
 
 
-def gate_gradient(gate: np.ndarray, e: Evidence, some: np.ndarray) -> tuple[np.ndarray, float]:
+def gate_gradient(gate: np.ndarray, e: Evidence, some: np.ndarray | slice) -> tuple[np.ndarray, float]:
     """Of the negative log-likelihood of the tokens ``some``, by logit; and its value."""
-    g = gate_of(gate, e.rows[:, some], e.there[some])
-    joint = g * e.shares[some]
-    total = np.maximum(joint.sum(1, keepdims=True), 1e-300)
-    return g - joint / total, float(-np.log(total).sum())
+    g = gate_of(gate, e.rows[:, some], e.there[some].T)
+    joint = g * e.shares[some].T
+    total = np.maximum(joint.sum(0), 1e-300)
+    joint /= total
+    g -= joint
+    return g.T, float(-np.log(total).sum())
 
 
 def train_gate_block(gate: np.ndarray, e: Evidence, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gate after one AdaGrad pass over the block's learned tokens, and how often each feature was seen."""
     own, squares, seen = gate.copy(), np.zeros_like(gate), np.zeros(len(gate))
     some = np.flatnonzero(learn)
-    some = some[np.argsort(words.mix(some.astype(np.uint64)), kind="stable")]
+    some = some[np.argsort(words.mix(some.astype(np.uint64)))]
     for a in range(0, len(some), BATCH):
-        part = some[a : a + BATCH]
-        error, _ = gate_gradient(own, e, part)
-        for rows in e.rows[:, part]:
-            gradient = np.stack([np.bincount(rows, weights=error[:, k], minlength=len(gate)) for k in range(EXPERTS)], axis=1)
-            squares += gradient**2
-            own -= RATE * gradient / np.sqrt(squares + 1.0)
-            seen += np.bincount(rows, minlength=len(gate))
+        part = e.of(some[a : a + BATCH])
+        error, _ = gate_gradient(own, part, slice(None))
+        for (begin, end), rows in zip(GATE_RANGES, part.rows - GATE_STARTS, strict=True):
+            gradient = np.stack([np.bincount(rows, weights=error[:, k], minlength=end - begin) for k in range(EXPERTS)], axis=1)
+            squares[begin:end] += gradient**2
+            own[begin:end] -= RATE * gradient / np.sqrt(squares[begin:end] + 1.0)
+            seen[begin:end] += np.bincount(rows, minlength=end - begin)
     return own, seen
 
 
@@ -599,7 +665,7 @@ def score_block(b: Block, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
     logs = np.empty(len(b.local))
     for a in range(0, len(logs), BATCH):
         some = slice(a, a + BATCH)
-        logs[some] = np.log10((gate_of(model.gate, b.e.rows[:, some], b.e.there[some]) * b.e.shares[some]).sum(1))
+        logs[some] = np.log10((gate_of(model.gate, b.e.rows[:, some], b.e.there[some].T) * b.e.shares[some].T).sum(0))
     known = np.bincount(text, weights=(b.counts > 0)[b.local], minlength=size).astype(np.int64)
     return known, np.bincount(text, weights=base[b.local], minlength=size), np.bincount(text, weights=logs, minlength=size)
 

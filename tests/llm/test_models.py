@@ -242,6 +242,17 @@ def test_language_model_scores_do_not_depend_on_tasks(spark, documents):
     assert np.allclose(one.weights, many.weights, atol=1e-4) and np.allclose(one.gate, many.gate, atol=1e-4)
 
 
+def test_language_model_scores_sort_no_tokens(spark, monkeypatch):
+    _, model, batches = small_model(spark)
+    sorted_ = []
+    for name in ("argsort", "sort", "unique"):
+        monkeypatch.setattr(np, name, lambda a, *x, _plain=getattr(np, name), **k: (sorted_.append(len(a)), _plain(a, *x, **k))[1])
+    for own in (0, 1):
+        for b in maxent_lm.counted_blocks(iter(batches), model, own):
+            maxent_lm.score_block(b, model)
+    assert sorted_ == []
+
+
 def test_language_model_nasty(nasty, no_docs):
     rows = maxent_lm.score(nasty).collect()
     assert len(rows) == nasty.count()
