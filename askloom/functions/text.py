@@ -259,15 +259,27 @@ _ACCENTED, _BASE = _accent_pairs()
 _COMBINING = r"[\x{300}-\x{331}]"
 
 
+_FOLDED = str.maketrans(_ACCENTED, _BASE)
+
+
+def fold(word: str) -> str:
+    """What :func:`tokens` makes of one of :func:`words`."""
+    return word.translate(_FOLDED)
+
+
+def words(c: Column) -> Column:
+    """:func:`tokens` whose accents are not yet folded, for callers that fold a word once for all texts that hold it."""
+    text = let(F.lower(F.coalesce(c, F.lit(""))), lambda x: F.when(x.rlike(_COMBINING), F.regexp_replace(x, _COMBINING, "")).otherwise(x))
+    return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
+
+
 def tokens(c: Column) -> Column:
     """Search tokens of a text in order: lower case, Latin accents folded.
 
     Accents are folded per token and only where a token is not plain ASCII; folding the whole text character by
     character would cost more than the rest.
     """
-    text = let(F.lower(F.coalesce(c, F.lit(""))), lambda x: F.when(x.rlike(_COMBINING), F.regexp_replace(x, _COMBINING, "")).otherwise(x))
-    found = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    return F.transform(found, lambda w: F.when(w.rlike(r"[\x{C0}-\x{24F}\x{1E00}-\x{1EFF}]"), F.translate(w, _ACCENTED, _BASE)).otherwise(w))
+    return F.transform(words(c), lambda w: F.when(w.rlike(r"[\x{C0}-\x{24F}\x{1E00}-\x{1EFF}]"), F.translate(w, _ACCENTED, _BASE)).otherwise(w))
 
 
 DROPPED_BLOCKS = ("script", "style", "noscript", "iframe", "svg", "nav", "footer", "header")

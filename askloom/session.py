@@ -91,6 +91,21 @@ def scope(spark: SparkSession):
         del _staged_paths[begin:]
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside, the shuffle files of a query are deleted as soon as it has ended, so that steps don't add up on disk."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors of a cluster on which it is not installed, as ``--py-files`` would."""
     folder = tempfile.mkdtemp(prefix="askloom-")
