@@ -92,18 +92,24 @@ def scope(spark: SparkSession):
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Inside, the shuffle files of a query are deleted as soon as it has ended, so that steps don't add up on disk."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, values: dict[str, object]):
+    """Settings of the session that hold for the queries run inside."""
+    before = {name: spark.conf.get(name, None) for name in values}
     try:
+        for name, value in values.items():
+            spark.conf.set(name, str(value))
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Inside, the shuffle files of a query are deleted as soon as it has ended, so that steps don't add up on disk."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def ship(spark: SparkSession) -> None:
